@@ -17,7 +17,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,37 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, row_ids, written
+from .words import hash_word, hashed, normal
 
 WINDOW = 10
 TERM_BITS, PAIR_BITS = 20, 23
-#: Upper to lower case for A-Z; what stands between words becomes a space.
-TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case, as UTF-8."""
-    return (text or "").encode("utf-8", "replace").translate(TABLE).split()
+    return normal(text).split()
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def _signed(h: int) -> int:
+    return h - 2**64 if h >= 2**63 else h
 
 
 def _pair(a: bytes, b: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(a + b" " + b) - 2**63
-
-
-class _Known(dict):
-    """word -> whether its bit is set; forgets all when it has very many words."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = found = bool(self.bits[_hash(word) & (len(self.bits) - 1)])
-        return found
+    return _signed(xxhash.xxh3_64_intdigest(a + b" " + b))
 
 
 def _bit_table(spark, hashes: DataFrame, bits: int):
@@ -75,19 +60,27 @@ def _item_terms(rows: Iterator[tuple]) -> Iterator[tuple]:
     for item_id, text in rows:
         row = next(ids)
         for at, word in enumerate(words_of(text)):
-            yield row, item_id, at, word.decode(), _hash(word) - 2**63
+            yield row, item_id, at, word.decode(), _signed(hash_word(word))
 
 
 def _counts(table):
+    """Counts of the wanted terms' hashes; they only say which terms are rare."""
+
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        known, seen = _Known(_unpacked(table)), Counter()
-        for (text,) in rows:
-            words = words_of(text)
-            seen.update(w for w, hit in zip(words, map(known.__getitem__, words), strict=True) if hit)
-            if len(seen) > 500_000:
-                yield from ((w.decode(), n) for w, n in seen.items())
-                seen.clear()
-        yield from ((w.decode(), n) for w, n in seen.items())
+        bits, kept, size = _unpacked(table), [], 0
+        mask = np.uint64(len(bits) - 1)
+
+        def summed() -> Iterator[tuple]:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]).view(np.int64), return_counts=True)
+            yield from zip(found.tolist(), n.tolist(), strict=True)
+
+        for *_, hashes in hashed(rows):
+            kept.append(hashes[bits[hashes & mask]])
+            size += len(kept[-1])
+            if size > 2_000_000:
+                yield from summed()
+                kept, size = [], 0
+        yield from summed()
 
     return run
 
@@ -105,7 +98,7 @@ def _anchors(window: int):
                 second = next((i for i in order if words[i] != words[first]), first)
                 found.setdefault((first, words[second]), []).append(start)
             for (first, second), starts in found.items():
-                yield _pair(words[first], second), _hash(words[first]) - 2**63, item_id, b" ".join(words).decode(), first, length, starts
+                yield _pair(words[first], second), _signed(hash_word(words[first])), item_id, b" ".join(words).decode(), first, length, starts
 
     return run
 
@@ -116,25 +109,25 @@ def test_anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_k
     kind = items.schema[item_key].dataType.simpleString()
     terms = written(map_rows(items.select(item_key, text), f"row long, item {kind}, at int, term string, h long", _item_terms), "terms")
     table = _bit_table(spark, terms.select("h"), TERM_BITS)
-    seen = map_rows(docs.select(text), "term string, n long", _counts(table)).groupBy("term").agg(F.sum("n").alias("n"))
-    by_item = terms.join(seen, "term", "left").groupBy("row").agg(F.max("item").alias("item"), F.collect_list(F.struct("at", "term", "n")).alias("terms"))
+    seen = map_rows(docs.select(text), "h long, n long", _counts(table)).groupBy("h").agg(F.sum("n").alias("n"))
+    by_item = terms.join(seen, "h", "left").groupBy("row").agg(F.max("item").alias("item"), F.collect_list(F.struct("at", "term", "n")).alias("terms"))
     return written(map_rows(by_item.select("item", "terms"), f"pair long, h long, item {kind}, words string, first int, length int, starts array<int>", _anchors(window)), "anchors")
 
 
 def _postings(terms, pairs, radius: int):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        known, pair_bits, ids = _Known(_unpacked(terms)), _unpacked(pairs), row_ids()
-        mask = len(pair_bits) - 1
-        for doc_id, text in rows:
-            words, found = words_of(text), []
-            for at in np.flatnonzero(np.fromiter(map(known.__getitem__, words), bool, len(words))).tolist():
-                low = max(0, at - radius)
-                near = words[low : at + radius + 1]
-                hits = [p for p in {_pair(words[at], w) for w in near} if pair_bits[p & mask]]
+        bits, pair_bits, ids = _unpacked(terms), _unpacked(pairs), row_ids()
+        mask, pair_mask = np.uint64(len(bits) - 1), len(pair_bits) - 1
+        for (doc_id, _), buffer, starts, ends, hashes in hashed(rows):
+            found = []
+            for at in np.flatnonzero(bits[hashes & mask]).tolist():
+                low, high = max(0, at - radius), min(len(starts), at + radius + 1)
+                near = buffer[starts[low] : ends[high - 1]].split()
+                hits = [p for p in {_pair(near[at - low], w) for w in near} if pair_bits[p & pair_mask]]
                 if hits:
                     context = b" ".join(near).decode()
                     found += [(p, at, at - low, context) for p in hits]
-            yield next(ids), doc_id, len(words), found
+            yield next(ids), doc_id, len(starts), found
 
     return run
 
