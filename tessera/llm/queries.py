@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .common import read
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan, train
+
+    docs = read(spark, sf_dir, "documents")
+    return digest(scan(docs, train(docs)))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -24,7 +31,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_decontamination, op10_token_counts)}
 
 SQL: dict[str, str] = {
     "op4_decontamination": r"""
