@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, train_fold
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, score, train
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~train_fold()).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~train_fold()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_decontamination, op5_toxicity, op9_quality, op10_token_counts)}
 
 SQL: dict[str, str] = {
     "op4_decontamination": r"""
