@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from .common import read, train_fold
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import search
+
+    return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan, train
 
@@ -53,9 +65,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op9_quality, op10_token_counts)}
 
 SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH d AS (SELECT doc_id AS key, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CAST(floor(size * sqrt(CAST(size AS DOUBLE)) * 16) AS BIGINT)) AS BIGINT) AS spread, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN CAST(5 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM s),
+l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) * CAST(1.5 AS DOUBLE) - (sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - cap)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, spread, CASE WHEN a IS NULL THEN cap ELSE least(cap, weight * a) END AS target FROM (SELECT *, max(CASE WHEN cap > weight * level THEN level END) OVER () AS a FROM l)),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
+e AS (SELECT d.key, d.source, d.size, source_size, spread, target, whole, target - whole * source_size AS rest, (CAST('0x' || substr(md5('mix:' || coalesce(CAST(key AS VARCHAR), 'null')), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+p AS (SELECT *, least(rest * sqrt(CAST(size AS DOUBLE)) * 16 / greatest(spread, 1), CAST(1 AS DOUBLE) - CAST(1e-9 AS DOUBLE)) AS p FROM e),
+q AS (SELECT *, CASE WHEN size > 0 AND rest > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p),
+c AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, key ROWS UNBOUNDED PRECEDING) <= rest AS more FROM q),
+m AS (SELECT source, any_value(rest) - sum(CASE WHEN more THEN size ELSE 0 END) AS missing FROM c GROUP BY source),
+f AS (SELECT source, key FROM (SELECT c.source, c.key, row_number() OVER (PARTITION BY c.source ORDER BY abs(missing - size), rank, c.key) AS n FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source WHERE NOT more AND rank IS NOT NULL AND abs(missing - size) < missing) WHERE n = 1)
+SELECT c.key AS doc_id, size, source_size, target, CAST((whole + CASE WHEN more OR f.key IS NOT NULL THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.key = f.key AND rank IS NOT NULL""",
     "op4_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
