@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, train_fold
+from .common import new_path, read, train_fold
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,21 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    rows = shard(read(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return rows.select("doc_id", "shard", "shard_tier", "shard_rows", "shard_bytes", "version")
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .revisits import records_of, resolve
+
+    found = resolve(records_of(read(spark, sf_dir, "pages")))
+    header = lambda k: F.col("headers")[k].alias(k.replace("-", "_"))
+    return found.select(F.col("id").alias("record_id"), "url", F.col("response").alias("response_id"), "state", *map(header, ("etag", "date", "content-type", "content-length")), F.md5("body").alias("body_md5"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score, train
 
@@ -65,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op7_sharding, op8_revisits, op9_quality, op10_token_counts)}
 
 SQL: dict[str, str] = {
     "op2_mixing": r"""
@@ -82,6 +97,17 @@ c AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER B
 m AS (SELECT source, any_value(rest) - sum(CASE WHEN more THEN size ELSE 0 END) AS missing FROM c GROUP BY source),
 f AS (SELECT source, key FROM (SELECT c.source, c.key, row_number() OVER (PARTITION BY c.source ORDER BY abs(missing - size), rank, c.key) AS n FROM c JOIN m ON c.source IS NOT DISTINCT FROM m.source WHERE NOT more AND rank IS NOT NULL AND abs(missing - size) < missing) WHERE n = 1)
 SELECT c.key AS doc_id, size, source_size, target, CAST((whole + CASE WHEN more OR f.key IS NOT NULL THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.key = f.key AND rank IS NOT NULL""",
+    "op8_revisits": r"""
+WITH f AS (SELECT page_id * 2 AS id, url, page_id * 10 AS ts, 200 AS status, '"' || md5(coalesce(html, '')) || '"' AS etag, 't' || (page_id * 10) AS date, html FROM pages),
+v AS (SELECT page_id * 2 + 1 AS id, regexp_replace(url, '#.*$', '') || '#again' AS url, page_id * 10 + 5 + (page_id * 7) % 200 AS ts, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '"other"' ELSE 'W/"' || md5(coalesce(html, '')) || '"' END AS etag, 't' || (page_id * 10 + 5 + (page_id * 7) % 200) AS date FROM pages),
+k AS (SELECT id, ts, etag, date, html, u, true AS isfull FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM f) UNION ALL SELECT id, ts, etag, date, NULL, u, false FROM (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM v)),
+p AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)) AS h,
+  regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM k),
+c AS (SELECT id, ts, etag, date, html, isfull, CASE WHEN scheme = '' THEN u ELSE scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url FROM p),
+a AS (SELECT *, last_value(CASE WHEN isfull THEN id END IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM c),
+j AS (SELECT a.id, a.url, a.response_id, a.etag, a.date, o.etag AS old, o.html, CASE WHEN o.id IS NULL THEN 'missing' WHEN a.etag IS NULL OR regexp_replace(a.etag, '^W/', '') = o.etag THEN 'resolved' ELSE 'changed' END AS state FROM a LEFT JOIN c AS o ON a.response_id = o.id WHERE NOT a.isfull)
+SELECT id AS record_id, url, response_id, state, CASE WHEN state = 'resolved' THEN coalesce(etag, old) END AS etag, CASE WHEN state = 'resolved' THEN date END AS date, CASE WHEN state = 'resolved' THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length, CASE WHEN state = 'resolved' THEN md5(html) END AS body_md5 FROM j""",
     "op4_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
