@@ -20,14 +20,16 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import remove
 
-#: The last two parts of a file's path tell the files of a table apart.
-_NAME = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+
+def _name() -> Column:
+    """The last two parts of a file's path tell the files of a table apart."""
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
 class ShardTable:
@@ -78,7 +80,7 @@ class ShardTable:
 
     def _shards(self, folder: str, schema: T.StructType, tier_of: dict | None = None) -> list[dict]:
         """Facts about the files of a folder just written: those without rows are left out."""
-        files = self.spark.read.schema(schema).parquet(folder).groupBy(_NAME.alias("name"), F.col("_metadata.file_size").alias("bytes")).count().collect()
+        files = self.spark.read.schema(schema).parquet(folder).groupBy(_name().alias("name"), F.col("_metadata.file_size").alias("bytes")).count().collect()
         return sorted(({"path": f"{folder}/{r['name'].rpartition('/')[0]}/{r['name'].rpartition('/')[2]}" if "=" in r["name"] else f"{folder}/{r['name'].rpartition('/')[2]}", "name": r["name"], "bytes": r["bytes"], "rows": r["count"]} for r in files), key=lambda s: s["path"])
 
     def append(self, rows: DataFrame) -> dict:
@@ -117,7 +119,7 @@ class ShardTable:
             schema = T.StructType.fromJson(json.loads(now["schema"]))
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             run_of = self.spark.createDataFrame([(s["name"], k) for k, run in enumerate(runs) for s in run], "shard_name string, shard_run int")
-            rows = self.spark.read.schema(schema).parquet(*(s["path"] for run in runs for s in run)).withColumn("shard_name", _NAME)
+            rows = self.spark.read.schema(schema).parquet(*(s["path"] for run in runs for s in run)).withColumn("shard_name", _name())
             # all rows of a run meet in one task, which writes them as one file
             merged = rows.join(run_of, "shard_name").drop("shard_name").repartition(len(runs), "shard_run")
             merged.write.partitionBy("shard_run").parquet(folder)
@@ -147,7 +149,7 @@ class ShardTable:
         facts = self.spark.createDataFrame([(s["name"], k, self.tier(s["bytes"]), s["rows"], s["bytes"], now["version"]) for k, s in enumerate(now["shards"])], f"shard_name string, {extra}")
         if not now["shards"]:
             return self.spark.createDataFrame([], T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields]))
-        read = self.spark.read.schema(schema).parquet(*(s["path"] for s in now["shards"])).withColumn("shard_name", _NAME)
+        read = self.spark.read.schema(schema).parquet(*(s["path"] for s in now["shards"])).withColumn("shard_name", _name())
         return read.join(facts, "shard_name").drop("shard_name")
 
 
