@@ -1,0 +1,244 @@
+"""The operators against brute force, exact round trips or held-out rows, and on odd tables."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, mixing, near_dedup, nearest, quality, queries, revisits, secrets, sharding, token_counts, toxicity
+from tessera.llm.common import new_path
+
+DIR, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls everywhere, empty and long texts, repeated rows and columns with clashing names."""
+    long = " ".join(f"word{i % 977} item{i % 31}" for i in range(60_000))
+    rows = [(1, "", "en", "a"), (2, None, None, None), (None, "some words here", "en", "a"), (None, None, None, None), (3, long, "en", "b"), (3, long, "en", "b"), (4, "x", "en", "b"), (5, " \n\t ", "de", "a"), (6, "naïve 東京 \U0001f600 \0 <|endoftext|> end", "ja", "c")]
+    return spark.createDataFrame([(*r, 7, 1.0, "k", "n") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size double, key string, word string")
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return c
+
+
+def plain(rows):
+    return sorted(repr(tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r)) for r in rows)
+
+
+@pytest.mark.parametrize("name", queries.SQL)
+def test_sql(spark, con, name):
+    found = queries.QUERIES[name](spark, DIR)
+    columns = sorted(found.columns)
+    assert plain(map(tuple, found.select(columns).collect())) == plain(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall())
+
+
+def test_nearest_finds_nine_of_ten_with_exact_scores(spark):
+    rows = spark.read.parquet(f"{MORE}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    found = defaultdict(list)
+    for r in sorted(queries.op1_nearest(spark, MORE).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = total = 0
+    for q in ids[ids % 20 == 0].tolist():
+        scores = x @ x[ids == q][0]
+        best = [i for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        hits, total = hits + len({ids[i] for i in best} & {v for v, _ in found[q]}), total + 20
+        assert all(abs(s - scores[ids == v][0]) < 1e-9 for v, s in found[q])
+        assert found[q] == sorted(found[q], key=lambda f: (-f[1], f[0]))
+    assert hits >= 0.9 * total
+
+
+def test_nearest_skips_what_is_no_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [-1.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in nearest.search(df, F.col("vec_id") == 0, k=3).collect()]
+    assert sorted(found) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 7, -1.0)]
+    assert nearest.search(df.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_mix_comes_near_its_targets(spark, odd):
+    rows = queries.op2_mixing(spark, MORE).collect()
+    docs = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "source").collect()}
+    taken, target, largest = Counter(), {}, Counter()
+    for r in rows:
+        s = docs[r["doc_id"]]
+        taken[s], target[s] = taken[s] + r["taken"], r["target"]
+        largest[s] = max(largest[s], r["size"])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows))
+    found = mixing.mix(odd)
+    assert found.count() == odd.count()
+    assert all(r["taken"] <= 2 * r["size"] for r in found.collect())
+    assert mixing.mix(odd.limit(0)).collect() == []
+
+
+def test_secrets_keep_the_fixed_spans(spark, odd):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in queries.op3_secrets(spark, DIR).collect():
+        t, spans = texts[r["doc_id"]], []
+        spans += [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        kinds = [k for _, k, _ in spans]
+        digest = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(kinds.count(k) for k in range(3))
+        assert r["base_sha256"] == hashlib.sha256(digest.encode()).hexdigest()
+        assert not set(digest.split(",")) - set(r["spans"].split(",")) - {""}
+    field = secrets.train(docs)
+    text = "deploy with ghp_" + "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8" + " today. Call 555-1234 at 10.0.0.1"
+    added = secrets.field_spans(text, field, [])
+    assert any(text[a:b].startswith("ghp") for a, b, _ in added)
+    assert all(b <= text.index(" today") for _, b, _ in added)
+    assert secrets.scan(odd, field).count() == odd.count()
+    assert secrets.digest(secrets.scan(odd.limit(0), secrets.train(odd.limit(0)))).collect() == []
+
+
+def test_decontamination_of_odd_tables(spark, odd):
+    items = spark.createDataFrame([(1, "Word1 item1"), (2, None), (3, ""), (None, "some words"), (4, " ".join(f"word{i % 977} item{i % 31}" for i in range(5, 12)))], "item_id long, text string")
+    grams = [(i, w[k : k + 10]) for i, t in [tuple(r) for r in items.collect()] for w in [words(t)] for k in range(max(1, len(w) - 9)) if w]
+    by = {tuple(r) for r in decontamination.contamination(odd, items).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()}
+    expected = set()
+    for r in odd.collect():
+        w, hit, found = words(r["text"]), set(), set()
+        for i, g in grams:
+            for k in range(len(w) - len(g) + 1):
+                if w[k : k + len(g)] == g:
+                    hit.update(range(k, k + len(g)))
+                    found |= {i} - {None}
+        expected.add((r["doc_id"], len(w), len(hit), len(found), bool(hit)))
+    assert by == expected
+    assert decontamination.contamination(odd.limit(0), items).collect() == []
+    assert {r["n_hit"] for r in decontamination.contamination(odd, items.limit(0)).collect()} == {0}
+    index, anchors = (lambda a: (decontamination.build_index(odd, a), a))(decontamination.test_anchors(odd, items))
+    assert decontamination.proximity_matches(index, anchors).count() > 0
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(queries.op5_toxicity, "toxic", 0.9), (queries.op9_quality, "quality", 0.9)])
+def test_classifiers_on_held_out_rows(spark, query, label, least):
+    labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
+    rows = query(spark, MORE).collect()
+    held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
+    assert sum((a > b) + (a == b) / 2 for a, b in itertools.product(good, bad)) / (len(good) * len(bad)) >= least
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_classifiers_on_odd_tables(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (3, None, 1), (3, 0, 1), (99, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for labels_ in (labels, labels.limit(0)):
+        tox, trees = toxicity.train(odd, labels_), quality.train(odd, labels_)
+        assert toxicity.score(odd, tox).count() == quality.score(odd, trees).count() == odd.count()
+        assert toxicity.keep_clean(odd, tox).columns == odd.columns
+        assert quality.score(odd.limit(0), trees).collect() == []
+
+
+def brute_groups(rows):
+    """doc_id -> class id by comparing all pairs."""
+    sets = [Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if (n := min(5, len(w))) else None for w in (words(t) for _, t in rows)]
+    top = list(range(len(rows)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        same = rows[i][1] is not None and rows[i][1] == rows[j][1]
+        if same or a and b and (both := sum((a & b).values())) and both >= 0.8 * (sum(a.values()) + sum(b.values()) - both):
+            top[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), key), key)
+    return {key: least[root(i)] for i, (key, _) in enumerate(rows)}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(3)
+    rows = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    base = [f"w{r.randrange(4000)}" for _ in range(300)]
+    shared = " ".join(f"p{k}" for k in range(120))
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 9):
+            own[r.randrange(300)] = f"c{k}"
+        rows.append((10_000 + k, " ".join(own)))
+        rows.append((20_000 + k, shared + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(40 + k))))  # a passage that many share
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["class_id"] for x in near_dedup.groups(docs).collect()} == brute_groups(rows)
+
+
+def test_near_duplicates_of_odd_tables(spark, odd):
+    found = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.groups(odd).collect())
+    assert found == sorted((str(k), str(k)) for k in (1, 2, None, None, 3, 3, 4, 5, 6))
+    assert near_dedup.groups(odd.limit(0)).collect() == []
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 55), (70, 70)], "a long, b long")
+    found = {r["node"]: r["label"] for r in near_dedup.components(edges).collect()}
+    assert found == {**{k: 1 for k in range(1, 41)}, 50: 50, 60: 50, 55: 50}
+    assert near_dedup.components(edges.limit(0)).collect() == []
+
+
+def test_shards_keep_all_rows_and_are_merged(spark, odd):
+    path = new_path(spark, "table")
+    table = sharding.ShardTable(spark, path, target=1 << 20, fanout=2, smallest=1 << 10)
+    assert table.version() == 0
+    for _ in range(3):
+        table.append(odd.repartition(4))
+        table.compact()
+    assert plain(map(tuple, table.rows().select(odd.columns).collect())) == plain(map(tuple, odd.union(odd).union(odd).collect()))
+    assert not table.runs(table.manifest()["shards"])
+    before = table.manifest()
+    table.append(odd)
+    with pytest.raises(FileExistsError):
+        table.commit(before, before["schema"], [])
+    table.expire()
+    assert table.rows().count() == 4 * odd.count()
+    assert queries.op7_sharding(spark, DIR).count() == 200
+    assert sharding.shard(odd.limit(0), new_path(spark, "table")).collect() == []
+
+
+def test_revisits(spark):
+    h = lambda **kw: {k.replace("_", "-"): v for k, v in kw.items()}
+    rows = [
+        (1, "http://A.example:80/x/?b=2&a=1&utm_source=q#f", 10, 200, h(ETag='"1"', Date="d1", Server="s"), "one"), (2, "http://a.example/x?a=1&b=2", 20, 304, h(etag='W/"1"', date="d2", server="other"), None),
+        (3, "http://a.example/x?a=1&b=2", 30, 304, h(etag='"2"'), None), (4, "http://a.example/x?a=1&b=2", 5, 304, None, None), (5, None, 40, 304, None, None), (6, "http://a.example/x?a=1&b=2", None, 304, None, None), (None, "http://a.example/x", 1, 200, None, "null id"),
+    ]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, status int, headers map<string,string>, body string")
+    found = {r["id"]: r for r in revisits.resolve(df).collect()}
+    assert {k: r["state"] for k, r in found.items()} == {2: "resolved", 3: "changed", 4: "missing", 5: "missing", 6: "missing"}
+    assert found[2]["headers"] == {"etag": 'W/"1"', "date": "d2", "server": "s"}
+    assert found[2]["body"] == "one"
+    assert revisits.resolve(df.limit(0)).collect() == []
+
+
+def test_token_counts_are_the_library_s(spark, odd):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = token_counts._library(path)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    expected = sorted((str(k), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in docs.collect())
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, path).collect()) == expected
+    assert token_counts.count_tokens(docs.limit(0), path).collect() == []
