@@ -5,10 +5,11 @@ table. Arrivals are appended as they come: each write task leaves one small shar
 size (each `fanout` times the one below), merges runs of at least `fanout` shards of a tier, in their order, into files
 of up to the target size, and repeats until no tier has as many. A manifest is written beside its name and renamed to
 it, which fails if another writer was there first; readers see the old version or the new one, never a part of one.
-Files of no manifest are left by failed writers, and like those of old versions they go with `expire`.
+Files of no manifest are left by failed writers, and like those of old versions they go with `expire`. `shard` owns its
+table, so it expires old versions after each merge, and the disk holds little more than a merge's input and output.
 
-Only facts about shards (path, bytes, rows) come to the driver; rows are merged by Spark, each run by one task, whose
-input is at most the target size.
+Only facts about shards (path, bytes, rows) come to the driver; rows are merged by Spark without a shuffle, each run by
+one task, whose input is at most the target size.
 
 Nulls and any columns are kept as they are. An empty arrival adds no shard; a table without shards has its schema and no
 rows. Repeated rows are kept.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,9 @@ from pyspark.sql import types as T
 
 from .common import remove
 
+#: Runs merged by one job, each by one of its tasks; more of them follow in the next commits.
+RUNS_AT_ONCE = 256
+
 
 def _name() -> Column:
     """The last two parts of a file's path tell the files of a table apart."""
@@ -78,10 +83,10 @@ class ShardTable:
             raise
         return new
 
-    def _shards(self, folder: str, schema: T.StructType, tier_of: dict | None = None) -> list[dict]:
+    def _shards(self, folder: str, schema: T.StructType) -> list[dict]:
         """Facts about the files of a folder just written: those without rows are left out."""
         files = self.spark.read.schema(schema).parquet(folder).groupBy(_name().alias("name"), F.col("_metadata.file_size").alias("bytes")).count().collect()
-        return sorted(({"path": f"{folder}/{r['name'].rpartition('/')[0]}/{r['name'].rpartition('/')[2]}" if "=" in r["name"] else f"{folder}/{r['name'].rpartition('/')[2]}", "name": r["name"], "bytes": r["bytes"], "rows": r["count"]} for r in files), key=lambda s: s["path"])
+        return sorted(({"path": f"{folder}/{r['name'].rpartition('/')[2]}", "name": r["name"], "bytes": r["bytes"], "rows": r["count"]} for r in files), key=lambda s: s["path"])
 
     def append(self, rows: DataFrame) -> dict:
         """Add rows as small shards, one of each write task."""
@@ -112,31 +117,38 @@ class ShardTable:
             out.append(run)
         return [r for r in out if len(r) > 1]
 
-    def compact(self) -> dict:
-        """Merge until no tier has a run left."""
+    def compact(self, expire: bool = False) -> dict:
+        """Merge until no tier has a run left; with `expire`, delete the shards of older versions after each commit (for tables without other readers)."""
         now = self.manifest()
-        while runs := self.runs(now["shards"]):
+        while runs := self.runs(now["shards"])[:RUNS_AT_ONCE]:
             schema = T.StructType.fromJson(json.loads(now["schema"]))
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            run_of = self.spark.createDataFrame([(s["name"], k) for k, run in enumerate(runs) for s in run], "shard_name string, shard_run int")
-            rows = self.spark.read.schema(schema).parquet(*(s["path"] for run in runs for s in run)).withColumn("shard_name", _name())
-            # all rows of a run meet in one task, which writes them as one file
-            merged = rows.join(run_of, "shard_name").drop("shard_name").repartition(len(runs), "shard_run")
-            merged.write.partitionBy("shard_run").parquet(folder)
+            # one task reads the shards of a run, at most the target size, and writes them as one file: rows are not shuffled
+            merged = reduce(DataFrame.union, (self.spark.read.schema(schema).parquet(*(s["path"] for s in run)).coalesce(1) for run in runs))
+            merged.write.parquet(folder)
             old = {s["path"] for run in runs for s in run}
             now = self.commit(now, now["schema"], [s for s in now["shards"] if s["path"] not in old] + self._shards(folder, schema))
+            if expire:
+                self.expire()
         return now
 
     def expire(self) -> None:
         """Delete the data files that the last version doesn't name, and the versions before it."""
         jvm, path, fs = self._files()
         now = self.manifest()
-        keep = {s["path"] for s in now["shards"]}
-        folders = {p.rsplit("/data/", 1)[1].split("/")[0] for p in keep}
+        keep: dict[str, set[str]] = {}
+        for s in now["shards"]:
+            folder, _, name = s["path"].rpartition("/")
+            keep.setdefault(folder.rpartition("/")[2], set()).add(name)
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         for f in fs.listStatus(root) if fs.exists(root) else []:
-            if f.getPath().getName() not in folders:
+            named = keep.get(f.getPath().getName())
+            if named is None:
                 remove(self.spark, f.getPath().toString())
+                continue
+            for shard in fs.listStatus(f.getPath()):
+                if shard.getPath().getName() not in named:
+                    fs.delete(shard.getPath(), True)
         for f in fs.listStatus(path):
             if f.getPath().getName() < f"v{now['version']:08}.json":
                 fs.delete(f.getPath(), False)
@@ -159,6 +171,6 @@ def shard(docs: DataFrame, path: str, arrivals: int = 2, key: str = "doc_id", ta
     part = F.least(F.floor(F.pmod(F.xxhash64(key), F.lit(64)) / F.lit(max(1, 64 - 8 * (arrivals - 1)))) if arrivals == 2 else F.pmod(F.xxhash64(key), F.lit(arrivals)), F.lit(arrivals - 1))
     for k in range(arrivals):
         table.append(docs.where(part == k))
-        table.compact()
+        table.compact(expire=True)
     table.expire()
     return table.rows()
