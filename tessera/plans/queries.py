@@ -15,6 +15,7 @@ from tessera.functions.scalars import is_uid, person_name, remapped_uid, rescale
 from tessera.functions.temporal import precision, time_window, window
 from tessera.operators import catalog, masks, stats, workflow
 from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level
+from tessera.sources import tagged_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -318,3 +319,12 @@ def workflow_claim_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subscription_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([("errors", "event_type", "error"), ("user 7 buys", "event_type", "purchase"), ("user 7 buys", "user_id", "7")], "recipient string, key string, value string")
     return workflow.fan_out(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), wanted)
+
+
+@query("SELECT c_custkey, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, 2 AS n FROM customer")
+def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    element = lambda vr, value: F.struct(F.lit(vr).alias("vr"), F.array(value).alias("Value"))
+    json = F.to_json(F.struct(element("LO", F.col("c_name")).alias("00100020"), element("IS", F.col("c_nationkey").cast("string")).alias("00200013"), element("UL", F.lit("8")).alias("00080000")))
+    written = tagged_json.documents(tagged_json.elements(table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "c_custkey", "json"), "c_custkey")
+    first = lambda tag: F.max(F.when(F.col("tag") == tag, tagged_json.text(F.col("values"), F.col("vr"))))
+    return tagged_json.elements(written, "c_custkey", "json").groupBy("c_custkey").agg(first("00100020").alias("name"), first("00200013").alias("nation"), F.count("*").cast("int").alias("n"))
