@@ -160,7 +160,8 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
                 codes = held.value.packed(_matrix(b.column("vector"), d))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vector", "code"])
 
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "vector").dropDuplicates()
+    distinct = rows.select("id", "vector").dropDuplicates()  # before the cut, which counts ids
+    first = distinct.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "vector")
     kind = rows.schema["vector"].dataType.simpleString()
     index = written(first.mapInArrow(encode, f"id long, vector {kind}, code binary"), "index")
     asked = rows.where("query").select("id", "vector").dropDuplicates()

@@ -75,6 +75,16 @@ def test_nearest_skips_what_is_no_vector(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_nearest_counts_ids_of_equal_vectors_not_rows(spark):
+    def search(ids, k=20):
+        rows = [(0, [1.0, 0.5])] + [(i, [1.0, 0.0]) for i in ids] + [(100 + i, [0.5, 0.0]) for i in range(20)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        return [r["vec_id"] for r in sorted(nearest.search(df, F.col("vec_id") == 0, k=k).collect(), key=lambda r: r["rank"])]
+
+    assert search([1] * 30 + list(range(2, 21))) == list(range(1, 21))
+    assert search([*range(1, 31)] * 2) == list(range(1, 21))
+
+
 def test_mix_comes_near_its_targets(spark, odd):
     rows = queries.op2_mixing(spark, MORE).collect()
     docs = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "source").collect()}
