@@ -12,7 +12,8 @@ stretches of a batch at a time; that is the same as decoding the whole text.
 
 Training: windows of at most `sample` documents (those of the smallest hashes; the fraction follows from the number of
 rows), tagged by the fixed patterns (of an assignment its value), and a fixed number of artificial texts with common
-credentials, passwords and words that are none. Each window with a secret is taken also with the words around hidden, so
+credentials, passwords and words that are none. At most `windows` windows (of `WINDOW` tokens) with a secret and as many
+without one are learnt from: those of the smallest hashes of document and window, whatever the order of rows. Each window with a secret is taken also with the words around hidden, so
 that shape alone can tell. The field is fitted by gradient ascent on its log-likelihood (forward-backward).
 
 Nulls: a null text counts as empty and has no spans. Every input row gives a row; ids may repeat or be null. Positions
@@ -22,6 +23,8 @@ are code points, ends exclusive. With no windows to learn from, the artificial t
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -33,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, written
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -233,10 +236,25 @@ def _values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _sampled_windows(rows: Iterator[tuple]) -> Iterator[tuple]:
-    while some := [text for (text,) in itertools.islice(rows, 50)]:
-        for _, _, feats, tags in _chains(some, [_values(text) for text in some]):
-            yield bool(tags.any()), feats.astype(np.uint16).tobytes(), tags.tobytes()
+def _sampled_windows(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """Of the windows of (hash, text) with a secret, and of those without one, the `most` of the smallest ranks: rank, secret, feats, tags.
+
+    The rank is a hash of the document's hash, the window and whether its words around are hidden, so windows of all places in the table and in a text are alike.
+    """
+    held: dict[bool, list[tuple]] = {True: [], False: []}
+    bound = {True: 1 << 60, False: 1 << 60}
+    cut = lambda of: heapq.nsmallest(most, of)
+    while some := list(itertools.islice(rows, 50)):
+        for k, w, feats, tags in _chains([text for _, text in some], [_values(text) for _, text in some]):
+            rank = int.from_bytes(hashlib.blake2b(f"{some[k][0]}:{w}".encode(), digest_size=7).digest())
+            secret = bool(tags.any())
+            if rank <= bound[secret]:
+                held[secret].append((rank, secret, feats.astype(np.uint16).tobytes(), tags.tobytes()))
+            if len(held[secret]) >= 2 * most:
+                held[secret] = cut(held[secret])
+                bound[secret] = held[secret][-1][0]
+    for of in held.values():
+        yield from cut(of)
 
 
 class Field:
@@ -350,16 +368,20 @@ class Field:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 20_000, artificial: int = 2000) -> Field:
-    """Fit the field; windows of at most about `sample` documents, and at most `WINDOWS` with a secret and as many without one, come to the driver."""
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 20_000, artificial: int = 2000, windows: int = WINDOWS) -> Field:
+    """Fit the field on windows of at most about `sample` documents: at most `windows` with a secret and as many without one, those of the smallest ranks, come to the driver."""
     share = min(1.0, sample / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    windows = map_rows(some, "secret boolean, feats binary, tags binary", _sampled_windows, flush=500)
+    some = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.xxhash64(key, text), F.coalesce(F.col(text), F.lit("")))
+    of_tasks = written(map_rows(some, "rank long, secret boolean, feats binary, tags binary", lambda rows: _sampled_windows(rows, windows), flush=500), "windows")
+    # ranks are even over 56 bits; counts of their first 12 say below which bound the smallest are, so tasks send few others
+    counts = {(r[0], r[1]): r[2] for r in of_tasks.groupBy("secret", F.shiftright("rank", 44)).count().collect()}
     chains = []
     for secret in (True, False):
-        for r in sorted(map(tuple, windows.where(F.col("secret") == secret).limit(WINDOWS).collect())):
-            tags = np.frombuffer(r[2], np.uint8)
-            chains.append((np.frombuffer(r[1], np.uint16).reshape(len(tags), -1).astype(np.int32), tags))
+        sums = itertools.accumulate(counts.get((secret, k), 0) for k in range(1 << 12))
+        bound = next((k for k, n in enumerate(sums) if n >= windows), 1 << 12) + 1
+        for *_, feats, tags in of_tasks.where((F.col("secret") == secret) & (F.col("rank") < bound << 44)).orderBy("rank", "feats", "tags").limit(windows).collect():
+            tags = np.frombuffer(tags, np.uint8)
+            chains.append((np.frombuffer(feats, np.uint16).reshape(len(tags), -1).astype(np.int32), tags))
     made = list(_artificial(artificial))
     chains += [(feats, tags) for _, _, feats, tags in _chains([t for t, *_ in made], [[(a, b)] if is_secret else [] for _, a, b, is_secret in made])]
     return Field.fit(chains)

@@ -142,10 +142,16 @@ def test_secrets_short_plain_or_glued(field, text, secret):
 
 
 def test_secrets_weak_labels_reach_training():
-    [(secret, _, tags), *_] = secrets._sampled_windows(iter([("so password=letmein works",)]))
+    [(_, secret, _, tags), *_] = secrets._sampled_windows(iter([(1, "so password=letmein works")]), 10)
     assert secret and list(tags) == [0, 0, 0, 1, 0]
 
 
+def test_secrets_learn_the_same_from_rows_in_any_order(spark):
+    rows = [(i, " ".join(f"w{i} of{k}" for k in range(200)) + f" password=abc{i}def") for i in range(40)]
+    both = [secrets.train(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), artificial=20, windows=15) for some in (rows, rows[::-1])]
+    assert np.array_equal(both[0].weights, both[1].weights)
+
+
 def test_secrets_tags_are_those_of_full_viterbi(field):
     rng, r = np.random.default_rng(3), random.Random(3)
     texts = ["", " ", *("".join(r.choice(("a", "Bc", "9f", "-", "=", " ", "é", "\n", "password")) for _ in range(r.choice((1, 5, 60)))) for _ in range(60))]
