@@ -251,6 +251,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.groups(docs).collect()} == brute_groups(rows)
 
 
+def test_near_duplicates_give_classes_alone(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(300)) + f" end{i}") for i in range(30)]
+    found = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.columns == ["doc_id", "class_id"]
+    assert {r["class_id"] for r in found.collect()} == {0}
+
+
 def test_near_duplicates_of_odd_tables(spark, odd):
     found = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_dedup.groups(odd).collect())
     assert found == sorted((str(k), str(k)) for k in (1, 2, None, None, 3, 3, 4, 5, 6))
