@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written a
 next one. All stages but the last keep the columns of documents, others that docs has included; the last one adds the
 columns of its shards.
 
-Nulls: rows with a null doc_id pass the near-duplicate stage and can't be told contaminated; the mix treats them alike.
+Rows that share a doc_id, or have none, are told apart by a row number in the near-duplicate and contamination stages; the
+mix treats them alike.
 A null text is never toxic nor contaminated, and has no words to take, so the mix leaves it out, as it does empty texts.
 """
 
@@ -23,16 +24,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.keep_clean(docs, toxic.train(docs, read(spark, sf_dir, "labels")))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row, `_row`, written so that all reads see the same one."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates, once."""
-    kept = near_dedup.groups(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """The row of the least (doc_id, row number) of each group of near-duplicates; a null doc_id comes last."""
+    rows = numbered(docs, "numbered")
+    classes = near_dedup.groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
+    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, "numbered")
+    found = decontamination.contamination(rows, read(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,14 @@ def test_stages(spark):
         assert kept == expected, name
         assert name == "shards" or after.columns == columns
         before = after
+
+
+def test_stages_keep_rows_not_ids(spark, tmp_path):
+    one, two, bad = (" ".join(f"{w}{k}" for k in range(200)) for w in ("one", "two", "bad"))
+    docs = spark.createDataFrame([(1, one), (1, two), (None, one), (None, two + " more"), (None, bad), (None, bad), (2, two)], "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, DIR).collect())
+    assert kept == Counter([(1, one), (1, two), (None, bad)])
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, one), (1, bad), (None, bad), (None, two)], "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in p.contamination(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter([(1, one), (None, two)])
