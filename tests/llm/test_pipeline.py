@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as p
-from test_operators import brute_groups, words
+from test_llm_operators import brute_groups, words
 
 from tessera.llm import mixing, toxicity
 from tessera.llm.common import read, written
