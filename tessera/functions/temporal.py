@@ -1,39 +1,91 @@
 """Dates, times and date-times of partial precision as columns: the first and last instant that a text may mean.
 
-DA is YYYY[MM[DD]], TM is HH[MM[SS[.F]]], DT is YYYY[MM[DD[HH[MM[SS[.F]]]]]], also with the older dotted dates. A text
-that is none of these, or no day of the calendar, gives null. Windows end a microsecond before the next instant.
+DA is YYYY[MM[DD]], TM is HH[MM[SS[.F]]], DT is YYYY[MM[DD[HH[MM[SS[.F]]]]]], also with the older dotted dates; a DT may
+end in an offset from UTC, +HHMM or -HHMM, and then means the instant in UTC. A text that is none of these, or no day of
+the calendar, gives null. Windows end a microsecond before the next instant. Instants have no time zone (timestamp_ntz), so
+they don't depend on the session's.
 """
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Digits of a date-time and the precision they give (fixed values).
+GRAINS = {4: "year", 6: "month", 8: "day", 10: "hour", 12: "minute", 14: "second"}
+DOTTED = r"^(\d{4})\.(\d{2})\.(\d{2})$"
+OFFSET = r"([+-])(0\d|1[0-4])([0-5]\d)$"
+
+
+def key_window(vr: str, text: str) -> tuple | None:
+    """(first, last) of a DA, DT or TM value given in Python, as `window` and `time_window` give them of columns; None if it is malformed."""
+    if vr == "TM":
+        t = text.replace(":", "")
+        if not re.fullmatch(r"([01]\d|2[0-3])([0-5]\d([0-5]\d(\.\d{1,6})?)?)?", t):
+            return None
+        whole, _, part = t.partition(".")
+        first = sum(int(whole[k : k + 2]) * f for k, f in zip(range(0, len(whole), 2), (3600, 60, 1), strict=False)) * 1_000_000 + int(part.ljust(6, "0"))
+        return first, first + (1 if part else 3600 * 10**6 // 60 ** (len(whole) // 2 - 1)) - 1
+    offset = re.search(OFFSET, text) if vr == "DT" else None
+    whole, _, part = re.sub(DOTTED, r"\1\2\3", text[: offset.start()] if offset else text).partition(".")
+    grain = GRAINS.get(len(whole)) if whole.isascii() and whole.isdecimal() else None
+    if grain is None or vr == "DA" and len(whole) > 8 or part and (grain != "second" or not re.fullmatch(r"\d{1,6}", part)) or text.endswith("."):
+        return None
+    try:
+        first = datetime.strptime(whole + "00000101000000"[len(whole) :], "%Y%m%d%H%M%S")
+    except ValueError:
+        return None
+    if grain == "year":
+        end = first.replace(year=first.year + 1) if first.year < 9999 else datetime.max
+    elif grain == "month":
+        end = (first + timedelta(days=31)).replace(day=1)
+    else:
+        end = first + timedelta(**{f"{grain}s": 1})
+    first = first.replace(microsecond=int(part.ljust(6, "0")))
+    last = first if part else end - timedelta(microseconds=1)
+    shift = timedelta(hours=int(offset[2]), minutes=int(offset[3])) * (1 if offset[1] == "-" else -1) if offset else timedelta()
+    return first + shift, last + shift
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(text), OFFSET, ""), DOTTED, "$1$2$3")
+
+
 def precision(text: Column) -> Column:
     """year, month, day, hour, minute, second or fraction; null for no such text."""
-    digits = F.regexp_replace(F.trim(text), r"^(\d{4})\.(\d{2})\.(\d{2})$", "$1$2$3")
-    names = F.array(*map(F.lit, ("year", "month", "day", "hour", "minute", "second")))
+    digits = _digits(text)
+    names = F.array(*map(F.lit, GRAINS.values()))
     n = F.length(digits)
     whole = F.when(digits.rlike(r"^(\d{4}|\d{6}|\d{8}|\d{10}|\d{12}|\d{14})$"), F.element_at(names, ((n - 2) / 2).cast("int")))
     return F.when(digits.rlike(r"^\d{14}\.\d{1,6}$"), F.lit("fraction")).otherwise(whole)
 
 
 def window(text: Column) -> Column:
-    """struct<lo, hi: timestamp, precision> of a DA or DT text; null if it is malformed."""
-    digits = F.regexp_replace(F.trim(text), r"^(\d{4})\.(\d{2})\.(\d{2})$", "$1$2$3")
+    """struct<lo, hi: timestamp_ntz, precision> of a DA or DT text; null if it is malformed."""
+    digits = _digits(text)
     grain = precision(text)
     whole = F.split_part(digits, F.lit("."), F.lit(1))
     padded = F.concat(whole, F.substr(F.lit("00000101000000"), F.length(whole) + 1))
-    start = F.try_to_timestamp(padded, F.lit("yyyyMMddHHmmss"))
+    start = F.call_function("try_to_timestamp", F.concat(padded, F.lit("Z")), F.lit("yyyyMMddHHmmssX"))
+    offset = F.regexp_extract(F.trim(text), OFFSET, 0)
+    seconds = F.when(offset == "", 0).otherwise((F.substring(offset, 2, 2).try_cast("long") * 3600 + F.substring(offset, 4, 2).try_cast("long") * 60) * F.when(offset.startswith("-"), 1).otherwise(-1))
     micros = F.rpad(F.split_part(digits, F.lit("."), F.lit(2)), 6, "0").cast("int")
-    lo = F.when(grain == "fraction", F.timestamp_micros(F.unix_micros(start) + micros)).otherwise(start)
-    steps = {"year": "INTERVAL 1 YEAR", "month": "INTERVAL 1 MONTH", "day": "INTERVAL 1 DAY", "hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE", "second": "INTERVAL 1 SECOND"}
-    last = F.lit(None).cast("timestamp")
+    at = F.unix_micros(start)
+    lo = F.when(grain == "fraction", at + micros).otherwise(at)
+    day, steps = 86_400_000_000, {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}
+    first = F.try_to_date(F.substring(padded, 1, 8), "yyyyMMdd")
+    months = F.when(grain == "year", 12).when(grain == "month", 1)
+    last = F.unix_date(F.add_months(first, months)).cast("long") * day
+    span = F.when(grain == "day", day)
     for name, step in steps.items():
-        last = F.when(grain == name, lo + F.expr(step)).otherwise(last)
-    hi = F.when(grain == "fraction", lo).otherwise(F.timestamp_micros(F.unix_micros(last) - 1))
-    return F.when(grain.isNotNull() & lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), grain.alias("precision")))
+        span = span.when(grain == name, step)
+    hi = F.when(grain == "fraction", lo).otherwise(F.coalesce(last, lo + span) - 1)
+    ntz = lambda us: F.timestamp_add("MICROSECOND", us + seconds * 1_000_000, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.when(grain.isNotNull() & lo.isNotNull(), F.struct(ntz(lo).alias("lo"), ntz(hi).alias("hi"), grain.alias("precision")))
 
 
 def time_window(text: Column) -> Column:

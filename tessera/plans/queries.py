@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import is_uid, person_name, remapped_uid, rescaled, windowed
 from tessera.functions.temporal import precision, time_window, window
 from tessera.operators import catalog, masks, stats, workflow
-from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level
+from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level, with_item
 from tessera.sources import tagged_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,10 @@ _matching("match_date_open_left", "orders", [Key("o_orderdate", "DA", ("-1995030
 _matching("match_date_open_right", "orders", [Key("o_orderdate", "DA", ("20010601-",))], ["o_orderkey"], "o_orderdate >= '2001-06-01'")
 _matching("match_datetime_hour", "events", [Key("ts", "DT", ("2024010100",))], ["event_id"], "ts >= '2024-01-01 00:00:00' AND ts < '2024-01-01 01:00:00'")
 _matching("match_datetime_range", "events", [Key("ts", "DT", ("20240101001500-202401010130",))], ["event_id"], "ts >= '2024-01-01 00:15:00' AND ts < '2024-01-01 01:31:00'")
+_matching("match_time_minute", "events", [Key("ts", "TM", ("1015",))], ["event_id"], "hour(ts) = 10 AND minute(ts) = 15")
+_matching("match_time_range", "events", [Key("ts", "TM", ("1015-103000",))], ["event_id"], "hour(ts) = 10 AND (minute(ts) BETWEEN 15 AND 29 OR minute(ts) = 30 AND floor(second(ts)) = 0)")
+_matching("match_datetime_offset", "events", [Key("ts", "DT", ("2024010102+0100",))], ["event_id"], "ts >= '2024-01-01 01:00:00' AND ts < '2024-01-01 02:00:00'")
+_matching("match_control_keys", "orders", [Key("QueryRetrieveLevel", "CS", ("STUDY",)), Key("o_orderstatus", "CS", ("P",))], ["o_orderkey"], "o_orderstatus = 'P'")
 _matching("match_several_values", "orders", [Key("o_orderpriority", "CS", ("1-*", "5-LOW"))], ["o_orderkey"], "o_orderpriority LIKE '1-%' OR o_orderpriority = '5-LOW'")
 
 
@@ -81,9 +85,8 @@ def match_unsupported_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linestatus = 'O')")
 def match_sequence_same_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct("l_returnflag", "l_linestatus")).alias("series"))
-    keys = [Key("series", "SQ", items=((Key("l_returnflag", "CS", ("R",)), Key("l_linestatus", "CS", ("O",))),))]
-    return matches(table(spark, sf_dir, "orders").join(items, "o_orderkey"), keys)[0].select("o_orderkey")
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return with_item(table(spark, sf_dir, "orders").select("o_orderkey"), items, ["o_orderkey"], [Key("l_returnflag", "CS", ("R",)), Key("l_linestatus", "CS", ("O",))])
 
 
 @query("SELECT o_orderkey, c_name FROM (SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 25 OFFSET 50)")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import is_uid, person_name, windowed
-from tessera.functions.temporal import precision, time_window, window
+from tessera.functions.temporal import key_window, precision, time_window, window
 from tessera.operators import masks, stats, workflow
 from tessera.operators.match import WORKLIST, InvalidQuery, Key, Search, TooManyMatches, glob, matches
 
@@ -64,6 +64,40 @@ def test_matching_of_nulls_and_bad_queries(spark):
         Search([], ["name"], most=3).run(df)
 
 
+@pytest.mark.parametrize(("vr", "value"), [("DA", "2024XX"), ("DA", "notadate"), ("DA", "20250101-20240101"), ("DA", "-"), ("DA", "20240230"), ("DT", "20240101."), ("TM", "25"), ("TM", "1015-0900"), ("TM", "10*"), ("DA", "2024010110")])
+def test_bad_keys_are_errors(spark, vr, value):
+    with pytest.raises(InvalidQuery):
+        matches(spark.createDataFrame([("x",)], "t string"), [Key("t", vr, (value,))])
+
+
+def test_times_offsets_and_several_values(spark):
+    df = spark.createDataFrame([("101530", r"A\B ", "20240101010000+0100", ["1.2", "1.3"]), ("1016", "B", "20240101", None), (None, None, None, []), ("1015", "C", "2024", ["1.4"])], "t string, s string, d string, u array<string>")
+    found = lambda *keys: [r[0] for r in matches(df, list(keys))[0].collect()]
+    assert found(Key("t", "TM", ("101530",))) == ["101530", "1015"]
+    assert found(Key("t", "TM", ("10:15",))) == ["101530", "1015"]
+    assert found(Key("t", "TM", ("1016-",))) == ["1016"]
+    assert found(Key("s", "CS", ("B",), several=True)) == ["101530", "1016"]
+    assert found(Key("d", "DT", ("2024010100",))) == ["101530", "1016", "1015"]
+    assert found(Key("d", "DT", ("2024010101+0100-2024010101+0100",))) == ["101530", "1016", "1015"]
+    assert found(Key("u", "UI", ("1.3", "1.9"))) == ["101530"]
+    assert found(Key("00080052", "CS", ("STUDY",)), Key("t", "TM", ("1016",))) == ["1016"]
+
+
+@pytest.mark.parametrize(("vr", "text"), [("DA", "2024"), ("DA", "202402"), ("DT", "20240203101112.5"), ("DT", "2024020310-0330"), ("DA", "2024.02.03"), ("TM", "101112.25"), ("TM", "10"), ("TM", "24"), ("DA", "20240231")])
+def test_windows_of_keys_are_those_of_columns(spark, vr, text):
+    w = one(spark, time_window(F.lit(text)) if vr == "TM" else window(F.lit(text)))
+    assert key_window(vr, text) == (w and (w["lo"], w["hi"]))
+
+
+def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found, _ = matches(orders, [Key("o_orderdate", "DA", ("1995-1996",)), Key("o_orderstatus", "CS", ("F", "P")), Key("o_orderkey", "UI", ("1", "7")), Key("o_orderpriority", "LO", ("1-*",))])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for pushed in ("GreaterThanOrEqual(o_orderdate", "LessThan(o_orderdate", "StringStartsWith(o_orderstatus", "In(o_orderkey", "StringStartsWith(o_orderpriority"):
+        assert pushed in plan
+
+
 def test_one_item_satisfies_all(spark):
     df = spark.createDataFrame([(1, [("x", "p"), ("y", "q")]), (2, [("x", "q")]), (3, None)], "id int, s array<struct<a:string,b:string>>")
     key = Key("s", "SQ", items=((Key("a", "CS", ("x",)), Key("b", "CS", ("q",))),))
