@@ -97,3 +97,36 @@ def time_window(text: Column) -> Column:
     lo = (at(1) * 3600 + at(3) * 60 + at(5)) * 1_000_000 + F.when(t.contains("."), part.try_cast("long")).otherwise(0)
     span = F.when(t.contains("."), 1).when(F.length(whole) == 2, 3_600_000_000).when(F.length(whole) == 4, 60_000_000).otherwise(1_000_000)
     return F.when(ok, F.struct(lo.alias("lo"), (lo + span - 1).alias("hi")))
+
+
+def date_text(text: Column) -> Column:
+    """A DA value as YYYY[MM[DD]], by its own precision; null if it is malformed."""
+    w = window(text)
+    form = lambda f: F.date_format(w["lo"], f)
+    return F.when(w["precision"] == "year", form("yyyy")).when(w["precision"] == "month", form("yyyyMM")).when(w["precision"] == "day", form("yyyyMMdd"))
+
+
+def date_display(text: Column) -> Column:
+    """A DA value with dashes, by its own precision; another text as it is, cleaned of zero bytes and outer spaces."""
+    clean = F.trim(F.translate(text, "\0", ""))
+    return F.coalesce(F.rtrim(F.regexp_replace(date_text(clean), r"^(\d{4})(\d{2})?(\d{2})?$", "$1-$2-$3"), F.lit("-")), clean)
+
+
+def time_display(text: Column) -> Column:
+    """A TM value with colons, by its own precision; another text as it is, cleaned of zero bytes and outer spaces."""
+    clean = F.trim(F.translate(text, "\0", ""))
+    digits = F.regexp_replace(clean, ":", "")
+    shown = F.regexp_replace(digits, r"^(\d{2})(\d{2})?(\d{2})?", "$1:$2:$3")
+    return F.when(time_window(clean).isNotNull(), F.rtrim(shown, F.lit(":"))).otherwise(clean)
+
+
+def shifted_text(text: Column, days: Column) -> Column:
+    """A DA or DT text moved by whole days and written at its own precision; null if it is malformed or its precision can't show the move."""
+    w = window(text)
+    at = F.timestamp_add("DAY", days, w["lo"])
+    rest = F.regexp_extract(F.trim(text), r"^\d{14}(\.\d{1,6})?", 1)
+    forms = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd", "hour": "yyyyMMddHH", "minute": "yyyyMMddHHmm", "second": "yyyyMMddHHmmss"}
+    shown = F.when(w["precision"] == "fraction", F.concat(F.date_format(at, "yyyyMMddHHmmss"), rest))
+    for grain, form in forms.items():
+        shown = shown.when(w["precision"] == grain, F.date_format(at, form))
+    return F.when((shown != F.trim(text)) | (days == 0), shown)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 PIXEL = ["seg", "y", "x"]
 
 
@@ -49,3 +51,53 @@ def runs(mask: DataFrame) -> DataFrame:
     """(seg, y, x0, x1): the maximal runs x0 <= x < x1 of each row of the image."""
     island = F.col("x") - F.row_number().over(Window.partitionBy("seg", "y").orderBy("x"))
     return mask.select(*PIXEL).distinct().withColumn("_i", island).groupBy("seg", "y", "_i").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("_i")
+
+
+def components(mask: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(seg, label, y, x0, x1): the runs of the mask with the number of their component, from 1, in order of its first run.
+
+    Runs of neighbouring rows that touch are linked (also by a corner if `diagonal`), and the links make components.
+    """
+    reach = 1 if diagonal else 0
+    r = runs(mask).withColumn("id", F.struct("seg", "y", "x0"))
+    below = r.select("seg", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("b"))
+    links = r.join(below, ["seg", "y"]).where((F.col("x0") < F.col("b1") + reach) & (F.col("b0") < F.col("x1") + reach)).select(F.col("id").alias("a"), "b")
+    named = r.join(graph.components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    firsts = named.select("seg", "label").distinct().withColumn("n", F.row_number().over(Window.partitionBy("seg").orderBy("label")))
+    return named.join(firsts, ["seg", "label"]).select("seg", F.col("n").alias("label"), "y", "x0", "x1")
+
+
+def component_sizes(mask: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(seg, label, pixels, and the corners of the box around) of each component."""
+    return components(mask, diagonal).groupBy("seg", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+
+
+def flood(mask: DataFrame, seeds: DataFrame, diagonal: bool = False) -> DataFrame:
+    """The runs of the components that hold a seed (seg, y, x)."""
+    parts = components(mask, diagonal)
+    hit = parts.join(seeds.select("seg", "y", F.col("x").alias("_x")).distinct(), ["seg", "y"]).where("_x >= x0 AND _x < x1").select("seg", "label").distinct()
+    return parts.join(hit, ["seg", "label"], "left_semi")
+
+
+def brush(seeds: DataFrame, radius: int, rows: int, columns: int) -> DataFrame:
+    """The pixels of the image within a radius of the seeds (seg, y, x)."""
+    steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius))
+    near = seeds.select(*PIXEL).distinct().withColumn("_s", F.explode(steps)).select("seg", (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x"))
+    return near.where((F.col("y") >= 0) & (F.col("y") < rows) & (F.col("x") >= 0) & (F.col("x") < columns)).distinct()
+
+
+def rasterized(polygons: DataFrame, rows: int, columns: int) -> DataFrame:
+    """(seg, y, x): pixels whose centres lie inside the polygons (seg, points), by the even-odd rule, each row of the image on its own.
+
+    An edge gives one crossing to each row between its ends, and the crossings of a row, in order, open and close its runs.
+    """
+    following = F.concat(F.slice("points", 2, F.size("points") - 1), F.slice("points", 1, 1))
+    edges = polygons.where(F.size("points") >= 3).withColumn("_poly", F.monotonically_increasing_id()).select("seg", "_poly", F.explode(F.arrays_zip(F.col("points").alias("p"), following.alias("q"))).alias("e")).select("seg", "_poly", "e.p", "e.q").where("p.y <> q.y")
+    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
+    first, last = F.greatest(F.lit(0), F.ceil(low - F.lit(0.5))).cast("int"), F.least(F.lit(rows - 1), F.ceil(high - F.lit(0.5)) - 1).cast("int")
+    each = edges.where(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
+    x = F.col("p.x") + (F.col("y") + F.lit(0.5) - F.col("p.y")) * (F.col("q.x") - F.col("p.x")) / (F.col("q.y") - F.col("p.y"))
+    w = Window.partitionBy("seg", "_poly", "y").orderBy("_x")
+    pairs = each.withColumn("_x", x.cast("double")).withColumn("_n", F.row_number().over(w)).withColumn("_to", F.lead("_x").over(w)).where("_n % 2 = 1 AND _to IS NOT NULL")
+    x0, x1 = F.greatest(F.lit(0), F.ceil(F.col("_x") - F.lit(0.5))).cast("int"), F.least(F.lit(columns - 1), F.ceil(F.col("_to") - F.lit(0.5)) - 1).cast("int")
+    return pairs.where(x0 <= x1).select("seg", "y", F.explode(F.sequence(x0, x1)).alias("x")).distinct()

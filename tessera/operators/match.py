@@ -100,7 +100,7 @@ def _temporal(candidate: Column, vr: str, value: str, kind: str) -> Column:
         low, high, literal = own["lo"], own["hi"], (lambda v: F.lit(v)) if vr == "TM" else (lambda v: F.lit(v).cast("timestamp_ntz"))
         inside = [*([high >= literal(first)] if first is not None else []), *([low <= literal(last)] if last is not None else [])]
     elif vr == "TM":
-        at = F.hour(candidate).cast("long") * 3_600_000_000 + F.minute(candidate) * 60_000_000 + (F.date_part(F.lit("SECOND"), candidate) * 1_000_000).cast("long")
+        at = F.hour(candidate).cast("long") * 3_600_000_000 + F.minute(candidate).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), candidate) * 1_000_000).cast("long")
         inside = [*([at >= F.lit(first)] if first is not None else []), *([at <= F.lit(last)] if last is not None else [])]
     else:
         # the next instant after the last one, so that the column stands alone

@@ -17,9 +17,35 @@ def summary(voxels: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def full(voxels: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Also the exact median, population skewness and excess kurtosis, which are 0 where all values are one."""
+    """Also the exact median, population skewness and excess kurtosis, which are 0 where all values are one.
+
+    The median comes from the counts of different values, summed in blocks of values, so no task holds a group.
+    """
+    v = F.col(value)
+    rows = voxels.where(finite(v))
+    moments = rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.skewness(v), F.lit(0.0)).alias("skewness"), F.coalesce(F.kurtosis(v), F.lit(0.0)).alias("kurtosis"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    return moments.join(_medians(rows, by, value, moments), by).select(*by, "n", "median", "skewness", "kurtosis")
+
+
+def _medians(rows: DataFrame, by: list[str], value: str, ends: DataFrame, blocks: int = 4096) -> DataFrame:
+    """(by, median): the block that holds the middle ranks is found from block counts; only that block's values are put in order."""
+    width = F.col("_high") - F.col("_low")
+    at = F.when(width > 0, F.least(F.lit(blocks - 1), F.floor((F.col(value) - F.col("_low")) / width * F.lit(blocks)))).otherwise(0).cast("int")
+    counted = rows.join(ends.select(*by, "n", "_low", "_high"), by).groupBy(*by, "n", at.alias("_block"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    sizes = counted.groupBy(*by, "n", "_block").agg(F.sum("_c").alias("_size"))
+    sums = sizes.withColumn("_below", F.sum("_size").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    held = sums.where((F.col("_below") < high) & (F.col("_below") + F.col("_size") >= low)).select(*by, "_block", "_below")
+    order = Window.partitionBy(*by, "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(held, [*by, "_block"]).withColumn("_to", F.col("_below") + F.sum("_c").over(order))
+    middle = lambda rank: F.min(F.when(F.col("_to") >= rank, F.col("_v")))
+    return ranked.groupBy(*by).agg(((middle(low) + middle(high)) / 2).alias("median"))
+
+
+def volume(voxels: DataFrame, by: list[str], value: str, area: Column, thickness: Column) -> DataFrame:
+    """Count, extremes, mean, population variance, area and volume of the finite voxels of a segment."""
     v = F.col(value)
-    return voxels.where(finite(v)).groupBy(*by).agg(F.count("*").alias("n"), F.median(v).alias("median"), F.coalesce(F.skewness(v), F.lit(0.0)).alias("skewness"), F.coalesce(F.kurtosis(v), F.lit(0.0)).alias("kurtosis"))
+    return voxels.where(finite(v)).groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.sum(area).alias("area_mm2"), F.sum(area * thickness).alias("volume_mm3"))
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -43,8 +69,9 @@ def histogram(voxels: DataFrame, by: list[str], value: str, bins: int, low: floa
 def dose_volume(voxels: DataFrame, by: list[str], dose: str, volume: str, bins: int) -> DataFrame:
     """(by, bin, volume at and above it, per cent): voxels are binned by dose over the largest dose of all, then summed from above.
 
-    The sums run over at most `bins` rows for each group.
+    The sums run over at most `bins` rows for each group. Doses that are no finite numbers are left out.
     """
+    voxels = voxels.where(finite(F.col(dose)))
     top = voxels.agg(F.max(dose).alias("_top"))
     at = F.when(F.col("_top") > 0, F.floor(F.col(dose) / F.col("_top") * F.lit(bins - 1))).otherwise(0).cast("int")
     each = voxels.crossJoin(F.broadcast(top)).groupBy(*by, at.alias("bin")).agg(F.sum(volume).alias("_w"))  # the one row of the top

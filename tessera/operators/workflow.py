@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .match import InvalidQuery
 
@@ -42,31 +43,73 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return met.join(total, "recipient").where("_met = _all").select("event_id", "recipient")
 
 
-#: What a profile's action codes do to a value (fixed values).
-ACTIONS = {"D": "dummy", "Z": "empty", "X": "remove", "K": "keep", "C": "clean", "U": "remap", "Z/D": "empty", "X/Z": "remove", "X/D": "remove", "X/Z/D": "remove", "X/Z/U*": "remap"}
+#: What a profile's action codes do to an attribute of each requirement type: 1, 2 and 3 (fixed values).
+ACTIONS = {
+    "X": ("remove", "remove", "remove"),
+    "Z": ("empty", "empty", "empty"),
+    "D": ("dummy", "dummy", "dummy"),
+    "C": ("clean", "clean", "clean"),
+    "U": ("remap", "remap", "remap"),
+    "K": ("keep", "keep", "keep"),
+    "Z/D": ("dummy", "empty", "empty"),
+    "X/Z": ("empty", "empty", "remove"),
+    "X/D": ("dummy", "remove", "remove"),
+    "X/Z/D": ("dummy", "empty", "remove"),
+    "X/Z/U*": ("remap", "empty", "remove"),
+}
 
 
-def deidentified(df: DataFrame, codes: dict[str, str], secret: str) -> DataFrame:
-    """df with its columns treated by action codes: X gone, Z empty, D a dummy, U a UID remapped; columns without a code are kept."""
+def action(code: str, requirement: int = 3) -> str:
+    """What an action code does to an attribute of a requirement type."""
+    if code not in ACTIONS or requirement not in (1, 2, 3):
+        raise InvalidQuery(f"no such action: {code} of type {requirement}")
+    return ACTIONS[code][requirement - 1]
+
+
+def actions(spark: SparkSession) -> DataFrame:
+    """(code, requirement, action): the same as a table, for joins with elements in rows."""
+    return spark.createDataFrame([(c, k + 1, a) for c, kinds in ACTIONS.items() for k, a in enumerate(kinds)], "code string, requirement int, action string")
+
+
+def deidentified(df: DataFrame, codes: dict[str, str], secret: str, requirements: dict[str, int] | None = None, clean: dict[str, Column] | None = None) -> DataFrame:
+    """df with its columns treated by action codes and requirement types (3 where none is given).
+
+    X gone, Z empty, D a dummy of the column's type, U a UID remapped, C what `clean` gives for the column; columns without
+    a code are kept. An empty value is an empty text, or null in other types.
+    """
     from tessera.functions.scalars import remapped_uid
 
     if unknown := set(codes.values()) - ACTIONS.keys():
         raise InvalidQuery(f"no such actions: {sorted(unknown)}")
     out = []
     for f in df.schema:
-        what, kind = ACTIONS[codes.get(f.name, "K")], f.dataType
+        what, kind = action(codes.get(f.name, "K"), (requirements or {}).get(f.name, 3)), f.dataType
+        text = kind.typeName() == "string"
         if what == "remove":
             continue
         if what == "remap":
             out.append(remapped_uid(F.col(f.name).cast("string"), secret).alias(f.name))
-        elif what in ("empty", "dummy", "clean"):
-            text = "" if what == "empty" else "ANONYMOUS"
-            out.append((F.lit(text) if kind.typeName() == "string" else F.lit(None).cast(kind)).alias(f.name))
+        elif what == "clean":
+            if f.name not in (clean or {}):
+                raise InvalidQuery(f"no way to clean {f.name} is given")
+            out.append(clean[f.name].alias(f.name))
+        elif what == "empty":
+            out.append((F.lit("") if text else F.lit(None).cast(kind)).alias(f.name))
+        elif what == "dummy":
+            dummy = F.lit("ANONYMOUS") if text else F.lit("1900-01-01").cast(kind) if kind.typeName() in ("date", "timestamp", "timestamp_ntz") else F.lit(0).cast(kind) if isinstance(kind, NumericType) else F.lit(None).cast(kind)
+            out.append(dummy.alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
 
 
+def element_actions(elements: DataFrame, profile: DataFrame, default: str = "keep") -> DataFrame:
+    """elements (tag, requirement, ...) with `action`, by a profile (tag, code) in rows; tags of odd groups that it doesn't name are private and removed."""
+    table = profile.join(actions(elements.sparkSession), "code").select("tag", "requirement", "action")
+    private = F.conv(F.substring("tag", 1, 4), 16, 10).cast("int") % 2 == 1
+    return elements.join(F.broadcast(table), ["tag", "requirement"], "left").withColumn("action", F.coalesce("action", F.when(private, "remove").otherwise(default)))
+
+
 def shifted(date: Column, patient: Column, secret: str, days: int = 365) -> Column:
     """A date moved back by 1 to `days` days, the same number for all of a patient's dates."""
     number = F.conv(F.substring(F.sha2(F.concat(F.lit(secret), F.lit(":"), patient.cast("string")), 256), 1, 8), 16, 10).cast("long")
@@ -77,3 +120,47 @@ def findings(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, code) for each rule, given as the condition that a row breaks it, in one pass."""
     broken = F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in rules.items())), lambda c: c.isNotNull())
     return df.select(key, F.explode(broken).alias("code"))
+
+
+#: What values of a representation look like, and the most characters they have (fixed values).
+VR_RULES = {
+    "AE": (r"[ -~]*", 16), "AS": (r"\d{3}[DWMY]", 4), "CS": (r"[A-Z0-9 _]*", 16), "DA": (r"\d{8}", 8), "DS": (r" *[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)? *", 16),
+    "IS": (r" *[+-]?\d+ *", 12), "LO": (r"[^\\\x00-\x1a\x1c-\x1f]*", 64), "SH": (r"[^\\\x00-\x1a\x1c-\x1f]*", 16), "TM": (r"([01]\d|2[0-3])([0-5]\d([0-5]\d(\.\d{1,6})?)?)? *", 14), "UI": (r"[0-9.]*", 64),
+}
+
+
+def vr_findings(elements: DataFrame, key: str) -> DataFrame:
+    """(key, tag, code) of elements (key, tag, vr, value) whose value is too long or isn't of its representation; empty values are right."""
+    bad, long = F.lit(False), F.lit(False)
+    for vr, (pattern, most) in VR_RULES.items():
+        bad = bad | ((F.col("vr") == vr) & ~F.col("value").rlike(f"^(?:{pattern})\\z"))
+        long = long | ((F.col("vr") == vr) & (F.length("value") > most))
+    codes = F.filter(F.array(F.when(bad, F.lit("format")), F.when(long, F.lit("length"))), lambda c: c.isNotNull())
+    return elements.where(F.col("value") != "").select(key, "tag", F.explode(codes).alias("code"))
+
+
+def recipients(steps: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(step, recipient): who gets the news of each step: subscribers to it, and to all steps where they haven't unsubscribed from it.
+
+    subscriptions: recipient, step (null for all), active; the one for a step stands before the one for all.
+    """
+    own = subscriptions.where("step IS NOT NULL")
+    everywhere = subscriptions.where("step IS NULL AND active").select("recipient").distinct()
+    all_ = steps.select("step").distinct().join(F.broadcast(everywhere))  # subscribers to everything are few
+    return own.where("active").join(steps.select("step").distinct(), "step").select("step", "recipient").union(all_.join(own.where("NOT active").select("step", "recipient"), ["step", "recipient"], "left_anti").select("step", "recipient")).distinct()
+
+
+def purged(transactions: DataFrame, done_before: Column) -> DataFrame:
+    """The transactions without those completed or failed before a time."""
+    return transactions.where(~F.coalesce(F.col("state").isin("completed", "failed") & (F.col("finished") < done_before), F.lit(False)))
+
+
+def swapped(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows (id, version, state) of a store after changes (id, expected, state): one takes effect where its expected version is the stored one.
+
+    Of several changes of one row that expect the same version the one of the least state is taken. `applied` says whether a row changed.
+    """
+    wanted = changes.groupBy("id", F.col("expected").alias("version")).agg(F.min("state").alias("_new"))
+    both = store.join(wanted, ["id", "version"], "left")
+    applied = F.col("_new").isNotNull()
+    return both.select("id", F.when(applied, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.coalesce("_new", "state").alias("state"), applied.alias("applied"))

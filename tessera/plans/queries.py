@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import is_uid, person_name, remapped_uid, rescaled, windowed
-from tessera.functions.temporal import precision, time_window, window
-from tessera.operators import catalog, masks, stats, workflow
+from tessera.functions import measures
+from tessera.functions.scalars import display_byte, exact_window_unit, is_uid, looked_up, name_display, normal_uid, person_name, remapped_uid, rescaled, sigmoid_window_unit, values_of, windowed
+from tessera.functions.temporal import date_display, precision, shifted_text, time_display, time_window, window
+from tessera.operators import catalog, geometry, graph, masks, stats, workflow
 from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level, with_item
 from tessera.sources import tagged_json
 
@@ -247,10 +248,10 @@ _mask("mask_erode", lambda a, b: masks.erode(a), f"SELECT seg, y, x FROM ({AROUN
 _mask("mask_runs", lambda a, b: masks.runs(a), "SELECT seg, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY seg, y ORDER BY x) AS i FROM a) GROUP BY seg, y, i")
 
 
-@query("SELECT c_custkey, '' AS c_name, c_mktsegment, 'ANONYMOUS' AS c_note FROM customer")
+@query("SELECT c_custkey, '' AS c_name, c_mktsegment, 'ANONYMOUS' AS c_note, CAST(NULL AS INT) AS c_nationkey FROM customer")
 def deid_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumn("c_note", F.col("c_name"))
-    return workflow.deidentified(rows, {"c_name": "Z", "c_acctbal": "X", "c_nationkey": "X/Z", "c_note": "D"}, "s")
+    return workflow.deidentified(rows, {"c_name": "Z", "c_acctbal": "X/Z/D", "c_nationkey": "X/Z", "c_note": "X/D"}, "s", {"c_nationkey": 2, "c_note": 1})
 
 
 @query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - CAST(CAST('0x' || substr(sha256('s:' || CAST(o_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 365 + 1 AS INT) AS DATE) AS shifted FROM orders")
@@ -258,7 +259,7 @@ def deid_date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", workflow.shifted(F.col("o_orderdate"), F.col("o_custkey"), "s").alias("shifted"))
 
 
-@query("SELECT o_orderkey, '2.25.' || CAST(CAST('0x' || substr(sha256('s:1.2.' || CAST(o_custkey AS VARCHAR)), 1, 15) AS BIGINT) AS VARCHAR) AS uid, true AS valid FROM orders")
+@query("SELECT o_orderkey, '2.25.' || CAST(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT) * 1152921504606846976 + CAST('0x' || substr(h, 16, 15) AS BIGINT) AS VARCHAR) AS uid, true AS valid FROM (SELECT o_orderkey, sha256('s:1.2.' || CAST(o_custkey AS VARCHAR)) AS h FROM orders)")
 def uid_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     uid = remapped_uid(F.concat(F.lit("1.2."), F.col("o_custkey").cast("string")), "s")
     return table(spark, sf_dir, "orders").select("o_orderkey", uid.alias("uid"), is_uid(uid).alias("valid"))
@@ -331,3 +332,173 @@ def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = tagged_json.documents(tagged_json.elements(table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "c_custkey", "json"), "c_custkey")
     first = lambda tag: F.max(F.when(F.col("tag") == tag, tagged_json.text(F.col("values"), F.col("vr"))))
     return tagged_json.elements(written, "c_custkey", "json").groupBy("c_custkey").agg(first("00100020").alias("name"), first("00200013").alias("nation"), F.count("*").cast("int").alias("n"))
+
+
+POINTS = "(SELECT event_id, CAST(user_id % 97 AS DOUBLE) AS ax, CAST(event_id % 89 AS DOUBLE) AS ay, CAST(event_id % 53 AS DOUBLE) AS bx, CAST(user_id % 61 AS DOUBLE) AS b_y, CAST(event_id % 31 AS DOUBLE) AS cx, CAST(event_id % 29 AS DOUBLE) AS cy FROM events)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c, n, name: (F.col(c) % n).cast("double").alias(name)
+    return table(spark, sf_dir, "events").select("event_id", of("user_id", 97, "ax"), of("event_id", 89, "ay"), of("event_id", 53, "bx"), of("user_id", 61, "by"), of("event_id", 31, "cx"), of("event_id", 29, "cy"))
+
+
+def _abc() -> tuple:
+    return tuple((F.col(f"{p}x"), F.col(f"{p}y")) for p in "abc")
+
+
+@query(f"SELECT event_id, round(sqrt(((ax - bx) * 0.5) ** 2 + ((ay - b_y) * 0.8) ** 2), 6) AS length, round(abs(ax - bx) * abs(ay - b_y) * 0.4, 6) AS rectangle, round(abs(ax - bx) * abs(ay - b_y) * 0.4 * pi() / 4, 6) AS ellipse FROM {POINTS}")
+def measure_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, _ = _abc()
+    s = (0.5, 0.8)
+    return points(spark, sf_dir).select("event_id", F.round(measures.length_mm(a, b, s), 6).alias("length"), F.round(measures.rectangle_area(a, b, s), 6).alias("rectangle"), F.round(measures.ellipse_area(a, b, s), 6).alias("ellipse"))
+
+
+@query(f"""SELECT event_id, round(CASE WHEN u * v = 0 THEN 0 ELSE degrees(acos(greatest(-1, least(1, dot / (u * v))))) END, 5) AS angle, round(CASE WHEN c > 90 THEN 180 - c ELSE c END, 5) AS cobb
+FROM (SELECT event_id, sqrt((ax - bx) ** 2 + (ay - b_y) ** 2) AS u, sqrt((cx - bx) ** 2 + (cy - b_y) ** 2) AS v, (ax - bx) * (cx - bx) + (ay - b_y) * (cy - b_y) AS dot, degrees(abs(atan2(b_y - ay, bx - ax) - atan2(cy - b_y, cx - bx))) % 180 AS c FROM {POINTS})""")
+def measure_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c = _abc()
+    return points(spark, sf_dir).select("event_id", F.round(measures.angle_deg(a, b, c), 5).alias("angle"), F.round(measures.cobb_deg(a, b, b, c), 5).alias("cobb"))
+
+
+@query(f"""SELECT event_id, CASE WHEN l > 0 THEN round(abs((cx - ax) * (b_y - ay) - (cy - ay) * (bx - ax)) / l, 6) END AS deviation, CASE WHEN l > 0 THEN round(ax + ((cx - ax) * (bx - ax) + (cy - ay) * (b_y - ay)) / (l * l) * (bx - ax), 6) + 0 END AS foot_x
+FROM (SELECT *, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS l FROM {POINTS})""")
+def measure_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c = _abc()
+    return points(spark, sf_dir).select("event_id", F.round(measures.deviation_mm(a, b, c), 6).alias("deviation"), (F.round(measures.projected_on_line(c, a, b)["x"], 6) + 0).alias("foot_x"))
+
+
+@query(f"SELECT event_id, round(abs(ax * b_y - bx * ay + bx * cy - cx * b_y + cx * ay - ax * cy) / 2 * 0.4, 6) AS area, round(sqrt(((ax - bx) * 0.5) ** 2 + ((ay - b_y) * 0.8) ** 2) + sqrt(((cx - bx) * 0.5) ** 2 + ((cy - b_y) * 0.8) ** 2), 6) AS length FROM {POINTS}")
+def measure_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in _abc()))
+    return points(spark, sf_dir).select("event_id", F.round(measures.polygon_area(three, (0.5, 0.8)), 6).alias("area"), F.round(measures.polyline_length(three, (0.5, 0.8)), 6).alias("length"))
+
+
+@query(f"SELECT event_id, (SELECT count(*) % 2 = 1 FROM (VALUES (5, 5, 60, 10), (60, 10, 30, 70), (30, 70, 5, 5)) AS e(px, py, qx, qy) WHERE (py > ay) <> (qy > ay) AND ax < (qx - px) * ((ay - py) / (qy - py)) + px) AS inside FROM {POINTS}")
+def polygon_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triangle = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((5, 5), (60, 10), (30, 70))))
+    return points(spark, sf_dir).select("event_id", measures.polygon_contains(triangle, F.col("ax"), F.col("ay")).alias("inside"))
+
+
+@query("SELECT event_id, CAST(floor(greatest(0, least(1, (value - 20) / 60)) * 255 + 0.5) AS INT) AS exact, round(1 / (1 + exp(-4 * (value - 50) / 60)), 6) AS sigmoid, CAST([10, 20, 40][1 + CAST(greatest(0, least(2, floor(value / 50 + 0.5))) AS INT)] AS DOUBLE) AS looked FROM events")
+def voi_exact_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", display_byte(exact_window_unit(v, 50, 60)).alias("exact"), F.round(sigmoid_window_unit(v, 50, 60), 6).alias("sigmoid"), looked_up(v / 50, 0, [10, 20, 40]).alias("looked"))
+
+
+@query("SELECT c_custkey, 'Dr ' || replace(c_name, '#', ' ') AS shown, CAST(len(string_split(c_name, '0')) AS INT) AS n_values, '1.2.' || c_custkey AS uid FROM customer")
+def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("Dr^ ^"), F.translate("c_name", "#", "^"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name_display(name).alias("shown"), F.size(values_of(F.translate("c_name", "0", "\\"), "LO")).alias("n_values"), normal_uid(F.concat(F.lit("1.2."), F.col("c_custkey").cast("string"), F.lit(" \0"))).alias("uid"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%H:%M') AS minute, strftime(date_trunc('month', o_orderdate) + INTERVAL 40 DAY, '%Y%m') AS moved FROM orders")
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = lambda f: F.date_format("o_orderdate", f)
+    return table(spark, sf_dir, "orders").select("o_orderkey", date_display(form("yyyyMM")).alias("month"), time_display(form("HHmm")).alias("minute"), shifted_text(form("yyyyMM"), F.lit(40)).alias("moved"))
+
+
+@query("""WITH d AS (SELECT user_id AS series, CAST(event_id AS BIGINT) AS index, CAST(event_id % 64 AS DOUBLE) AS z FROM events),
+s AS (SELECT *, z - lag(z) OVER w AS step, index - lag(index) OVER w AS jump FROM d WINDOW w AS (PARTITION BY series ORDER BY z, index)),
+e AS (SELECT series, count(*) AS n_slices, min(z) AS first, max(z) AS last, coalesce(bool_or(jump < 0), false) AS reordered, coalesce(bool_and(jump < 0), false) AND count(*) > 1 AS reversed, count(CASE WHEN step <= 1e-3 THEN 1 END) AS duplicates, min(CASE WHEN step > 1e-3 THEN step END) AS least, max(step) AS most FROM s GROUP BY series),
+m AS (SELECT series, bool_and(step % least = 0) AS multiples FROM s JOIN e USING (series) WHERE step > 1e-3 GROUP BY series)
+SELECT series, n_slices, first, last, CASE WHEN n_slices > 1 THEN (last - first) / (n_slices - 1) END AS mean_spacing, reordered, reversed, duplicates, CASE WHEN n_slices = 1 THEN 'single' WHEN duplicates > 0 THEN 'irregular' WHEN most - least <= 0.01 THEN 'regular' WHEN multiples THEN 'missing' ELSE 'irregular' END AS kind FROM e LEFT JOIN m USING (series)""")
+def volume_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("index"), (F.col("event_id") % 64).cast("double").alias("z"))
+    return geometry.volume_geometry(rows, ["series"], "z", "index")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 5 AS INT) END AS p, CAST(epoch_us(ts) AS BIGINT) AS o, ':z:' || CAST(CAST(event_id % 4 AS BIGINT) * 1000 AS VARCHAR) AS k FROM events),
+n AS (SELECT *, CASE WHEN p IS NULL THEN row_number() OVER (PARTITION BY user_id, k, p IS NULL ORDER BY event_id) END AS a FROM f),
+g AS (SELECT user_id, p, a, min(o) AS point_offset, count(*) AS point_frames FROM n GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p NULLS LAST, point_offset NULLS LAST, a NULLS LAST) AS INT) AS point FROM g)
+SELECT event_id, point, point_offset, point_frames FROM n JOIN r ON n.user_id = r.user_id AND n.p IS NOT DISTINCT FROM r.p AND n.a IS NOT DISTINCT FROM r.a""")
+def timeline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 5).cast("int")).alias("p"), F.unix_micros(F.col("ts").cast("timestamp")).alias("o"), F.lit(0).alias("d"), (F.col("event_id") % 4).cast("double").alias("z"))
+    key = geometry.spatial_key(F.lit(None).cast("string"), F.col("z"), F.lit(None).cast("int"), F.col("event_id"))
+    return geometry.time_points(rows, ["user_id"], key, "event_id", "p", "o", "d").select("event_id", "point", "point_offset", "point_frames")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'default' END AS stack_id, CAST(row_number() OVER (PARTITION BY user_id, CASE WHEN user_id % 2 = 0 THEN event_type ELSE 'default' END ORDER BY CASE WHEN event_id % 7 > 0 THEN event_id % 7 END NULLS LAST, value, event_id) AS INT) AS place FROM events")
+def stack_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("stack"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 7).alias("at"))
+    return geometry.stack_order(rows, ["user_id"], "stack", "at", "value", "event_id").select("event_id", "stack_id", "place")
+
+
+@query("""WITH l AS (SELECT event_id, event_type, epoch_us(ts) AS at FROM events WHERE event_id % 2 = 0), r AS (SELECT event_type, epoch_us(ts) AS at, min(event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY ALL),
+b AS (SELECT event_id, r.at, r.v, l.at AS a FROM l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.at >= r.at), f AS (SELECT event_id, r.at, r.v FROM l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.at <= r.at)
+SELECT event_id, CASE WHEN x THEN bv ELSE fv END AS found, CAST(CASE WHEN x THEN below ELSE above END AS BIGINT) AS apart FROM (SELECT event_id, b.v AS bv, f.v AS fv, a - b.at AS below, f.at - a AS above, b.at IS NOT NULL AND (f.at IS NULL OR a - b.at < f.at - a OR a - b.at = f.at - a AND b.v <= f.v) AS x FROM b JOIN f USING (event_id))""")
+def nearest_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return geometry.nearest(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1").withColumnRenamed("event_id", "other"), ["event_type"], "at", "other").select("event_id", "found", "apart")
+
+
+@query("""WITH v AS (SELECT label, CAST(vec_id AS BIGINT) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS y, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings),
+p AS (SELECT vec_id, label, CAST(vec_id AS BIGINT) AS x, CAST(vec_id % 9 AS BIGINT) AS y FROM embeddings)
+SELECT vec_id, round(CASE WHEN count(e) = 2 THEN sum(e * w) END, 5) AS sample FROM (SELECT vec_id, label, x, y + d AS y, CASE d WHEN 0 THEN 0.75 ELSE 0.25 END AS w FROM p, (VALUES (0), (1)) AS s(d)) LEFT JOIN v USING (label, x, y) GROUP BY vec_id""")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    cube = rows.select("label", F.col("vec_id").alias("x"), F.posexplode("embedding").alias("y", "e"), F.lit(0).alias("z"))
+    asked = rows.select("vec_id", "label", F.col("vec_id").cast("double").alias("x"), (F.col("vec_id") % 9 + F.lit(0.25)).alias("y"), F.lit(0.0).alias("z"))
+    return geometry.sampled(asked, cube, ["label"], "e").select("vec_id", F.round("sample", 5).alias("sample"))
+
+
+S = "a AS (SELECT DISTINCT event_type AS seg, CAST(user_id % 64 AS INT) AS y, CAST(event_id % 64 AS INT) AS x FROM events WHERE value BETWEEN 5 AND 12)"
+
+
+@query(f"""WITH RECURSIVE {S}, g AS (SELECT seg, y, x, y * 64 + x AS k FROM a), r AS (SELECT seg, y, x, k FROM g UNION SELECT g.seg, g.y, g.x, r.k FROM r JOIN g ON g.seg = r.seg AND abs(g.y - r.y) + abs(g.x - r.x) = 1),
+l AS (SELECT seg, y, x, min(k) AS label FROM r GROUP BY ALL), n AS (SELECT seg, label, CAST(row_number() OVER (PARTITION BY seg ORDER BY label) AS INT) AS n FROM (SELECT DISTINCT seg, label FROM l))
+SELECT seg, n AS label, count(*) AS pixels, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM l JOIN n USING (seg, label) GROUP BY ALL""")
+def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.component_sizes(masks.threshold(pixels(spark, sf_dir), "value", 5, 12))
+
+
+@query("""WITH e AS (SELECT unnest(['a', 'b']) AS seg, unnest([3, 20]) AS t), q AS (SELECT seg, px, py, qx, qy FROM (SELECT seg, CAST(t AS DOUBLE) AS ax, 2.0 AS ay, t + 30.0 AS bx, 9.0 AS b_y, t + 5.0 AS cx, 41.0 AS cy FROM e), LATERAL (VALUES (ax, ay, bx, b_y), (bx, b_y, cx, cy), (cx, cy, ax, ay)) AS s(px, py, qx, qy))
+SELECT seg, y, x FROM (SELECT seg, CAST(y AS INT) AS y, CAST(x AS INT) AS x, count(*) % 2 = 1 AS inside FROM q, range(64) AS r(y), range(64) AS c(x) WHERE (py > y + 0.5) <> (qy > y + 0.5) AND x + 0.5 < px + (y + 0.5 - py) * (qx - px) / (qy - py) GROUP BY ALL) WHERE inside""")
+def mask_rasterized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    shapes = spark.createDataFrame([("a", 3), ("b", 20)], "seg string, t int")
+    t = F.col("t")
+    return masks.rasterized(shapes.select("seg", F.array(p(t, 2), p(t + 30, 9), p(t + 5, 41)).alias("points")), 64, 64)
+
+
+@query("SELECT event_type AS seg, count(*) AS n, min(value) AS low, max(value) AS high, CAST(round(count(*) * 0.4, 6) AS DOUBLE) AS area_mm2, CAST(round(count(*) * 1.2, 6) AS DOUBLE) AS volume_mm3 FROM events GROUP BY event_type")
+def volume_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats.volume(voxels(spark, sf_dir), ["seg"], "value", F.lit(0.4), F.lit(3.0))
+    return s.select("seg", "n", "low", "high", F.round("area_mm2", 6).alias("area_mm2"), F.round("volume_mm3", 6).alias("volume_mm3"))
+
+
+@query("SELECT tag, requirement, CASE WHEN tag = '00100010' THEN 'empty' WHEN tag = '00100020' THEN CASE requirement WHEN 1 THEN 'dummy' WHEN 2 THEN 'empty' ELSE 'remove' END WHEN tag = '00110001' THEN 'remove' ELSE 'keep' END AS action, count(*) AS n FROM (SELECT ['00100010', '00100020', '00110001', '00080060'][1 + event_id % 4] AS tag, CAST(1 + user_id % 3 AS INT) AS requirement FROM events) GROUP BY ALL")
+def deid_action_requirement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.array(*map(F.lit, ("00100010", "00100020", "00110001", "00080060")))
+    rows = table(spark, sf_dir, "events").select(F.get(tags, (F.col("event_id") % 4).cast("int")).alias("tag"), (1 + F.col("user_id") % 3).cast("int").alias("requirement"))
+    profile = spark.createDataFrame([("00100010", "Z"), ("00100020", "X/Z/D")], "tag string, code string")
+    return workflow.element_actions(rows, profile).groupBy("tag", "requirement", "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, tag, code FROM (SELECT event_id, '00080060' AS tag, unnest(list_filter([CASE WHEN NOT regexp_full_match(event_type, '[A-Z0-9 _]*') THEN 'format' END, CASE WHEN length(event_type) > 16 THEN 'length' END], lambda x: x IS NOT NULL)) AS code FROM events)")
+def vr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("00080060").alias("tag"), F.lit("CS").alias("vr"), F.col("event_type").alias("value"))
+    return workflow.vr_findings(rows, "event_id")
+
+
+@query("SELECT event_id AS step, 'all' AS recipient FROM events WHERE event_id % 10 <> 3 UNION ALL SELECT event_id, 'u' || user_id FROM events WHERE event_id % 5 = 0")
+def workflow_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), "user_id")
+    own = rows.where("step % 5 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("recipient"), "step", F.lit(True).alias("active"))
+    left = rows.where("step % 10 = 3").select(F.lit("all").alias("recipient"), "step", F.lit(False).alias("active"))
+    everywhere = spark.createDataFrame([("all", None, True)], "recipient string, step long, active boolean")
+    return workflow.recipients(rows, everywhere.unionByName(own).unionByName(left))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'done' ELSE o_orderstatus END AS state, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS applied FROM orders")
+def workflow_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("version"), F.col("o_orderstatus").alias("state"))
+    changes = rows.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(7).alias("expected"), F.lit("done").alias("state"))
+    return workflow.swapped(rows, changes)
+
+
+@query("""SELECT source, target FROM (SELECT n_nationkey AS source, n_nationkey + 1 AS target FROM nation WHERE n_nationkey BETWEEN 3 AND 6 UNION ALL SELECT 7, 3)""")
+def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("s"))
+    edges = keys.select("s", (F.col("s") + 1).alias("t")).where("s < 24").union(keys.where("s = 7").select("s", F.lit(3).cast("long")))
+    return graph.acyclic_rest(edges, "s", "t")

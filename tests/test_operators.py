@@ -3,9 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import is_uid, person_name, windowed
-from tessera.functions.temporal import key_window, precision, time_window, window
-from tessera.operators import masks, stats, workflow
+from tessera.functions import measures
+from tessera.functions.scalars import is_uid, name_display, name_text, person_name, trimmed_text, values_of, windowed
+from tessera.functions.temporal import date_display, key_window, precision, shifted_text, time_display, time_window, window
+from tessera.operators import geometry, graph, masks, stats, workflow
 from tessera.operators.match import WORKLIST, InvalidQuery, Key, Search, TooManyMatches, glob, matches
 
 
@@ -126,3 +127,68 @@ def test_delivery_states(spark):
     assert [r[0] for r in df.collect()] == ["delivered", "failed", "exhausted", "exhausted"]
     with pytest.raises(InvalidQuery):
         workflow.deidentified(df, {"x": "Q"}, "s")
+
+
+def test_actions_by_requirement(spark):
+    assert [workflow.action("X/Z", k) for k in (1, 2, 3)] == ["empty", "empty", "remove"]
+    assert [workflow.action("X/Z/U*", k) for k in (1, 2, 3)] == ["remap", "empty", "remove"]
+    assert [workflow.action("Z/D", k) for k in (1, 2, 3)] == ["dummy", "empty", "empty"]
+    with pytest.raises(InvalidQuery):
+        workflow.action("X", 4)
+    df = spark.createDataFrame([("a", 1, None)], "x string, n int, d date")
+    assert tuple(workflow.deidentified(df, {"x": "C", "n": "D", "d": "D"}, "s", clean={"x": F.upper("x")}).first()) == ("A", 0, dt.date(1900, 1, 1))
+    with pytest.raises(InvalidQuery):
+        workflow.deidentified(df, {"x": "C"}, "s")
+
+
+def test_texts(spark):
+    assert [one(spark, name_display(F.lit(t))) for t in ("Doe^Jane^^Dr", "^^=山田^太郎", " a=b=c=d ", "")] == ["Doe Jane Dr", "山田 太郎", "a b c d", ""]
+    assert one(spark, name_text(person_name(F.lit("Doe^Jane^^^=X")))) == "Doe^Jane=X"
+    assert [one(spark, date_display(F.lit(t))) for t in ("20240203", "2024.02.03", "202402", "x ")] == ["2024-02-03", "2024-02-03", "2024-02", "x"]
+    assert [one(spark, time_display(F.lit(t))) for t in ("101112.5", "10", "25")] == ["10:11:12.5", "10", "25"]
+    assert [one(spark, shifted_text(F.lit(t), F.lit(-3))) for t in ("20240301", "2024", "20240301101112.50", "x")] == ["20240227", "2023", "20240227101112.50", None]
+    assert one(spark, shifted_text(F.lit("2024"), F.lit(3))) is None  # its precision can't show the move
+    assert one(spark, values_of(F.lit("a\\b"), "LO")) == ["a", "b"] and one(spark, values_of(F.lit("a\\b"), "LT")) == ["a\\b"]
+    assert one(spark, trimmed_text(F.lit("1.2\0 "), "UI")) == "1.2"
+
+
+def test_measures_without_a_value(spark):
+    p = lambda x, y: (F.lit(float(x)), F.lit(float(y)))
+    assert one(spark, measures.length_mm(p(0, 0), p(3, 4), (0, 1))) is None
+    assert one(spark, measures.deviation_mm(p(1, 1), p(1, 1), p(2, 2))) is None
+    assert one(spark, measures.dynamic_angle(p(0, 0), p(1, 0), p(0, 0), p(-1, 1))["acute"]) == pytest.approx(45)
+    assert one(spark, measures.sphere_slice_radius(F.lit(5.0), F.lit(3.0))) == 4 and one(spark, measures.sphere_slice_radius(F.lit(5.0), F.lit(6.0))) is None
+    moved = one(spark, measures.repulsed(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in (p(0, 0), p(1, 0), p(9, 0)))), 0, 0, 2, 1))
+    assert [(q["x"], q["y"]) for q in moved] == [(1, 0), (1.5, 0), (9, 0)]
+    there = [2, 0, 0, 5, 0, 3, 0, 6, 0, 0, 1, 7, 0, 0, 0, 1]
+    back = one(spark, measures.affine(F.lit(7.0), F.lit(9.0), F.lit(7.0), measures.inverse_affine(there)))
+    assert [back[k] for k in "xyz"] == pytest.approx([1, 1, 0])
+    with pytest.raises(ValueError, match="inverse"):
+        measures.inverse_affine([0.0] * 16)
+
+
+def test_components_of_odd_masks(spark):
+    df = spark.createDataFrame([("s", y, x) for y, x in ((0, 0), (1, 1), (1, 2), (2, 2), (5, 5))], "seg string, y int, x int")
+    size = lambda diagonal: sorted((r["label"], r["pixels"]) for r in masks.component_sizes(df, diagonal).collect())
+    assert (size(False), size(True)) == ([(1, 1), (2, 3), (3, 1)], [(1, 4), (2, 1)])
+    assert masks.component_sizes(df.limit(0)).collect() == []
+    assert {tuple(r)[2:] for r in masks.flood(df, df.where("y = 2")).collect()} == {(1, 1, 3), (2, 2, 3)}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(90, 80)], "a long, b long")
+    assert {(r["node"], r["label"]) for r in graph.components(chain).collect()} == {*((k, 0) for k in range(51)), (80, 80), (90, 80)}
+
+
+def test_volumes_and_nearest(spark):
+    rows = [("one", 0, 1.0), ("even", 0, 0.0), ("even", 1, 2.0), ("even", 2, 4.0), ("gap", 0, 0.0), ("gap", 1, 1.0), ("gap", 2, 3.0), ("odd", 1, 0.0), ("odd", 0, 1.0), ("odd", 2, 2.4), ("twice", 0, 1.0), ("twice", 1, 1.0), ("back", 1, 0.0), ("back", 0, 1.0), ("none", 0, None)]
+    found = {r["s"]: r for r in geometry.volume_geometry(spark.createDataFrame(rows, "s string, i int, z double"), ["s"], "z", "i").collect()}
+    assert {k: r["kind"] for k, r in found.items()} == {"one": "single", "even": "regular", "gap": "missing", "odd": "irregular", "twice": "irregular", "back": "regular"}
+    assert found["back"]["reversed"] and found["odd"]["reordered"] and not found["odd"]["reversed"] and not found["even"]["reordered"]
+    left = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, None), ("h", 4, 1)], "g string, id int, t long")
+    right = spark.createDataFrame([("g", 4, 10), ("g", 6, 11), ("g", 6, 7), ("g", 20, 1)], "g string, t long, v long")
+    assert {(r["id"], r["found"], r["apart"]) for r in geometry.nearest(left, right, ["g"], "t", "v").collect() if r["t"] is not None} == {(1, 7, 1), (2, 7, 3), (4, None, None)}
+
+
+def test_store_changes(spark):
+    rows = spark.createDataFrame([("a", "completed", 1), ("b", "pending", 1), ("c", "failed", 9), ("d", None, None)], "id string, state string, finished int")
+    assert [r["id"] for r in workflow.purged(rows, F.lit(5)).collect()] == ["b", "c", "d"]
+    elements = spark.createDataFrame([(1, "00100040", "CS", "m"), (1, "00080020", "DA", "2024"), (1, "00100010", "LO", "x" * 65), (1, "00200013", "IS", " 7 "), (1, "00080018", "UI", "")], "id int, tag string, vr string, value string")
+    assert {(r["tag"], r["code"]) for r in workflow.vr_findings(elements, "id").collect()} == {("00100040", "format"), ("00080020", "format"), ("00100010", "length")}
