@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,17 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        import atexit
-
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return path
+from tessera.checkpoints import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +33,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 5000) -> DataFrame:
     """Run rows over each partition: it takes an iterator of tuples and gives tuples of the schema; batches of at most `flush` rows leave the worker."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -89,14 +85,15 @@ def train_fold(doc_id: str | Column = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, text: str = "text") -> DataFrame:
     """(doc_id, text, y) of at most `limit` labelled rows of the training fold, those of the smallest hashes of doc_id.
 
-    The ids chosen number at most `limit`, so that table may be broadcast. Null ids or labels are left out.
+    The ids chosen number at most `limit`, so that table may be broadcast. Null ids or labels are left out. Of several rows
+    of an id the greatest text is taken, so the result has at most `limit` rows.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & train_fold())
         .groupBy("doc_id").agg(F.max(F.col(target)).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
