@@ -45,9 +45,10 @@ def _pair(a: bytes, b: bytes) -> int:
 
 
 def _bit_table(spark, hashes: DataFrame, bits: int):
-    """Broadcast a table of 2**bits flags; `hashes` has one long column. At most 2**bits numbers come to the driver."""
+    """Broadcast a table of 2**bits flags; `hashes` has one long column. At most 2**bits numbers come to the driver, as an array."""
     table = np.zeros(1 << bits, bool)
-    table[[r[0] for r in hashes.select(F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1)).distinct().collect()]] = True
+    places = hashes.select(F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1).cast("int").alias("place")).distinct().toArrow()
+    table[places["place"].to_numpy()] = True
     return spark.sparkContext.broadcast(np.packbits(table))
 
 
@@ -98,13 +99,15 @@ def _anchors(window: int):
                 second = next((i for i in order if words[i] != words[first]), first)
                 found.setdefault((first, words[second]), []).append(start)
             for (first, second), starts in found.items():
-                yield _pair(words[first], second), _signed(hash_word(words[first])), item_id, b" ".join(words).decode(), first, length, starts
+                # the windows all hold the first term, so the words from the first one's start to the last one's end are few
+                low, high = starts[0], starts[-1] + length
+                yield _pair(words[first], second), _signed(hash_word(words[first])), item_id, b" ".join(words[low:high]).decode(), first - low, length, [s - low for s in starts]
 
     return run
 
 
 def test_anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """For each item and each pair of rarest terms: the pair, the item's words, the place of the first term and the windows' starts."""
+    """For each item and each pair of rarest terms: the pair, the words of the windows that have it, the place of the first term and the windows' starts among these."""
     spark = docs.sparkSession
     kind = items.schema[item_key].dataType.simpleString()
     terms = written(map_rows(items.select(item_key, text), f"row long, item {kind}, at int, term string, h long", _item_terms), "terms")
