@@ -10,14 +10,16 @@ The index is dealt into blocks by a hash of the id, and the queries too, so a ta
 10,000 vectors and 1,000 queries. Queries meet every block, so the work grows with queries times vectors. Of equal
 vectors only the `k` + 1 of the smallest ids are in the index: no others can be among the k nearest of any query.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
-rows with a null id. Ties go to the smaller id. Rows with the query's own id are never its neighbours. With no more than
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id. Vectors of
+each length are searched among their own, as no inner product is defined between lengths; an id that has queries of
+several lengths gets the nearest of all. Other columns are ignored. Ties go to the smaller id. Rows with the query's own id are never its neighbours. With no more than
 k candidates all are returned. Repeated rows of one id and vector are one candidate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,23 +64,30 @@ class Quantiser:
             out._refit(parts, out.encode(x))
         return out
 
-    def _refit(self, parts: np.ndarray, codes: np.ndarray) -> None:
-        """Centres of least loss for the codes given: a linear system in all centres."""
+    def _refit(self, parts: np.ndarray, codes: np.ndarray, block: int = 32) -> None:
+        """Centres of least loss for the codes given: a linear system in the centres of `block` parts at a time, the others held."""
         n, m, _ = parts.shape
         norm = np.sqrt((parts**2).sum(axis=(1, 2)))
         unit = parts / norm[:, None, None]
-        cols = ((np.arange(m) * CENTRES + codes) * 2)[:, :, None] + np.arange(2)
-        size = m * CENTRES * 2
-        a, b = np.eye(size) * 1e-6, np.zeros(size)
-        for at in range(0, n, 2000):
-            z = np.zeros((len(parts[at : at + 2000]), size))
-            np.put_along_axis(z, cols[at : at + 2000].reshape(len(z), -1), unit[at : at + 2000].reshape(len(z), -1), 1)
-            a += (self.eta - 1) * z.T @ z
-            b += (self.eta - 1) * z.T @ norm[at : at + 2000]
-        a[np.diag_indices(size)] += np.bincount(cols.ravel(), minlength=size)
-        b += np.bincount(cols.ravel(), parts.ravel(), size)
-        fresh, used = np.linalg.solve(a, b).reshape(m, CENTRES, 2), np.bincount((np.arange(m) * CENTRES + codes).ravel(), minlength=m * CENTRES).reshape(m, CENTRES) > 0
-        self.centres = np.where(used[:, :, None], fresh, self.centres)
+        used = np.bincount((np.arange(m) * CENTRES + codes).ravel(), minlength=m * CENTRES).reshape(m, CENTRES) > 0
+        along = np.stack([(unit[:, k] * self.centres[k][codes[:, k]]).sum(axis=1) for k in range(m)], 1)
+        for low in range(0, m, block):
+            own = np.arange(low, min(low + block, m))
+            rest = norm - np.delete(along, own, axis=1).sum(axis=1)
+            cols = ((np.arange(len(own)) * CENTRES + codes[:, own]) * 2)[:, :, None] + np.arange(2)
+            size = len(own) * CENTRES * 2
+            a, b = np.eye(size) * 1e-6, np.zeros(size)
+            for at in range(0, n, 2000):
+                z = np.zeros((len(parts[at : at + 2000]), size))
+                np.put_along_axis(z, cols[at : at + 2000].reshape(len(z), -1), unit[at : at + 2000, own].reshape(len(z), -1), 1)
+                a += (self.eta - 1) * z.T @ z
+                b += (self.eta - 1) * z.T @ rest[at : at + 2000]
+            a[np.diag_indices(size)] += np.bincount(cols.ravel(), minlength=size)
+            b += np.bincount(cols.ravel(), parts[:, own].ravel(), size)
+            fresh = np.linalg.solve(a, b).reshape(len(own), CENTRES, 2)
+            self.centres[own] = np.where(used[own][:, :, None], fresh, self.centres[own])
+            for k in own.tolist():
+                along[:, k] = (unit[:, k] * self.centres[k][codes[:, k]]).sum(axis=1)
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Codes (rows x parts), by coordinate descent on the loss."""
@@ -124,13 +133,10 @@ def _search(table: pa.Table, quantiser: Quantiser, d: int, k: int, rerank: int)
     if len(own):
         mine, codes = vectors[own], np.ascontiguousarray(np.frombuffer(b"".join(table["code"].take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1).T)
         for q in np.flatnonzero(query).tolist():
-            if len(own) > rerank:
-                found = np.zeros(len(own), np.float32)
-                for t, code in zip(quantiser.tables(vectors[q]), codes, strict=True):
-                    found += t.take(code)
-                best = np.argpartition(-found, rerank - 1)[:rerank]
-            else:
-                best = np.arange(len(own))
+            found = np.zeros(len(own), np.float32)
+            for t, code in zip(quantiser.tables(vectors[q]), codes, strict=True):
+                found += t.take(code)
+            best = np.argpartition(-found, min(rerank, len(own)) - 1)[:rerank]
             best = best[ids[own[best]] != ids[q]]
             score = (mine[best].astype(np.float64) * vectors[q].astype(np.float64)).sum(axis=1)
             order = np.lexsort((ids[own[best]], -score))[:k]
@@ -147,11 +153,17 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema)
-    d, total = max(sizes.items(), key=lambda x: (x[1], x[0]))
-    rows = rows.where(F.size("vector") == d)
+    found = reduce(DataFrame.union, (_of_length(rows.where(F.size("vector") == d), d, total, k, rerank, sample) for d, total in sorted(sizes.items())))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(rows: DataFrame, d: int, total: int, k: int, rerank: int, sample: int) -> DataFrame:
+    """(query_id, vec_id, score): of each block of vectors of d components the k nearest of each query."""
     some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
     quantiser = Quantiser.fit(np.array([r[0] for r in some], np.float64))
-    held = vectors.sparkSession.sparkContext.broadcast(quantiser)
+    held = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,6 +185,4 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
         index.select("id", "vector", "code", F.lit(False).alias("query"), deal(blocks, 1).alias("block"), each(query_blocks).alias("query_block"))
         .union(asked.select("id", "vector", F.lit(None).cast("binary"), F.lit(True), each(blocks), deal(query_blocks, 2)))
     )
-    found = both.groupBy("block", "query_block").applyInArrow(lambda t: _search(t, held.value, d, k, rerank), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.groupBy("block", "query_block").applyInArrow(lambda t: _search(t, held.value, d, k, rerank), "query_id long, vec_id long, score double")
