@@ -5,13 +5,16 @@ table. Arrivals are appended as they come: each write task leaves one small shar
 size (each `fanout` times the one below), merges runs of at least `fanout` shards of a tier, in their order, into files
 of up to the target size, and repeats until no tier has as many. A manifest is written beside its name and renamed to
 it, which fails if another writer was there first; readers see the old version or the new one, never a part of one.
-Files of no manifest are left by failed writers, and like those of old versions they go with `expire`. `shard` owns its
-table, so it expires old versions after each merge, and the disk holds little more than a merge's input and output.
+Files of no manifest are left by failed writers, and like those of old versions they go with `expire`, which spares the
+last versions and folders that are still young, as another writer may be filling them. An append that meets another
+writer's version is committed again on top of it. `shard` owns its table, so it expires old versions after each merge,
+and the disk holds little more than a merge's input and output.
 
 Only facts about shards (path, bytes, rows) come to the driver; rows are merged by Spark without a shuffle, each run by
 one task, whose input is at most the target size.
 
-Nulls and any columns are kept as they are. An empty arrival adds no shard; a table without shards has its schema and no
+Nulls, empty and very long texts, and any columns are kept as they are; where a column has the name of one that `rows`
+adds, the added one gets an underscore. Shards of equal size keep their order. An empty arrival adds no shard; a table without shards has its schema and no
 rows. Repeated rows are kept.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
@@ -26,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove
+from .common import remove, unused
 
 #: Runs merged by one job, each by one of its tasks; more of them follow in the next commits.
 RUNS_AT_ONCE = 256
+#: Facts of so many shards, about 100 bytes each, are sent to all tasks; of more they are joined by a shuffle.
+BROADCAST_SHARDS = 50_000
 
 
 def _name() -> Column:
@@ -90,10 +96,15 @@ class ShardTable:
 
     def append(self, rows: DataFrame) -> dict:
         """Add rows as small shards, one of each write task."""
-        before = self.manifest()
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        return self.commit(before, rows.schema.json(), before["shards"] + self._shards(folder, rows.schema))
+        new = self._shards(folder, rows.schema)
+        while True:
+            before = self.manifest()
+            try:
+                return self.commit(before, rows.schema.json(), before["shards"] + new)
+            except FileExistsError:  # another writer was first: on top of its version
+                continue
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)))
@@ -129,48 +140,57 @@ class ShardTable:
             old = {s["path"] for run in runs for s in run}
             now = self.commit(now, now["schema"], [s for s in now["shards"] if s["path"] not in old] + self._shards(folder, schema))
             if expire:
-                self.expire()
+                self.expire(1, 0)
         return now
 
-    def expire(self) -> None:
-        """Delete the data files that the last version doesn't name, and the versions before it."""
+    def expire(self, versions: int = 3, grace: float = 86_400) -> None:
+        """Delete the data files that the last `versions` don't name, and older versions.
+
+        A folder that none of them names goes only once it is `grace` seconds old: a writer may be filling it.
+        """
         jvm, path, fs = self._files()
-        now = self.manifest()
+        last = self.version()
+        first = max(1, last - versions + 1)
         keep: dict[str, set[str]] = {}
-        for s in now["shards"]:
-            folder, _, name = s["path"].rpartition("/")
-            keep.setdefault(folder.rpartition("/")[2], set()).add(name)
+        for version in range(first, last + 1):
+            for s in self.manifest(version)["shards"] if fs.exists(jvm.org.apache.hadoop.fs.Path(path, f"v{version:08}.json")) else []:
+                folder, _, name = s["path"].rpartition("/")
+                keep.setdefault(folder.rpartition("/")[2], set()).add(name)
         root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
         for f in fs.listStatus(root) if fs.exists(root) else []:
             named = keep.get(f.getPath().getName())
             if named is None:
-                remove(self.spark, f.getPath().toString())
+                if time.time() - f.getModificationTime() / 1000 >= grace:
+                    remove(self.spark, f.getPath().toString())
                 continue
             for shard in fs.listStatus(f.getPath()):
                 if shard.getPath().getName() not in named:
                     fs.delete(shard.getPath(), True)
         for f in fs.listStatus(path):
-            if f.getPath().getName() < f"v{now['version']:08}.json":
+            if f.getPath().getName() < f"v{first:08}.json" and f.getPath().getName().startswith("v"):
                 fs.delete(f.getPath(), False)
 
     def rows(self) -> DataFrame:
         """The rows of the last version, with shard (its place in the manifest), shard_tier, shard_rows, shard_bytes and version."""
         now = self.manifest()
-        extra = "shard long, shard_tier int, shard_rows long, shard_bytes long, version long"
         schema = T.StructType.fromJson(json.loads(now["schema"])) if now["schema"] else T.StructType()
-        facts = self.spark.createDataFrame([(s["name"], k, self.tier(s["bytes"]), s["rows"], s["bytes"], now["version"]) for k, s in enumerate(now["shards"])], f"shard_name string, {extra}")
+        name, *extra = (unused(schema.names, c) for c in ("shard_name", "shard", "shard_tier", "shard_rows", "shard_bytes", "version"))
+        types = [T.StringType(), T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType()]
+        added = T.StructType([T.StructField(c, t) for c, t in zip((name, *extra), types, strict=True)])
         if not now["shards"]:
-            return self.spark.createDataFrame([], T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields]))
-        read = self.spark.read.schema(schema).parquet(*(s["path"] for s in now["shards"])).withColumn("shard_name", _name())
-        return read.join(facts, "shard_name").drop("shard_name")
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, *added.fields[1:]]))
+        facts = self.spark.createDataFrame([(s["name"], k, self.tier(s["bytes"]), s["rows"], s["bytes"], now["version"]) for k, s in enumerate(now["shards"])], added)
+        if len(now["shards"]) <= BROADCAST_SHARDS:
+            facts = F.broadcast(facts)
+        read = self.spark.read.schema(schema).parquet(*(s["path"] for s in now["shards"])).withColumn(name, _name())
+        return read.join(facts, name).select(*schema.names, *extra)
 
 
 def shard(docs: DataFrame, path: str, arrivals: int = 2, key: str = "doc_id", target: int = 128 << 20, fanout: int = 4) -> DataFrame:
-    """Append docs in `arrivals` parts, compacting after each, the first one much the largest; the rows of the final version."""
+    """Append docs in `arrivals` parts of about the same size, compacting after each; the rows of the final version."""
     table = ShardTable(docs.sparkSession, path, target, fanout)
-    part = F.least(F.floor(F.pmod(F.xxhash64(key), F.lit(64)) / F.lit(max(1, 64 - 8 * (arrivals - 1)))) if arrivals == 2 else F.pmod(F.xxhash64(key), F.lit(arrivals)), F.lit(arrivals - 1))
     for k in range(arrivals):
-        table.append(docs.where(part == k))
+        table.append(docs.where(F.pmod(F.xxhash64(key), F.lit(arrivals)) == k))
         table.compact(expire=True)
-    table.expire()
+    table.expire(1, 0)
     return table.rows()
