@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, near_dedup, nearest, quality, queries, revisits, secrets, sharding, token_counts, toxicity
-from tessera.llm.common import new_path
+from tessera.llm.common import labelled_sample, new_path
 
 DIR, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -285,6 +285,8 @@ def test_shards_keep_all_rows_and_are_merged(spark, odd):
     with pytest.raises(FileExistsError):
         table.commit(before, before["schema"], [])
     table.expire()
+    assert table.rows().count() == 4 * odd.count() and table.manifest(table.version() - 1)["shards"]  # the last versions stay
+    table.expire(1, 0)
     assert table.rows().count() == 4 * odd.count()
     assert queries.op7_sharding(spark, DIR).count() == 200
     assert sharding.shard(odd.limit(0), new_path(spark, "table")).collect() == []
@@ -311,3 +313,65 @@ def test_token_counts_are_the_library_s(spark, odd):
     expected = sorted((str(k), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in docs.collect())
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, path).collect()) == expected
     assert token_counts.count_tokens(docs.limit(0), path).collect() == []
+
+
+def test_shards_of_several_tiers(spark):
+    table = sharding.ShardTable(spark, new_path(spark, "table"), target=1 << 16, fanout=3, smallest=1 << 10)
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.col("id").alias("version"), F.lit("n").alias("shard_name"), F.lit(1).alias("Shard"))
+    for _ in range(10):
+        table.append(rows.coalesce(1))
+        table.compact(expire=True)
+        sizes = Counter(table.tier(s["bytes"]) for s in table.manifest()["shards"] if s["bytes"] < table.target / 2)
+        assert all(n < table.fanout for n in sizes.values())
+    found = table.rows()
+    assert found.columns == ["doc_id", "version", "shard_name", "Shard", "shard_", "shard_tier", "shard_rows", "shard_bytes", "version_"]
+    assert Counter(r["doc_id"] for r in found.collect()) == Counter({k: 10 for k in range(40)})
+
+
+def test_runs_of_shards_against_all_cuts():
+    table = sharding.ShardTable(None, "x", target=100, fanout=3, smallest=4)
+    r = random.Random(5)
+    for _ in range(200):
+        shards = [{"path": str(k), "bytes": r.randrange(1, 120)} for k in range(r.randrange(12))]
+        runs = table.runs(shards)
+        tiers = [[s for s in shards if s["bytes"] < 50 and table.tier(s["bytes"]) == t] for t in range(9)]
+        for run in runs:  # one tier each, in order, within the target, and no run could have taken the next shard
+            own = next(t for t in tiers if run[0] in t)
+            at = own.index(run[0])
+            assert own[at : at + len(run)] == run and sum(s["bytes"] for s in run) <= 100 and len(run) > 1
+            assert at + len(run) == len(own) or sum(s["bytes"] for s in own[at : at + len(run) + 1]) > 100
+        merged = [s for run in runs for s in run]
+        assert all(len(t) < 3 or sum(s not in merged for s in t) <= len(t) / 2 for t in tiers)
+
+
+def test_nearest_of_several_lengths_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000 + k, [1.0 + k, 2.0]) for k in range(5)]
+    monkeypatch.setattr(nearest, "BLOCK", 700)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in sorted(nearest.search(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append(r["vec_id"])
+    assert found[5000] == [5004, 5003, 5002, 5001]
+    hits = 0
+    for q in range(0, 3000, 50):
+        best = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+        hits += len(set(best) & set(found[q]))
+    assert hits >= 0.9 * 20 * 60
+
+
+def test_long_items_make_small_anchors(spark):
+    words_ = [f"w{k % 50_021}" for k in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words_[70_000:70_030])), (2, "w1 w3 w5")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(words_))], "item_id long, text string")
+    assert decontamination.test_anchors(docs, items).agg(F.max(F.size(F.split("words", " ")))).first()[0] <= 19
+    assert {(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()} == {(1, 30, 1), (2, 0, 0)}
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(3)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) > 0
