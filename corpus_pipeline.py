@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, near_dedup, sharding
 from tessera.llm import toxicity as toxic
-from tessera.llm.common import new_path, read, written
+from tessera.llm.common import new_path, read, unused, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,31 +24,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.keep_clean(docs, toxic.train(docs, read(spark, sf_dir, "labels")))
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number of each row, `_row`, written so that all reads see the same one."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs with a number of each row, and that column's name, written so that all reads see the same one."""
+    row = unused(docs.columns, "_row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least (doc_id, row number) of each group of near-duplicates; a null doc_id comes last."""
-    rows = numbered(docs, "numbered")
-    classes = near_dedup.groups(rows, "_row").join(rows.select("_row", "doc_id"), "_row")
-    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    rows, row = numbered(docs, "numbered")
+    classes = near_dedup.groups(rows.select(row, "text"), row).join(rows.select(row, "doc_id"), row)
+    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))["row"].alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    rows = numbered(docs, "numbered")
-    found = decontamination.contamination(rows, read(spark, sf_dir, "benchmark"), key="_row")
-    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").select(docs.columns)
+    rows, row = numbered(docs, "numbered")
+    found = decontamination.contamination(rows.select(row, "text"), read(spark, sf_dir, "benchmark"), key=row)
+    return rows.join(found.where("contaminated").select(row), row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix of its source takes it."""
-    copies = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("mixed")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    id_, n, copy = (unused(docs.columns, c) for c in ("_id", "_copies", "_copy"))
+    copies = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("copies").alias(n))
+    taken = docs.where(F.col("text").rlike(mixing.WORD)).join(copies, F.col("doc_id").eqNullSafe(F.col(id_)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
