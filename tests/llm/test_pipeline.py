@@ -46,3 +46,25 @@ def test_stages_keep_rows_not_ids(spark, tmp_path):
     docs = spark.createDataFrame([(1, one), (1, bad), (None, bad), (None, two)], "doc_id long, text string")
     kept = Counter((r["doc_id"], r["text"]) for r in p.contamination(spark, docs, str(tmp_path)).collect())
     assert kept == Counter([(1, one), (None, two)])
+
+
+def test_stages_of_odd_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, an empty table."""
+    long = " ".join(f"word{k % 977} item{k % 31}" for k in range(30_000))
+    rows = [(1, "", "en", "a"), (2, None, None, None), (None, "some words here", "en", "a"), (None, None, None, None), (3, long, "en", "b"), (3, long, "en", "b"), (4, "x", "en", "b")]
+    names = ("_row", "copy", "copies", "mixed", "shard_name", "version", "key", "size", "node", "e", "_id")
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    counts = {}
+    for frame in (docs, docs.limit(0)):
+        before = frame
+        for name, stage in p.STAGES:
+            after = written(stage(spark, before, DIR), name)
+            assert after.columns[: len(docs.columns)] == docs.columns
+            counts[name] = after.count()
+            before = after
+        if frame is docs:
+            # the copy of 3 goes, and the null texts and the empty one have no words to mix
+            assert (counts["toxicity"], counts["near_duplicates"], counts["contamination"]) == (7, 6, 6)
+            assert {r["text"] for r in before.collect()} <= {long, "some words here", "x"}
+            assert counts["mix"] == counts["shards"] > 0
+    assert counts["shards"] == 0
