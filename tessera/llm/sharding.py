@@ -34,6 +34,8 @@ from .common import remove, unused
 
 #: Runs merged by one job, each by one of its tasks; more of them follow in the next commits.
 RUNS_AT_ONCE = 256
+#: Bytes of a row group of a merged file: what a task buffers while it writes or reads one.
+ROW_GROUP = 32 << 20
 #: Facts of so many shards, about 100 bytes each, are sent to all tasks; of more they are joined by a shuffle.
 BROADCAST_SHARDS = 50_000
 
@@ -136,7 +138,7 @@ class ShardTable:
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             # one task reads the shards of a run, at most the target size, and writes them as one file: rows are not shuffled
             merged = reduce(DataFrame.union, (self.spark.read.schema(schema).parquet(*(s["path"] for s in run)).coalesce(1) for run in runs))
-            merged.write.parquet(folder)
+            merged.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
             old = {s["path"] for run in runs for s in run}
             now = self.commit(now, now["schema"], [s for s in now["shards"] if s["path"] not in old] + self._shards(folder, schema))
             if expire:

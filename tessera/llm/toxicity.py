@@ -122,7 +122,7 @@ class _Shows(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = tuple(p for p in parts(word) if p in self.weights)
         return out

@@ -8,7 +8,7 @@ import numpy as np
 
 #: Upper to lower case for A-Z; ASCII other than letters and digits becomes a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -51,7 +51,7 @@ def hash_word(word: bytes) -> int:
 
 
 def hashed(rows: Iterator[tuple], text: int = -1) -> Iterator[tuple[tuple, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row its normal text and the starts, ends and hashes of its words; documents are hashed in blocks of about a megabyte."""
+    """For each row its normal text and the starts, ends and hashes of its words; documents are hashed in blocks of about a quarter of a megabyte."""
     block: list[tuple] = []
     size = 0
     for row in rows:
