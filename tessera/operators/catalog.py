@@ -12,7 +12,7 @@ def statistics(records: DataFrame, levels: list[str], size: str) -> DataFrame:
 
 
 def counts_by(records: DataFrame, *kinds: str) -> DataFrame:
-    """(kind, value, n) for each value of each of the columns, by grouping sets: one pass for all of them."""
+    """(kind, value, n) for each value of each of the columns, in one pass: a row becomes one for each column before they are counted."""
     names = F.array(*map(F.lit, kinds))
     each = records.select(F.explode(F.zip_with(names, F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kinds)), lambda k, v: F.struct(k.alias("kind"), v.alias("value")))).alias("x"))
     return each.groupBy(F.col("x.kind").alias("kind"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
@@ -48,3 +48,36 @@ def reachable(edges: DataFrame, source: str, target: str, depth: int) -> DataFra
         frontier = frontier.join(steps, "target").select("source", F.col("next").alias("target")).distinct().join(found, ["source", "target"], "left_anti").withColumn("depth", F.lit(d))
         found = found.union(frontier)
     return found
+
+
+def directory(records: DataFrame, levels: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """One row for each entity of each level: (level, path, n_records, n_children, consistent).
+
+    levels: (name, key column, columns that all records of an entity share), from the top. The path holds the keys from
+    the top to the entity. `consistent` says whether its records agree in those columns, absent values being one value.
+    Entities are counted from their own rows, so a large parent is summed up before anything is shuffled.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = lambda k: F.array(*(text(key) for _, key, _ in levels[: k + 1]))
+    shared = lambda columns: F.to_json(F.array(*(text(c) for c in columns))) if columns else F.lit("")
+    each = records.select(F.explode(F.array(*(F.struct(F.lit(name).alias("level"), path(k).alias("path"), shared(columns).alias("shared")) for k, (name, _, columns) in enumerate(levels)))).alias("x")).select("x.*")
+    nodes = each.groupBy("level", "path").agg(F.count("*").alias("n_records"), (F.min("shared") == F.max("shared")).alias("consistent"))
+    children = nodes.where(F.size("path") > 1).groupBy(F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.count("*").alias("n_children"))
+    return nodes.join(children, "path", "left").select("level", "path", "n_records", F.coalesce("n_children", F.lit(0)).alias("n_children"), "consistent")
+
+
+def several_roles(records: DataFrame, roles: list[str]) -> DataFrame:
+    """(identifier, roles): identifiers that stand in more than one of the columns, which should name different kinds of things."""
+    each = records.select(F.explode(F.array(*(F.struct(F.col(c).cast("string").alias("identifier"), F.lit(c).alias("role")) for c in roles))).alias("x")).select("x.*").where("identifier IS NOT NULL AND identifier <> ''")
+    return each.groupBy("identifier").agg(F.array_sort(F.collect_set("role")).alias("roles")).where(F.size("roles") > 1)
+
+
+def reference_kinds(references: DataFrame, nodes: DataFrame, source: str, target: str, node: str) -> DataFrame:
+    """references with `kind`: what is wrong with a reference between items named by their paths (1.2.3), or ok.
+
+    invalid: no path of positive numbers; self: its own item; ancestor: an item above it; missing: no such item.
+    """
+    path, at = F.coalesce(F.col(target), F.lit("")), F.col(source)
+    there = nodes.select(F.col(node).alias(target)).distinct().withColumn("_there", F.lit(True))
+    kind = F.when(~path.rlike(r"^[1-9][0-9]*([.][1-9][0-9]*)*\z"), "invalid").when(path == at, "self").when(at.startswith(F.concat(path, F.lit("."))), "ancestor").when(F.col("_there").isNull(), "missing").otherwise("ok")
+    return references.join(there, target, "left").withColumn("kind", kind).drop("_there")

@@ -85,6 +85,12 @@ def dose_at_volume(curve: DataFrame, by: list[str], percents: list[float]) -> Da
     return curve.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("percent") + 1e-9 >= p, F.col("bin"))), F.lit(0)).alias(f"d{p:g}") for p in percents))
 
 
+def dose_summary(voxels: DataFrame, by: list[str], dose: str, volume: str) -> DataFrame:
+    """Voxels, volume, least, largest and mean dose, the mean weighted by volume. Doses that are no finite numbers are left out."""
+    d, v = F.col(dose), F.col(volume)
+    return voxels.where(finite(d)).groupBy(*by).agg(F.count("*").alias("n"), F.sum(v).alias("volume"), F.min(d).alias("low"), F.max(d).alias("high"), F.when(F.sum(v) > 0, F.sum(d * v) / F.sum(v)).alias("mean"))
+
+
 def projection(voxels: DataFrame, by: list[str], value: str) -> DataFrame:
     """Largest, least and mean value along a slab for each place; without samples no value."""
     return voxels.groupBy(*by).agg(F.max(value).alias("mip"), F.min(value).alias("minip"), F.avg(value).alias("average"))
@@ -102,6 +108,15 @@ def envelope(samples: DataFrame, channel: str, position: str, value: str, low: i
     return samples.where((F.col(position) >= low) & (F.col(position) < high) & F.col(value).isNotNull()).groupBy(channel, at.alias("bucket")).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
 
 
+def amplitude_scale(buckets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, low, high, center, half_span, valid) of an envelope's buckets; a flat channel spans its own height or 1, one without finite values is -1 to 1."""
+    of = lambda f, c: f(F.when(finite(F.col(c).cast("double")), F.col(c).cast("double")))
+    ends = buckets.groupBy(*by).agg(F.least(of(F.min, "least"), of(F.min, "most")).alias("low"), F.greatest(of(F.max, "least"), of(F.max, "most")).alias("high"))
+    valid = F.col("low").isNotNull()
+    center, half = F.col("low") / 2 + F.col("high") / 2, F.col("high") / 2 - F.col("low") / 2
+    return ends.select(*by, F.coalesce("low", F.lit(-1.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"), F.when(valid, center).otherwise(0.0).alias("center"), F.when(~valid, 1.0).when(half > 0, half).otherwise(F.greatest(F.abs(center), F.lit(1.0))).alias("half_span"), valid.alias("valid"))
+
+
 def sequence_gaps(rows: DataFrame, by: list[str], order: list[str], at: str) -> DataFrame:
     """rows with `step` (to the row before) and `change` (of the step)."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -29,6 +29,17 @@ def page_after(steps: DataFrame, sequence: str, after: int, limit: int) -> DataF
     return steps.where(F.col(sequence) > after).orderBy(sequence).limit(limit)
 
 
+def listed(rows: DataFrame, order: str, limit: int, after=None, **wanted) -> DataFrame:
+    """The first `limit` rows in order, past `after`, whose columns hold the values wanted: one, or any of a list; an empty one asks nothing."""
+    if limit <= 0:
+        raise InvalidQuery("a list needs a positive limit")
+    for column, value in wanted.items():
+        values = [v for v in (value if isinstance(value, list | tuple | set) else [value]) if v not in ("", None)]
+        if values:
+            rows = rows.where(F.col(column).isin(*values))
+    return (rows if after is None else rows.where(F.col(order) > after)).orderBy(order).limit(limit)
+
+
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(event columns, recipient) once for each subscription that an event matches.
 

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import measures
+from tessera.functions import colors, measures, tags
 from tessera.functions.scalars import display_byte, exact_window_unit, is_uid, looked_up, name_display, normal_uid, person_name, remapped_uid, rescaled, sigmoid_window_unit, values_of, windowed
 from tessera.functions.temporal import date_display, precision, shifted_text, time_display, time_window, window
-from tessera.operators import catalog, geometry, graph, masks, stats, workflow
+from tessera.operators import catalog, frames, geometry, graph, masks, stats, workflow
 from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level, with_item
 from tessera.sources import tagged_json
 
@@ -502,3 +502,100 @@ def reference_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("s"))
     edges = keys.select("s", (F.col("s") + 1).alias("t")).where("s < 24").union(keys.where("s = 7").select("s", F.lit(3).cast("long")))
     return graph.acyclic_rest(edges, "s", "t")
+
+
+INSTANCES = "(SELECT CAST(o_custkey AS VARCHAR) AS p, CAST(o_orderkey AS VARCHAR) AS s, CAST(l_linenumber AS VARCHAR) AS i, o_orderpriority, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query(f"""SELECT 'patient' AS level, p AS path, count(*) AS n_records, count(DISTINCT s) AS n_children, count(DISTINCT o_orderpriority) = 1 AS consistent FROM {INSTANCES} GROUP BY p
+UNION ALL SELECT 'study', p || '/' || s, count(*), count(DISTINCT i), count(DISTINCT o_orderstatus) = 1 FROM {INSTANCES} GROUP BY p, s UNION ALL SELECT 'instance', p || '/' || s || '/' || i, count(*), 0, true FROM {INSTANCES} GROUP BY p, s, i""")
+def directory_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return catalog.directory(rows, [("patient", "o_custkey", ["o_orderpriority"]), ("study", "o_orderkey", ["o_orderstatus"]), ("instance", "l_linenumber", [])]).withColumn("path", F.array_join("path", "/"))
+
+
+@query("SELECT identifier, string_agg(role, ',' ORDER BY role) AS roles FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS identifier, 'l_partkey' AS role FROM lineitem UNION SELECT CAST(l_suppkey AS VARCHAR), 'l_suppkey' FROM lineitem UNION SELECT CAST(l_orderkey AS VARCHAR), 'l_orderkey' FROM lineitem) GROUP BY identifier HAVING count(*) > 1")
+def several_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.several_roles(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_orderkey"]).withColumn("roles", F.array_join("roles", ","))
+
+
+@query("""WITH i AS (SELECT l_orderkey + 1 AS o, l_linenumber AS l FROM lineitem), n AS (SELECT o || '.' || l AS node FROM i UNION SELECT CAST(o AS VARCHAR) FROM i),
+r AS (SELECT o || '.' || l AS source, CASE l % 5 WHEN 0 THEN o || '.' || l WHEN 1 THEN CAST(o AS VARCHAR) WHEN 2 THEN o || '.' || (l + 1) WHEN 3 THEN o || '.0' ELSE (o + 1) || '.1' END AS target, l % 5 AS k FROM i)
+SELECT source, target, CASE WHEN k = 3 THEN 'invalid' WHEN k = 0 THEN 'self' WHEN k = 1 THEN 'ancestor' WHEN target NOT IN (SELECT node FROM n) THEN 'missing' ELSE 'ok' END AS kind FROM r""")
+def reference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = F.col("l_orderkey") + 1, F.col("l_linenumber") % 5
+    text = lambda *parts: F.concat_ws(".", *(x.cast("string") for x in parts))
+    rows = table(spark, sf_dir, "lineitem")
+    own = text(o, F.col("l_linenumber"))
+    target = F.when(k == 0, own).when(k == 1, text(o)).when(k == 2, text(o, F.col("l_linenumber") + 1)).when(k == 3, text(o, F.lit(0))).otherwise(text(o + 1, F.lit(1)))
+    nodes = rows.select(F.explode(F.array(own, text(o))).alias("node"))
+    return catalog.reference_kinds(rows.select(own.alias("source"), target.alias("target")), nodes, "source", "target", "node")
+
+
+@query("SELECT event_type AS seg, count(*) AS n, count(*) * 0.5::DOUBLE AS volume, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def dose_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dose_summary(voxels(spark, sf_dir).withColumn("cc", F.lit(0.5)), ["seg"], "value", "cc").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT user_id, min(value) AS low, max(value) AS high, round(min(value) / 2 + max(value) / 2, 9) AS center, round(CASE WHEN max(value) > min(value) THEN max(value) / 2 - min(value) / 2 ELSE greatest(abs(max(value)), 1) END, 9) AS half_span, true AS valid FROM events GROUP BY user_id")
+def amplitude_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 16).alias("bucket")).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    return stats.amplitude_scale(buckets, ["user_id"]).select("user_id", "low", "high", F.round("center", 9).alias("center"), F.round("half_span", 9).alias("half_span"), "valid")
+
+
+@query("""WITH l AS (SELECT user_id, 100 * (1 + event_id % 32) AS width, CAST(user_id % 6 AS DOUBLE) AS scale FROM events), b AS (SELECT user_id, max(width) AS base FROM l GROUP BY user_id),
+r AS (SELECT user_id, width, base / width AS ratio, CASE WHEN scale > 0 THEN round(abs(log2(base / width / scale)), 9) ELSE base / width END AS apart FROM l JOIN b USING (user_id))
+SELECT user_id, width, ratio FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY apart, ratio) AS n FROM r) WHERE n = 1""")
+def pyramid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", ((1 + F.col("event_id") % 32) * 100).alias("width"))
+    return frames.level_for_scale(rows, ["user_id"], "width", F.col("user_id") % 6)
+
+
+VIEWS = "(SELECT c_custkey, c_custkey % 900 - 50 AS x0, c_custkey % 900 + 450 AS x1, c_custkey % 700 - 20 AS y0, c_custkey % 700 + 180 AS y1 FROM customer)"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, CAST(r AS BIGINT) AS tile_row, CAST(c AS BIGINT) AS tile_column, 1 + r * 4 + c AS frame, (c * 256 + 128 - (x0 + 250)) ** 2 + (r * 256 + 128 - (y0 + 100)) ** 2 AS apart FROM {VIEWS}, range(4) AS a(r), range(4) AS b(c) WHERE c * 256 < least(x1, 1000) AND (c + 1) * 256 > greatest(x0, 0) AND r * 256 < least(y1, 800) AND (r + 1) * 256 > greatest(y0, 0) AND 1 + r * 4 + c <= 15)
+SELECT c_custkey, tile_row, tile_column, frame, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY apart, frame) AS INT) AS place FROM t) WHERE place <= 3""")
+def pyramid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    views = table(spark, sf_dir, "customer").select("c_custkey", F.lit(1000).alias("width"), F.lit(800).alias("height"), F.lit(15).alias("n_frames"), (k % 900 - 50).alias("x0"), (k % 900 + 450).alias("x1"), (k % 700 - 20).alias("y0"), (k % 700 + 180).alias("y1"))
+    tiles = frames.tiles_in_view(views, (256, 256))
+    return frames.nearest_tiles(tiles, ["c_custkey"], F.col("x0") + 250, F.col("y0") + 100, (256, 256), 3).select("c_custkey", "tile_row", "tile_column", "frame", "place")
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id, event_id % 1000 AS frame FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS k FROM f WHERE frame BETWEEN 100 AND 199 OR frame BETWEEN 300 AND 999)
+SELECT user_id, 1 AS item, frame, 7 AS mask FROM f UNION ALL SELECT user_id, 2, frame, [1, 2, 3][k] FROM n""")
+def mask_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 1000).alias("frame"))
+    span = lambda a, b: F.struct(F.lit(a).alias("first"), F.lit(b).alias("last"))
+    each = F.array(*(F.struct(F.lit(k).alias("item"), r.alias("ranges"), F.array(*map(F.lit, m)).alias("masks")) for k, r, m in ((1, F.filter(F.array(span(0, 0)), lambda _: F.lit(False)), (7,)), (2, F.array(span(100, 199), span(300, 999)), (1, 2, 3)))))
+    items = rows.select("user_id").distinct().select("user_id", F.explode(each).alias("x")).select("user_id", "x.*")
+    return frames.mask_frames(rows, items, ["user_id"], "frame")
+
+
+LINEAR = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92 ELSE ((({0}) + 0.055) / 1.055) ** 2.4 END"
+
+
+@query(f"""WITH c AS (SELECT event_id, (event_id % 256) / 255.0::DOUBLE AS r, (user_id % 256) / 255.0::DOUBLE AS g, (event_id * 7 % 256) / 255.0::DOUBLE AS b FROM events), n AS (SELECT event_id, {LINEAR.format('r')} AS r, {LINEAR.format('g')} AS g, {LINEAR.format('b')} AS b FROM c),
+v AS (SELECT event_id, 0.4124564::DOUBLE * r + 0.3575761::DOUBLE * g + 0.1804375::DOUBLE * b AS x, 0.2126729::DOUBLE * r + 0.7151522::DOUBLE * g + 0.0721750::DOUBLE * b AS y, 0.0193339::DOUBLE * r + 0.1191920::DOUBLE * g + 0.9503041::DOUBLE * b AS z FROM n),
+d AS (SELECT event_id, (1.0479298::DOUBLE * x + 0.0229468::DOUBLE * y - 0.0501922::DOUBLE * z) / 0.96422 AS x, 0.0296278::DOUBLE * x + 0.9904345::DOUBLE * y - 0.0170738::DOUBLE * z AS y, (-0.0092430::DOUBLE * x + 0.0150552::DOUBLE * y + 0.7518743::DOUBLE * z) / 0.82521 AS z FROM v),
+f AS (SELECT event_id, {', '.join(f'CASE WHEN {a} > (6.0 / 29) ** 3 THEN cbrt({a}) ELSE {a} / (3 * (6.0 / 29) ** 2) + 4.0 / 29 END AS {a}' for a in 'xyz')} FROM d)
+SELECT event_id, CAST(round(greatest(0, least(100, 116 * y - 16)) * 65535 / 100) AS INT) AS l, CAST(round((greatest(-128, least(127, 500 * (x - y))) + 128) * 65535 / 255) AS INT) AS a, CAST(round((greatest(-128, least(127, 200 * (y - z))) + 128) * 65535 / 255) AS INT) AS b, true AS back FROM f""")
+def lab_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = [(F.col(c) * m % 256).cast("int") for c, m in (("event_id", 1), ("user_id", 1), ("event_id", 7))]
+    rows = table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for c, n in zip(rgb, ("red", "green", "blue"), strict=True))).withColumn("w", colors.lab_words(F.col("red"), F.col("green"), F.col("blue")))
+    back = colors.rgb_of_words(F.col("w.l"), F.col("w.a"), F.col("w.b"))
+    return rows.select("event_id", "w.*", (back == F.struct(F.col("red").alias("r"), F.col("green").alias("g"), F.col("blue").alias("b"))).alias("back"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 9999) * 65536 + user_id % 5000 END AS number, CASE WHEN event_id % 3 < 2 THEN lpad(upper(to_hex((event_id % 9999) * 65536 + user_id % 5000)), 8, '0') END AS tag, CASE WHEN event_id % 3 < 2 THEN event_id % 9999 % 2 = 1 END AS private FROM events")
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, e = (F.lpad(F.hex(c), 4, "0") for c in (F.col("event_id") % 9999, F.col("user_id") % 5000))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("("), F.lower(g), F.lit(", "), e, F.lit(")"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), g, e)).otherwise(F.concat(F.lit("("), g, F.lit(","), e))
+    number = tags.tag_number(text)
+    return table(spark, sf_dir, "events").select("event_id", number.alias("number"), tags.tag_text(number).alias("tag"), tags.is_private(number).alias("private"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '1-URGENT' AND o_orderkey > 100 ORDER BY o_orderkey LIMIT 25")
+def deliveries_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.listed(table(spark, sf_dir, "orders"), "o_orderkey", 25, after=100, o_orderstatus=["F", "P"], o_orderpriority="1-URGENT", o_clerk="").select("o_orderkey", "o_orderstatus")

@@ -1,6 +1,7 @@
 """Tagged JSON documents ({"00100010": {"vr": "PN", "Value": [...]}}) to rows of elements and back, by JVM functions.
 
-An element is a row (key, tag, vr, values, uri): values are texts, those of names and sequences the JSON of their items.
+An element is a row (key, tag, vr, values, uri, binary): values are texts, those of names and sequences the JSON of their
+items; binary is the base64 text of a value in bytes.
 Null or malformed documents have no elements. An element without Value has an empty list; null items stay null.
 """
 
@@ -13,19 +14,19 @@ from pyspark.sql import functions as F
 NUMBERS = ("FD", "FL", "OV", "SL", "SS", "SV", "UL", "US", "UV")
 #: Those whose values are JSON objects.
 OBJECTS = ("PN", "SQ")
-ELEMENT = "map<string, struct<vr: string, Value: array<string>, BulkDataURI: string>>"
+ELEMENT = "map<string, struct<vr: string, Value: array<string>, BulkDataURI: string, InlineBinary: string>>"
 
 
 def elements(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, tag, vr, values, uri), one row for each element of each document's top level."""
+    """(key, tag, vr, values, uri, binary), one row for each element of each document's top level."""
     each = docs.select(key, F.explode(F.from_json(json, ELEMENT)).alias("tag", "e"))
-    return each.select(key, F.upper("tag").alias("tag"), F.col("e.vr").alias("vr"), F.coalesce("e.Value", F.array().cast("array<string>")).alias("values"), F.col("e.BulkDataURI").alias("uri"))
+    return each.select(key, F.upper("tag").alias("tag"), F.col("e.vr").alias("vr"), F.coalesce("e.Value", F.array().cast("array<string>")).alias("values"), F.col("e.BulkDataURI").alias("uri"), F.col("e.InlineBinary").alias("binary"))
 
 
 def items(rows: DataFrame, key: str, tag: str) -> DataFrame:
-    """(key, item, tag, vr, values, uri) of the items of the sequence `tag`; item counts from 0."""
+    """(key, item, tag, vr, values, uri, binary) of the items of the sequence `tag`; item counts from 0."""
     each = rows.where((F.col("tag") == tag) & (F.col("vr") == "SQ")).select(key, F.posexplode("values").alias("item", "json"))
-    return elements(each.withColumn("_at", F.struct(key, "item")), "_at", "json").select("_at.*", "tag", "vr", "values", "uri")
+    return elements(each.withColumn("_at", F.struct(key, "item")), "_at", "json").select("_at.*", "tag", "vr", "values", "uri", "binary")
 
 
 def texts(values: Column, vr: Column) -> Column:
@@ -42,7 +43,7 @@ def text(values: Column, vr: Column) -> Column:
 
 
 def documents(rows: DataFrame, key: str) -> DataFrame:
-    """(key, json) of rows of elements: tags in order, no group lengths (xxxx0000), numbers that JSON can't hold as strings.
+    """(key, json) of rows of elements: tags in order, no group lengths (xxxx0000), numbers that JSON can't hold as strings. Rows may come without `binary`.
 
     A document's elements meet in one task, as they must to be one JSON text; of a tag given twice one element stays.
     """
@@ -50,7 +51,8 @@ def documents(rows: DataFrame, key: str) -> DataFrame:
     plain = lambda v: F.col("vr").isin(*OBJECTS) | (F.col("vr").isin(*NUMBERS) & v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
     body = F.array_join(F.transform("values", lambda v: F.when(v.isNull(), "null").when(plain(v), v).otherwise(quoted(v))), ",")
     empty = (F.size("values") == 0) | ((F.size("values") == 1) & (F.coalesce(F.get("values", F.lit(0)), F.lit("")) == ""))
-    value = F.when(F.col("uri").isNotNull(), F.concat(F.lit(',"BulkDataURI":'), quoted(F.col("uri")))).when(empty, "").otherwise(F.concat(F.lit(',"Value":['), body, F.lit("]")))
+    rows = rows if "binary" in rows.columns else rows.withColumn("binary", F.lit(None).cast("string"))
+    value = F.when(F.col("uri").isNotNull(), F.concat(F.lit(',"BulkDataURI":'), quoted(F.col("uri")))).when(F.col("binary").isNotNull(), F.concat(F.lit(',"InlineBinary":'), quoted(F.col("binary")))).when(empty, "").otherwise(F.concat(F.lit(',"Value":['), body, F.lit("]")))
     one = F.concat(F.lit('"'), "tag", F.lit('":{"vr":"'), "vr", F.lit('"'), value, F.lit("}"))
     kept = rows.where(~F.col("tag").endswith("0000")).select(key, "tag", one.alias("one"))
     unique = kept.groupBy(key, "tag").agg(F.min("one").alias("one"))

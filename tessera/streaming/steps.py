@@ -22,13 +22,15 @@ def _change(state: str, owner: str, wanted: str, transaction: str | None) -> tup
         return state, owner, "invalid state"
     if not transaction:
         return state, owner, "no transaction"
-    if state in ("COMPLETED", "CANCELED"):
-        return state, owner, "already so" if state == wanted else "final"
     if state == "SCHEDULED":
         return (wanted, transaction, "changed") if wanted == "IN PROGRESS" else (state, owner, "not in progress")
-    if wanted == "IN PROGRESS":
+    if transaction != owner:  # whatever the state, only the transaction that holds a step learns more
+        return state, owner, "wrong transaction"
+    if state in BEFORE[wanted]:
+        return wanted, owner, "changed"
+    if state == "IN PROGRESS":
         return state, owner, "already in progress"
-    return (wanted, owner, "changed") if transaction == owner else (state, owner, "wrong transaction")
+    return state, owner, "already so" if state == wanted else "final"
 
 
 def change_states(requests: DataFrame) -> DataFrame:

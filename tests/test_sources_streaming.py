@@ -68,3 +68,16 @@ def test_awaited(spark, tmp_path):
     stream = lambda name, column: spark.readStream.schema(f"transaction string, {column} timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
     found = {r.transaction: r.outcome for r in _run(spark, steps.awaited(stream("asked", "asked"), stream("told", "answered"), "60 seconds"), tmp_path, "waits").collect()}
     assert found == {"x": "answered", "y": "timed out", "z": "answered"}
+
+
+def test_binary_values_come_back(spark):
+    doc = {"00420011": {"vr": "OB", "InlineBinary": "AQID/w=="}, "7FE00010": {"vr": "OW", "BulkDataURI": "bulk/1"}}
+    rows = tagged_json.elements(spark.createDataFrame([(1, json.dumps(doc))], "id long, text string"), "id", "text")
+    assert json.loads(tagged_json.documents(rows, "id").first().json) == doc
+
+
+def test_a_transaction_that_does_not_hold_the_step_learns_nothing():
+    assert steps._change("COMPLETED", "t", "COMPLETED", "u")[2] == "wrong transaction"
+    assert steps._change("IN PROGRESS", "t", "IN PROGRESS", "u")[2] == "wrong transaction"
+    assert [steps._change("COMPLETED", "t", w, "t")[2] for w in ("COMPLETED", "CANCELED", "IN PROGRESS")] == ["already so", "final", "final"]
+    assert steps._change("IN PROGRESS", "t", "IN PROGRESS", "t")[2] == "already in progress"
