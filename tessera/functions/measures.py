@@ -149,3 +149,28 @@ def corrected_alpha(alpha: Column, scale: Column, distance: Column, unit: Column
     one = F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha * F.when(scale > 0, scale).otherwise(0.0)))
     steps = F.when((distance > 0) & (unit > 0), distance / unit).otherwise(F.lit(1.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.pow(1 - one, steps)))
+
+
+Frame = tuple[tuple[float, float, float], tuple[float, ...], tuple[float, float]]
+"""Origin, directions of a row and of a column (six numbers, or all 0 for the axes) and spacing along both."""
+
+
+def _directions(orientation: tuple[float, ...]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    row, column = orientation[:3], orientation[3:]
+    return (row, column) if any(row) and any(column) else ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0))
+
+
+def slide_point(x: Column, y: Column, frame: Frame, z: float = 0.0) -> Column:
+    """The struct (x, y, z) of a pixel in the coordinates of the slide, or null without a positive spacing."""
+    origin, orientation, spacing = frame
+    row, column = _directions(orientation)
+    at = [x * (spacing[0] * r) + y * (spacing[1] * c) + o for r, c, o in zip(row, column, (*origin[:2], origin[2] + z), strict=True)]
+    return F.when(F.lit(_valid(spacing)), F.struct(*(v.alias(n) for v, n in zip(at, "xyz", strict=True))))
+
+
+def slide_pixel(point: Column, frame: Frame) -> Column:
+    """The struct (x, y) of the pixel, with fractions, of a point of the slide, or null without a positive spacing."""
+    origin, orientation, spacing = frame
+    d = [point[n] - o for n, o in zip("xyz", origin, strict=True)]
+    along = [(d[0] * v[0] + d[1] * v[1] + d[2] * v[2]) / F.nullif(F.lit(float(s)), F.lit(0.0)) for v, s in zip(_directions(orientation), spacing, strict=True)]
+    return F.when(F.lit(_valid(spacing)), F.struct(along[0].alias("x"), along[1].alias("y")))

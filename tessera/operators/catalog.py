@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,18 @@ def reference_kinds(references: DataFrame, nodes: DataFrame, source: str, target
     there = nodes.select(F.col(node).alias(target)).distinct().withColumn("_there", F.lit(True))
     kind = F.when(~path.rlike(r"^[1-9][0-9]*([.][1-9][0-9]*)*\z"), "invalid").when(path == at, "self").when(at.startswith(F.concat(path, F.lit("."))), "ancestor").when(F.col("_there").isNull(), "missing").otherwise("ok")
     return references.join(there, target, "left").withColumn("kind", kind).drop("_there")
+
+
+def prior_wanted(abstract: Column, relative: Column) -> Column:
+    """Which earlier study a display asks for: 0 for the latest one, null if it asks for none.
+
+    `abstract` (array of counts back, 1 the latest; the least stands, its sign doesn't matter) goes before `relative`
+    (array of times, any of which but 0 asks for the latest).
+    """
+    steps = F.filter(F.transform(abstract, F.abs), lambda v: v != 0)
+    return F.when(F.size(steps) > 0, F.array_min(steps) - 1).when(F.exists(relative, lambda v: v != 0), 0).cast("int")
+
+
+def priors(studies: DataFrame, by: list[str], order: list[str], key: str, back: int = 0) -> DataFrame:
+    """studies with `prior`: the key of the study that lies back + 1 before it in the order of its patient."""
+    return studies.withColumn("prior", F.lag(key, back + 1).over(Window.partitionBy(*by).orderBy(*order)))

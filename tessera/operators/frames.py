@@ -61,3 +61,16 @@ def mask_frames(frames: DataFrame, items: DataFrame, by: list[str], frame: str)
     met = frames.select(*by, frame).distinct().join(items.select(*by, "item", "ranges", "masks"), by).where(within)
     place = F.row_number().over(Window.partitionBy(*by, "item").orderBy(frame)) - 1
     return met.withColumn("_k", place).select(*by, "item", frame, F.when(F.size("masks") == 1, F.get("masks", F.lit(0))).otherwise(F.get("masks", F.col("_k"))).alias("mask"))
+
+
+def calibrated(points: DataFrame, regions: DataFrame, by: list[str], id_: str) -> DataFrame:
+    """points (by, id, x, y) with region, physical x and y: by the region of least number that holds the point, null where none does.
+
+    regions: by, region, its corners x0, y0, x1, y1 (inside it), reference pixel rx, ry from its first corner, the values
+    vx, vy there, and the steps dx, dy of a pixel. Regions of a frame are few, so points meet those of their frame only.
+    """
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    px = F.col("vx") + (F.col("x") - F.col("x0") - F.col("rx")) * F.col("dx")
+    py = F.col("vy") + (F.col("y") - F.col("y0") - F.col("ry")) * F.col("dy")
+    first = points.join(regions, by).where(inside).groupBy(*by, id_).agg(F.min(F.struct("region", px.alias("px"), py.alias("py"))).alias("_f"))
+    return points.join(first, [*by, id_], "left").select(*points.columns, F.col("_f.region").alias("region"), F.col("_f.px").alias("px"), F.col("_f.py").alias("py"))

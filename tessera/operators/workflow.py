@@ -161,6 +161,24 @@ def recipients(steps: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return own.where("active").join(steps.select("step").distinct(), "step").select("step", "recipient").union(all_.join(own.where("NOT active").select("step", "recipient"), ["step", "recipient"], "left_anti").select("step", "recipient")).distinct()
 
 
+def kept_subscriptions(subscriptions: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+    """subscriptions (recipient, step or null for all, active, updated) without the unsubscriptions that say nothing any more.
+
+    One stays while its step is there and its recipient subscribes to all steps, and of those the `most` latest stay; ties
+    go to the larger recipient and step.
+    """
+    active, ended = subscriptions.where("active"), subscriptions.where("NOT active AND step IS NOT NULL")
+    everywhere = active.where("step IS NULL").select("recipient").distinct()
+    needed = ended.join(steps.select("step").distinct(), "step", "left_semi").join(everywhere, "recipient", "left_semi")
+    return active.unionByName(needed.orderBy(F.desc("updated"), F.desc("recipient"), F.desc("step")).limit(most).select(*active.columns))
+
+
+def report(findings: DataFrame, key: str) -> DataFrame:
+    """(key, n_errors, n_warnings, codes): the findings (key, code, severity) of each key counted, with its codes in order."""
+    n = lambda severity: F.count(F.when(F.col("severity") == severity, 1))
+    return findings.groupBy(key).agg(n("error").alias("n_errors"), n("warning").alias("n_warnings"), F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def purged(transactions: DataFrame, done_before: Column) -> DataFrame:
     """The transactions without those completed or failed before a time."""
     return transactions.where(~F.coalesce(F.col("state").isin("completed", "failed") & (F.col("finished") < done_before), F.lit(False)))

@@ -599,3 +599,47 @@ def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '1-URGENT' AND o_orderkey > 100 ORDER BY o_orderkey LIMIT 25")
 def deliveries_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.listed(table(spark, sf_dir, "orders"), "o_orderkey", 25, after=100, o_orderstatus=["F", "P"], o_orderpriority="1-URGENT", o_clerk="").select("o_orderkey", "o_orderstatus")
+
+
+@query("""WITH p AS (SELECT user_id, event_id, event_id % 640 AS x, event_id * 3 % 480 AS y FROM events), r AS (SELECT unnest([1, 2]) AS region, unnest([0, 100]) AS x0, unnest([0, 50]) AS y0, unnest([200, 500]) AS x1, unnest([300, 400]) AS y1, unnest([10, 0]) AS rx, unnest([0, 20]) AS ry, unnest([0.5, -1.0])::DOUBLE AS vx, unnest([0.0, 2.0])::DOUBLE AS vy, unnest([0.25, 0.5])::DOUBLE AS dx, unnest([0.5, -0.125])::DOUBLE AS dy)
+SELECT event_id, region, vx + (x - x0 - rx) * dx AS px, vy + (y - y0 - ry) * dy AS py FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY region) AS n FROM p LEFT JOIN r ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) WHERE n = 1""")
+def region_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 640).alias("x"), (F.col("event_id") * 3 % 480).alias("y"))
+    each = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("region", "x0", "y0", "x1", "y1", "rx", "ry", "vx", "vy", "dx", "dy"), r, strict=True))) for r in ((1, 0, 0, 200, 300, 10, 0, 0.5, 0.0, 0.25, 0.5), (2, 100, 50, 500, 400, 0, 20, -1.0, 2.0, 0.5, -0.125))))
+    regions = rows.select("user_id").distinct().select("user_id", F.explode(each).alias("r")).select("user_id", "r.*")
+    return frames.calibrated(rows, regions, ["user_id"], "event_id").select("event_id", "region", "px", "py")
+
+
+@query("SELECT event_id, round(1 + (user_id % 97) * 0.3::DOUBLE - (event_id % 89) * 0.2::DOUBLE, 6) + 0 AS sx, round(2 + (user_id % 97) * 0.4::DOUBLE + (event_id % 89) * 0.15::DOUBLE, 6) + 0 AS sy, 3.5::DOUBLE AS sz, CAST(user_id % 97 AS DOUBLE) AS x, CAST(event_id % 89 AS DOUBLE) AS y FROM events")
+def slide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = ((1.0, 2.0, 3.0), (0.6, 0.8, 0.0, -0.8, 0.6, 0.0), (0.5, 0.25))
+    rows = points(spark, sf_dir).withColumn("s", measures.slide_point(F.col("ax"), F.col("ay"), frame, 0.5))
+    pixel = measures.slide_pixel(F.col("s"), frame)
+    return rows.select("event_id", (F.round("s.x", 6) + 0).alias("sx"), (F.round("s.y", 6) + 0).alias("sy"), F.round("s.z", 6).alias("sz"), (F.round(pixel["x"], 6) + 0).alias("x"), (F.round(pixel["y"], 6) + 0).alias("y"))
+
+
+@query("""WITH s AS (SELECT 'u' || user_id % 7 AS recipient, event_id AS step, epoch_us(ts) AS updated FROM events WHERE event_id % 4 = 1), k AS (SELECT * FROM s WHERE step % 3 = 0 AND recipient IN ('u0', 'u2') ORDER BY updated DESC, recipient DESC, step DESC LIMIT 40)
+SELECT recipient, step, true AS active FROM (SELECT 'u' || user_id % 7 AS recipient, event_id AS step FROM events WHERE event_id % 4 = 2) UNION ALL SELECT unnest(['u0', 'u2']), NULL, true UNION ALL SELECT recipient, step, false FROM k""")
+def subscriptions_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("recipient"), F.col("event_id").alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated"))
+    own = rows.where("step % 4 IN (1, 2)").withColumn("active", F.col("step") % 4 == 2)
+    everywhere = spark.createDataFrame([("u0", None, 0, True), ("u2", None, 0, True)], "recipient string, step long, updated long, active boolean")
+    return workflow.kept_subscriptions(own.unionByName(everywhere), rows.where("step % 3 = 0"), 40).select("recipient", "step", "active")
+
+
+@query("""WITH f AS (SELECT user_id, CASE WHEN value < 5 THEN 'low' WHEN value > 90 THEN 'high' ELSE 'type' END AS code, CASE WHEN value < 5 OR value > 90 THEN 'error' ELSE 'warning' END AS severity FROM events WHERE value < 5 OR value > 90 OR event_type = 'click')
+SELECT user_id, count(CASE WHEN severity = 'error' THEN 1 END) AS n_errors, count(CASE WHEN severity = 'warning' THEN 1 END) AS n_warnings, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM f GROUP BY user_id""")
+def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    code = F.when(v < 5, "low").when(v > 90, "high").when(F.col("event_type") == "click", "type")
+    found = table(spark, sf_dir, "events").select("user_id", code.alias("code"), F.when((v < 5) | (v > 90), "error").otherwise("warning").alias("severity")).where("code IS NOT NULL")
+    return workflow.report(found, "user_id").withColumn("codes", F.array_join("codes", ","))
+
+
+@query("SELECT o_orderkey, lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prior, CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 3 WHEN o_orderkey % 4 = 1 THEN 0 END AS INT) AS wanted FROM orders")
+def prior_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, step = F.col("o_orderkey") % 4, (F.col("o_custkey") % 3 + 1).cast("int")
+    abstract = F.when(k == 0, F.array(F.lit(0), -step, F.lit(9))).otherwise(F.array(F.lit(0)))
+    relative = F.when(k == 1, F.array(F.lit(0), F.lit(30))).otherwise(F.array().cast("array<int>"))
+    rows = catalog.priors(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", 1)
+    return rows.select("o_orderkey", "prior", catalog.prior_wanted(abstract, relative).alias("wanted"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import colors, tags
+from tessera.functions import colors, measures, tags
 from tessera.operators import catalog, frames, stats, workflow
 from tessera.operators.match import InvalidQuery
 
@@ -76,3 +76,38 @@ def test_lists_need_a_limit(spark):
     with pytest.raises(InvalidQuery):
         workflow.listed(spark.range(3), "id", 0)
     assert [r.id for r in workflow.listed(spark.range(9), "id", 2, after=3, id=[1, 4, 5, 8]).collect()] == [4, 5]
+
+
+def test_slide_coordinates(spark):
+    at = lambda spacing: measures.slide_point(F.lit(2), F.lit(4), ((10, 20, 30), (0,) * 6, spacing), 1)
+    assert tuple(one(spark, at((0.5, 0.25)))) == (11, 21, 31) and one(spark, at((0, 1))) is None
+    assert tuple(one(spark, measures.slide_pixel(at((0.5, 0.25)), ((10, 20, 30), (0,) * 6, (0.5, 0.25))))) == (2, 4)
+    assert one(spark, measures.slide_pixel(at((0.5, 0.25)), ((10, 20, 30), (0,) * 6, (0, 1)))) is None
+
+
+def test_calibrated(spark):
+    points = spark.createDataFrame([("f", 1, 5, 5), ("f", 2, 9, 9), ("g", 3, 5, 5)], "f string, id int, x int, y int")
+    regions = spark.createDataFrame([("f", 2, 0, 0, 5, 5, 0, 0, 7.0, 7.0, 1.0, 1.0), ("f", 1, 5, 5, 8, 8, 1, 0, 1.0, 2.0, 0.5, 0.5)], "f string, region int, x0 int, y0 int, x1 int, y1 int, rx int, ry int, vx double, vy double, dx double, dy double")
+    found = {r.id: (r.region, r.px, r.py) for r in frames.calibrated(points, regions, ["f"], "id").collect()}
+    assert found == {1: (1, 0.5, 2.0), 2: (None, None, None), 3: (None, None, None)}
+
+
+def test_kept_subscriptions(spark):
+    rows = [("a", None, True, 1), ("a", 1, False, 5), ("a", 2, False, 6), ("a", 9, False, 7), ("b", 1, False, 8), ("b", 2, True, 1), ("c", None, False, 9)]
+    subs = spark.createDataFrame(rows, "recipient string, step long, active boolean, updated int")
+    steps = spark.createDataFrame([(1,), (2,)], "step long")
+    kept = lambda most: sorted((r.recipient, r.step or 0, r.active) for r in workflow.kept_subscriptions(subs, steps, most).collect())
+    assert kept(9) == [("a", 0, True), ("a", 1, False), ("a", 2, False), ("b", 2, True)]
+    assert kept(1) == [("a", 0, True), ("a", 2, False), ("b", 2, True)]
+
+
+def test_priors(spark):
+    ask = lambda a, r: one(spark, catalog.prior_wanted(F.array(*map(F.lit, a)).cast("array<int>"), F.array(*map(F.lit, r)).cast("array<int>")))
+    assert [ask([0, -3, 2], [9]), ask([0], [0, 5]), ask([], [0]), ask([], [])] == [1, 0, None, None]
+    rows = spark.createDataFrame([("p", 1, 3), ("p", 2, 1), ("q", 3, 2)], "p string, k int, at int")
+    assert {r.k: r.prior for r in catalog.priors(rows, ["p"], ["at"], "k").collect()} == {1: 2, 2: None, 3: None}
+
+
+def test_report(spark):
+    rows = spark.createDataFrame([(1, "x", "error"), (1, "x", "error"), (1, "a", "warning")], "k int, code string, severity string")
+    assert [tuple(r) for r in workflow.report(rows, "k").collect()] == [(1, 2, 1, ["a", "x"])]
