@@ -99,6 +99,33 @@ def polygon_contains(points: Column, x: Column, y: Column) -> Column:
     return (F.size(points) >= 3) & (hits % 2 == 1)
 
 
+def _edges(points: Column, closed: bool) -> Column:
+    following = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
+    following = F.concat(following, F.slice(points, 1, 1)) if closed else following
+    return F.zip_with(F.slice(points, 1, F.size(following)), following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def polyline_meets(points: Column, low: Point, high: Point, closed: bool = False) -> Column:
+    """Does a line of points touch the rectangle from low to high, its border included? One point alone may.
+
+    A segment misses a rectangle if their extents are apart, or if all corners lie strictly on one side of it.
+    """
+    (x0, y0), (x1, y1) = low, high
+
+    def touches(e: Column) -> Column:
+        px, py, qx, qy = e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]
+        side = [(qx - px) * (y - py) - (qy - py) * (x - px) for x in (x0, x1) for y in (y0, y1)]
+        near = (F.greatest(px, qx) >= x0) & (F.least(px, qx) <= x1) & (F.greatest(py, qy) >= y0) & (F.least(py, qy) <= y1)
+        return near & (F.least(*side) <= 0) & (F.greatest(*side) >= 0)
+
+    return F.exists(points, lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1)) | F.exists(_edges(points, closed), touches)
+
+
+def polygon_meets(points: Column, low: Point, high: Point) -> Column:
+    """Do a closed line and a rectangle touch, cross, or hold one another?"""
+    return (F.size(points) >= 3) & (polyline_meets(points, low, high, True) | polygon_contains(points, low[0], low[1]))
+
+
 def sphere_slice_radius(radius: Column, offset: Column) -> Column:
     """Radius of the circle in which a plane at an offset cuts a sphere."""
     return F.when((radius >= 0) & (F.abs(offset) <= radius), F.sqrt(radius * radius - offset * offset))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import checkpointed
+
 from . import graph
 
 PIXEL = ["seg", "y", "x"]
@@ -101,3 +103,47 @@ def rasterized(polygons: DataFrame, rows: int, columns: int) -> DataFrame:
     pairs = each.withColumn("_x", x.cast("double")).withColumn("_n", F.row_number().over(w)).withColumn("_to", F.lead("_x").over(w)).where("_n % 2 = 1 AND _to IS NOT NULL")
     x0, x1 = F.greatest(F.lit(0), F.ceil(F.col("_x") - F.lit(0.5))).cast("int"), F.least(F.lit(columns - 1), F.ceil(F.col("_to") - F.lit(0.5)) - 1).cast("int")
     return pairs.where(x0 <= x1).select("seg", "y", F.explode(F.sequence(x0, x1)).alias("x")).distinct()
+
+
+def boundary(mask: DataFrame) -> DataFrame:
+    """(seg, id, next, x, y, heading): the sides of pixels between a mask and what is outside, with the mask on the right.
+
+    Each starts at the corner (x, y) and heads east, south, west or north (0 to 3); next is the one that it runs into. Where
+    four meet, that is the one to the right, so pixels that touch by a corner have outlines of their own.
+    """
+    # fixed values: heading, the neighbour that must be outside, the corner a side starts at and the one it ends at
+    sides = [(0, (-1, 0), (0, 0), (0, 1)), (1, (0, 1), (0, 1), (1, 1)), (2, (1, 0), (1, 1), (1, 0)), (3, (0, -1), (1, 0), (0, 0))]
+    of = F.array(*(F.struct(F.lit(h).alias("h"), *(F.lit(v).alias(n) for n, v in zip(("ny", "nx", "ay", "ax", "by", "bx"), (*o, *a, *b), strict=True))) for h, o, a, b in sides))
+    here = mask.select(*PIXEL).distinct()
+    each = here.withColumn("s", F.explode(of)).withColumn("_y", F.col("y") + F.col("s.ny")).withColumn("_x", F.col("x") + F.col("s.nx"))
+    free = each.join(here.select("seg", F.col("y").alias("_y"), F.col("x").alias("_x")), ["seg", "_y", "_x"], "left_anti")
+    edges = checkpointed(free.select("seg", F.struct("y", "x", F.col("s.h").alias("h")).alias("id"), (F.col("y") + F.col("s.ay")).alias("y"), (F.col("x") + F.col("s.ax")).alias("x"), (F.col("y") + F.col("s.by")).alias("to_y"), (F.col("x") + F.col("s.bx")).alias("to_x"), F.col("s.h").alias("heading")))
+    after = edges.select("seg", F.col("y").alias("to_y"), F.col("x").alias("to_x"), F.struct(F.col("heading"), F.col("id")).alias("_after"))
+    turn = F.element_at(F.array(*map(F.lit, (1, 0, 3, 2))), (F.col("_after.heading") - F.col("heading") + 4) % 4 + 1)  # right, ahead, left
+    return edges.join(after, ["seg", "to_y", "to_x"]).groupBy("seg", "id", "x", "y", "heading").agg(F.min_by("_after.id", turn).alias("next")).select("seg", "id", "next", "x", "y", "heading")
+
+
+def contours(mask: DataFrame) -> DataFrame:
+    """(seg, contour, place, x, y): the corners of each closed outline of a mask, in order; outlines of holes run the other way.
+
+    An outline is named by its least side and starts there. Sides find their outline and place by doubling their reach each
+    round, so rounds are as many as the logarithm of the longest outline, and lineage is cut by checkpoints.
+    """
+    edges = checkpointed(boundary(mask))
+    state = edges.select("seg", "id", "next", F.least("id", "next").alias("least"))
+    while True:
+        ahead = state.select("seg", F.col("id").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        new = checkpointed(state.join(ahead, ["seg", "next"]).select("seg", "id", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_less")))
+        if new.where("_less").isEmpty():
+            break
+        state = new.drop("_less")
+    named = edges.join(new.select("seg", "id", F.col("least").alias("contour")), ["seg", "id"])
+    onward = F.when(F.col("next") != F.col("contour"), F.col("next"))
+    left = checkpointed(named.select("seg", "id", "contour", onward.alias("next"), onward.isNotNull().cast("int").alias("left")))
+    while not left.where("next IS NOT NULL").isEmpty():
+        ahead = left.select("seg", F.col("id").alias("next"), F.col("next").alias("_next"), F.col("left").alias("_left"))
+        left = checkpointed(left.join(ahead, ["seg", "next"], "left").select("seg", "id", "contour", F.col("_next").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
+    came = edges.select("seg", F.col("next").alias("id"), F.col("heading").alias("_came"))
+    corners = edges.join(came, ["seg", "id"]).where("heading <> _came").select("seg", "id", "x", "y").join(left, ["seg", "id"])
+    order = Window.partitionBy("seg", "contour").orderBy(F.desc("left"))
+    return corners.withColumn("place", F.row_number().over(order)).select("seg", "contour", "place", "x", "y")

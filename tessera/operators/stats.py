@@ -140,3 +140,9 @@ def spacing(rows: DataFrame, by: list[str], order: list[str], at: str, tolerance
         F.max("base").alias("base"), F.coalesce(F.bool_and(F.abs(step - F.col("base")) <= tolerance), F.lit(False)).alias("regular"),
         F.coalesce(F.bool_and(near & (F.round(ratio) >= 1)) & (F.max(F.round(ratio)) >= 2), F.lit(False)).alias("missing"),
     )
+
+
+def sample_index(at: Column, rate: Column, delay: Column, count: Column) -> Column:
+    """The sample nearest to `at` seconds of a channel that starts `delay` late; null before its start or past its samples."""
+    n = F.floor((at - delay) * rate + 0.5)
+    return F.when((at >= delay) & (n < count), n)

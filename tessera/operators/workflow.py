@@ -118,7 +118,7 @@ def element_actions(elements: DataFrame, profile: DataFrame, default: str = "kee
     """elements (tag, requirement, ...) with `action`, by a profile (tag, code) in rows; tags of odd groups that it doesn't name are private and removed."""
     table = profile.join(actions(elements.sparkSession), "code").select("tag", "requirement", "action")
     private = F.conv(F.substring("tag", 1, 4), 16, 10).cast("int") % 2 == 1
-    return elements.join(F.broadcast(table), ["tag", "requirement"], "left").withColumn("action", F.coalesce("action", F.when(private, "remove").otherwise(default)))
+    return elements.join(table, ["tag", "requirement"], "left").withColumn("action", F.coalesce("action", F.when(private, "remove").otherwise(default)))
 
 
 def shifted(date: Column, patient: Column, secret: str, days: int = 365) -> Column:
@@ -193,3 +193,37 @@ def swapped(store: DataFrame, changes: DataFrame) -> DataFrame:
     both = store.join(wanted, ["id", "version"], "left")
     applied = F.col("_new").isNotNull()
     return both.select("id", F.when(applied, F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.coalesce("_new", "state").alias("state"), applied.alias("applied"))
+
+
+def private_kept(elements: DataFrame, allowed: DataFrame, by: list[str]) -> DataFrame:
+    """The elements (by, tag, creator, ...) without private ones that aren't allowed (tag, creator).
+
+    A private tag is 8 hexadecimal digits of an odd group. Data elements are kept if their tag and creator are listed, and
+    with a listed one the tag that reserves its block; a listed reserving tag needs no creator.
+    """
+    private = F.conv(F.substring("tag", 4, 1), 16, 10).cast("int") % 2 == 1
+    data = F.substring("tag", 5, 4) >= "1000"
+    named = allowed.select(F.upper("tag").alias("tag"), F.trim("creator").alias("creator"))
+    reserving = named.select(F.when(data, F.concat(F.substring("tag", 1, 4), F.lit("00"), F.substring("tag", 5, 2))).otherwise(F.col("tag")).alias("tag")).distinct()
+    listed = named.where(data).where("creator <> ''").distinct().withColumnRenamed("creator", "_creator").withColumn("_data", F.lit(True))
+    blocks = reserving.withColumn("_block", F.lit(True))
+    each = elements.withColumn("_creator", F.trim("creator")).join(listed, ["tag", "_creator"], "left").join(blocks, "tag", "left")
+    return each.where(~private | F.coalesce("_data", "_block", F.lit(False))).select(*elements.columns)
+
+
+def visual_risk(value: Column) -> Column:
+    """(risk, value) of a burned-in or recognizable-features text: YES is present, NO absent, all else unknown; a text that is neither is given as OTHER."""
+    one = F.upper(F.trim(value))
+    risk = F.when(one == "YES", "present").when(one == "NO", "absent").otherwise("unknown")
+    return F.struct(risk.alias("risk"), F.when(one.isin("YES", "NO"), one).when(value.isNotNull(), "OTHER").alias("value"))
+
+
+def masked_regions(pixels: DataFrame, regions: DataFrame, by: list[str], value: str, fill: float) -> DataFrame:
+    """pixels (by, y, x, value) with `fill` inside the regions (by, x, y, width, height) of their frame.
+
+    The regions of a frame are few and travel as one array, so pixels meet them by frame and aren't multiplied.
+    """
+    own = regions.where("width > 0 AND height > 0").groupBy(*by).agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("_regions"))
+    x, y = F.col("x"), F.col("y")
+    inside = F.exists("_regions", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
+    return pixels.join(own, by, "left").withColumn(value, F.when(inside, F.lit(fill)).otherwise(F.col(value))).select(*pixels.columns)

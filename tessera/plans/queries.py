@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colors, measures, tags
 from tessera.functions.scalars import display_byte, exact_window_unit, is_uid, looked_up, name_display, normal_uid, person_name, remapped_uid, rescaled, sigmoid_window_unit, values_of, windowed
 from tessera.functions.temporal import date_display, precision, shifted_text, time_display, time_window, window
-from tessera.operators import catalog, frames, geometry, graph, masks, stats, workflow
+from tessera.operators import catalog, frames, geometry, graph, masks, reports, stats, workflow
 from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level, with_item
 from tessera.sources import tagged_json
 
@@ -198,9 +198,11 @@ def auto_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.auto_window(voxels(spark, sf_dir), ["slice"], "value")
 
 
-@query("SELECT event_type, CAST(floor((event_id - 100) * 40 / 800) AS INT) AS bucket, min(value) AS least, max(value) AS most, count(*) AS n FROM events WHERE event_id >= 100 AND event_id < 900 GROUP BY ALL")
+@query("WITH r AS (SELECT min(event_id) AS low, max(event_id) + 1 AS high FROM events) SELECT event_type, CAST(floor((event_id - low) * 40 / (high - low)) AS INT) AS bucket, min(value) AS least, max(value) AS most, count(*) AS n FROM events, r WHERE value IS NOT NULL AND event_id IS NOT NULL GROUP BY ALL")
 def envelope_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.envelope(table(spark, sf_dir, "events"), "event_type", "event_id", "value", 100, 900, 40)
+    rows = table(spark, sf_dir, "events")
+    low, high = rows.agg(F.min("event_id"), F.max("event_id") + 1).first()
+    return stats.envelope(rows, "event_type", "event_id", "value", low or 0, high or 1, 40)
 
 
 @query("SELECT user_id, count(*) AS n_points, count(*) >= 3 AND coalesce(bool_or(step <= 0 OR abs(change) > 1000), false) AS irregular FROM (SELECT user_id, ts, event_id, step, step - lag(step) OVER w AS change FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id")
@@ -643,3 +645,113 @@ def prior_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     relative = F.when(k == 1, F.array(F.lit(0), F.lit(30))).otherwise(F.array().cast("array<int>"))
     rows = catalog.priors(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", 1)
     return rows.select("o_orderkey", "prior", catalog.prior_wanted(abstract, relative).alias("wanted"))
+
+
+SIDES = ", ".join(f"(qx - px) * ({y} - py) - (qy - py) * ({x} - px)" for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+@query(f"""WITH q AS (SELECT *, event_id % 40 - 5.0 AS x0, event_id % 40 + 7.0 AS x1, event_id % 23 + 0.0 AS y0, event_id % 23 + 9.0 AS y1 FROM {POINTS}),
+e AS (SELECT event_id, k, greatest(px, qx) >= x0 AND least(px, qx) <= x1 AND greatest(py, qy) >= y0 AND least(py, qy) <= y1 AND NOT (least({SIDES}) > 0 OR greatest({SIDES}) < 0) AS hit, (py > y0) <> (qy > y0) AND x0 < (qx - px) * ((y0 - py) / (qy - py)) + px AS crossed FROM q, LATERAL (VALUES (1, ax, ay, bx, b_y), (2, bx, b_y, cx, cy), (3, cx, cy, ax, ay)) AS s(k, px, py, qx, qy))
+SELECT event_id, bool_or(hit AND k < 3) AS open_line, bool_or(hit) OR count(CASE WHEN crossed THEN 1 END) % 2 = 1 AS polygon FROM e GROUP BY event_id""")
+def rectangle_meets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in _abc()))
+    x, y = F.col("event_id") % 40, F.col("event_id") % 23
+    low, high = (x - 5.0, y + 0.0), (x + 7.0, y + 9.0)
+    return points(spark, sf_dir).select("event_id", measures.polyline_meets(three, low, high).alias("open_line"), measures.polygon_meets(three, low, high).alias("polygon"))
+
+
+@query(f"""WITH RECURSIVE {S}, s(h, ny, nx, ay, ax, ey, ex) AS (VALUES (0, -1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 1, 1, 1), (2, 1, 0, 1, 1, 1, 0), (3, 0, -1, 1, 0, 0, 0)),
+e AS (SELECT seg, (a.y * 64 + a.x) * 4 + h AS id, h, a.y + ay AS y, a.x + ax AS x, a.y + ey AS ty, a.x + ex AS tx FROM a, s WHERE NOT EXISTS (SELECT 1 FROM a AS o WHERE o.seg = a.seg AND o.y = a.y + ny AND o.x = a.x + nx)),
+n AS (SELECT e.seg, e.id, e.h, e.x, e.y, arg_min(f.id, [1, 0, 3, 2][(f.h - e.h + 4) % 4 + 1]) AS next FROM e JOIN e AS f ON f.seg = e.seg AND f.y = e.ty AND f.x = e.tx GROUP BY ALL),
+w AS (SELECT seg, id AS start, id, next, 0 AS k FROM n UNION ALL SELECT w.seg, start, n.id, n.next, k + 1 FROM w JOIN n ON n.seg = w.seg AND n.id = w.next WHERE w.next <> start),
+l AS (SELECT seg, start FROM w GROUP BY ALL HAVING min(id) = start)
+SELECT seg, start AS contour, CAST(row_number() OVER (PARTITION BY seg, start ORDER BY k) AS INT) AS place, n.x, n.y FROM w JOIN l USING (seg, start) JOIN n USING (seg, id) JOIN (SELECT seg, next AS id, h AS came FROM n) USING (seg, id) WHERE n.h <> came""")
+def mask_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = masks.contours(masks.threshold(pixels(spark, sf_dir), "value", 5, 12))
+    return found.select("seg", ((F.col("contour.y") * 64 + F.col("contour.x")) * 4 + F.col("contour.h")).alias("contour"), "place", "x", "y")
+
+
+def content_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fourth event an item at the top of its hundred's document, the three that follow below it."""
+    kind = F.col("event_id") % 4
+    of = lambda *v: F.element_at(F.array(*map(F.lit, v)), (kind + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 100).alias("doc"), F.col("event_id").alias("item"), F.when(kind > 0, F.col("event_id") - kind).alias("parent"), F.when(F.col("event_id") % 8 == 0, "IMAGE").otherwise(of("CONTAINER", "TEXT", "UIDREF", "NUM")).alias("value_type"),
+        of("125007", "112039", "112040", "410668003").alias("concept"), F.when(F.col("value") > 20, F.col("event_type")).otherwise("").alias("text"), "value", F.col("value").alias("number"), F.lit("mm").alias("unit"), F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")).alias("ref"))
+
+
+@query("""WITH f AS (SELECT event_id // 100 AS doc, 'r' || user_id % 5 AS ref, i.event_id AS item, t.event_type AS finding FROM events AS i JOIN (SELECT event_id - 1 AS image, event_type FROM events WHERE value > 20) AS t ON t.image = i.event_id WHERE i.event_id % 8 = 0)
+SELECT doc, ref, arg_max(finding, item) AS finding FROM f GROUP BY doc, ref""")
+def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.key_findings(content_items(spark, sf_dir))
+
+
+@query("""SELECT n.event_id // 100 AS doc, n.event_id AS item, CASE WHEN t.value > 20 THEN t.event_type ELSE '' END AS identifier, CASE WHEN u.value > 20 THEN u.event_type ELSE '' END AS uid, n.value AS number
+FROM events AS n JOIN events AS u ON u.event_id = n.event_id - 1 JOIN events AS t ON t.event_id = n.event_id - 2 WHERE n.event_id % 8 = 7""")
+def report_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.measurements(content_items(spark, sf_dir), "125007", "112039", "112040").select("doc", "item", "identifier", "uid", "number")
+
+
+@query("""WITH g AS (SELECT event_id, ['POINT', 'RECTANGLE', 'POLYGON', 'POLYLINE'][event_id % 4 + 1] AS kind, 8 + event_id % 2 AS n FROM events), a AS (SELECT event_id, 1 AS place, n AS size, 0 AS first FROM g WHERE kind = 'POLYGON' UNION ALL SELECT event_id, k, 1, k - 1 FROM g, range(1, n + 1) AS r(k) WHERE kind = 'POINT' UNION ALL
+SELECT event_id, k, CASE WHEN k = 1 THEN 3 ELSE n - 3 END, (k - 1) * 3 FROM g, range(1, 3) AS r(k) WHERE kind = 'POLYLINE')
+SELECT event_id, CAST(place AS INT) AS place, CAST(size AS INT) AS size, CAST(first AS DOUBLE) AS x FROM a""")
+def annotation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and rectangles are told by count (nine points are no rectangles), polylines by starts, a polygon is one."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("POINT", "RECTANGLE", "POLYGON", "POLYLINE"))), (F.col("event_id") % 4 + 1).cast("int")).alias("kind"), (F.col("event_id") % 2 + 8).cast("int").alias("n"))
+    at = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.cast("double").alias("x"), i.cast("double").alias("y")))
+    starts = F.when(F.col("kind") == "POLYLINE", F.array(F.lit(1), F.lit(4)))
+    number = F.when(F.col("kind") == "POINT", F.col("n")).when(F.col("kind") == "RECTANGLE", 3).when(F.col("kind") == "POLYLINE", 2).otherwise(1)
+    return rows.select("event_id", F.posexplode(reports.primitives(F.col("kind"), at, starts, number)).alias("i", "p")).select("event_id", (F.col("i") + 1).alias("place"), F.size("p").alias("size"), F.col("p")[0]["x"].alias("x"))
+
+
+@query("""WITH i AS (SELECT event_id, event_id % 50 AS state, user_id % 4 AS image FROM events), s AS (SELECT o_custkey % 50 AS state, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 4 END AS image, o_orderkey AS place, o_totalprice AS width FROM orders),
+r AS (SELECT event_id, i.image, width, row_number() OVER (PARTITION BY event_id ORDER BY s.image IS NULL, place) AS n FROM i LEFT JOIN (SELECT state, image, arg_min(width, place) AS width, min(place) AS place FROM s GROUP BY ALL) AS s ON s.state = i.state AND (s.image = i.image OR s.image IS NULL))
+SELECT event_id, image, width FROM r WHERE n = 1""")
+def state_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 50).alias("state"), (F.col("user_id") % 4).alias("image"))
+    k = F.col("o_orderkey")
+    settings = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("state"), F.when(k % 3 > 0, k % 4).alias("image"), k.alias("place"), F.col("o_totalprice").alias("width"))
+    return reports.applied(images, settings, ["state"], "image", "place", ["width"]).select("event_id", "image", "width")
+
+
+@query("""WITH e AS (SELECT event_id, [9, 16, 25][user_id % 3 + 1] AS g, [16, 4096 + event_id % 4, 4352 + event_id % 4][event_id % 3 + 1] AS n, ['A', 'B '][event_id % 2 + 1] AS creator FROM events),
+x AS (SELECT event_id, lpad(upper(to_hex(g)), 4, '0') || lpad(upper(to_hex(n)), 4, '0') AS tag, trim(creator) AS creator, g, n FROM e)
+SELECT event_id, tag FROM x WHERE g = 16 OR (tag IN ('00091001', '00091002') AND creator = 'A') OR (tag = '00191103' AND creator = 'B') OR tag IN ('00090010', '00190011')""")
+def private_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = spark.createDataFrame([("00091001", "A "), ("00091002", "A"), ("00191103", "B")], "tag string, creator string")
+    return workflow.private_kept(_elements(spark, sf_dir), allowed, ["event_id"]).select("event_id", "tag")
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    group = F.element_at(F.array(*map(F.lit, (9, 16, 25))), (F.col("user_id") % 3 + 1).cast("int"))
+    number = F.when(k % 3 == 0, F.lit(16)).when(k % 3 == 1, k % 4 + 4096).otherwise(k % 4 + 4352)
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lpad(F.hex(group), 4, "0"), F.lpad(F.hex(number), 4, "0")).alias("tag"), F.when(k % 2 == 0, "A").otherwise("B ").alias("creator"))
+
+
+@query("""WITH e AS (SELECT event_id, [9, 16, 25][user_id % 3 + 1] AS g, [16, 4096 + event_id % 4, 4352 + event_id % 4][event_id % 3 + 1] AS n, ['A', 'B '][event_id % 2 + 1] AS creator FROM events),
+x AS (SELECT *, lpad(upper(to_hex(g)), 4, '0') || lpad(upper(to_hex(n)), 4, '0') AS tag FROM e),
+d AS (SELECT *, g % 2 = 1 AND n >= 4096 AND n % 256 = 1 AND g = 9 AND creator = 'A' AS own FROM x)
+SELECT event_id, tag, CASE WHEN own THEN 'DS' WHEN tag = '00100010' THEN 'PN' WHEN tag IN ('00091001', '00191100') THEN 'UN' END AS vr FROM d""")
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = spark.createDataFrame([(2, "00100010", None, "PN", "Name"), (3, "00100010", None, "LO", "Other"), (1, "00090001", "A", "DS", "Own"), (2, "00091001", None, "UN", "Late"), (1, "00191100", None, "UN", "Whole")], "place int, tag string, creator string, vr string, keyword string")
+    return reports.definition(_elements(spark, sf_dir), entries).select("event_id", "tag", "vr")
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 2 THEN 'OTHER' WHEN 3 THEN 'OTHER' END AS value FROM events) SELECT event_id, CASE value WHEN 'YES' THEN 'present' WHEN 'NO' THEN 'absent' ELSE 'unknown' END AS risk, value FROM t""")
+def visual_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.element_at(F.array(F.lit(" yes"), F.lit("NO "), F.lit("maybe"), F.lit(""), F.lit(None)), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", workflow.visual_risk(text).alias("r")).select("event_id", "r.*")
+
+
+@query("SELECT event_id, CASE WHEN (event_type = 'click' AND event_id % 64 BETWEEN 8 AND 23 AND user_id % 64 BETWEEN 4 AND 11) OR (event_type IN ('click', 'view') AND event_id % 64 BETWEEN 40 AND 49 AND user_id % 64 BETWEEN 40 AND 59) THEN 0 ELSE value END AS value FROM events")
+def regions_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("seg"), (F.col("user_id") % 64).alias("y"), (F.col("event_id") % 64).alias("x"), "value")
+    regions = spark.createDataFrame([("click", 8, 4, 16, 8), ("click", 40, 40, 10, 20), ("view", 40, 40, 10, 20), ("view", 0, 0, 0, 9)], "seg string, x int, y int, width int, height int")
+    return workflow.masked_regions(image, regions, ["seg"], "value", 0.0).select("event_id", "value")
+
+
+@query("SELECT event_id, CASE WHEN t >= user_id % 4 / 8.0 AND floor((t - user_id % 4 / 8.0) * 16 + 0.5) < 60 THEN CAST(floor((t - user_id % 4 / 8.0) * 16 + 0.5) AS BIGINT) END AS sample FROM (SELECT *, event_id % 128 / 32.0 AS t FROM events)")
+def waveform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("event_id") % 128 / 32.0
+    return table(spark, sf_dir, "events").select("event_id", stats.sample_index(at, F.lit(16.0), F.col("user_id") % 4 / 8.0, F.lit(60)).alias("sample"))
