@@ -104,3 +104,15 @@ def windowed(value: Column, center: float, width: float, low: float = 0.0, high:
     left, right, span = center - 0.5 - (width - 1) / 2, center - 0.5 + (width - 1) / 2, max(width - 1, 1e-300)
     between = ((value - F.lit(center - 0.5)) / F.lit(span) + F.lit(0.5)) * F.lit(high - low) + F.lit(low)
     return F.when(value <= left, F.lit(low)).when(value > right, F.lit(high)).otherwise(between)
+
+
+def padded(text: Column, pad: str = " ") -> Column:
+    """text with one more character if its length in bytes is odd."""
+    return F.when(F.octet_length(text) % 2 == 1, F.concat(text, F.lit(pad))).otherwise(text)
+
+
+def window_coordinate(value: Column, center: Column, width: Column) -> Column:
+    """Where a value lies in a window, from 0 to 1; a window without a positive finite width is that from 0 to 1."""
+    valid = (width > 0) & ~F.isnan(width) & ~F.isnan(center) & (F.abs(width) < float("inf")) & (F.abs(center) < float("inf"))
+    low, span = F.when(valid, center - width / 2).otherwise(0.0), F.when(valid, width).otherwise(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / span))

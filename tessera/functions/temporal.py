@@ -130,3 +130,27 @@ def shifted_text(text: Column, days: Column) -> Column:
     for grain, form in forms.items():
         shown = shown.when(w["precision"] == grain, F.date_format(at, form))
     return F.when((shown != F.trim(text)) | (days == 0), shown)
+
+
+#: A time of a key, to the hour at least.
+TIME = r"\d{2}(\d{2}(\d{2}(\.\d{1,6})?)?)?"
+
+
+def combined_between(date: Column, time: Column, dates: str, times: str) -> Column:
+    """Is a date (YYYYMMDD) with its time (HH, HHMM, HHMMSS, fraction) from the first date and time of two keys to the last?
+
+    The keys are one value or a range, open at an end if that is empty. An end of dates without one of times is that day's
+    start or end; what a time leaves out is zero. Null where the date or the time is missing.
+    """
+    if not (re.fullmatch(r"(\d{8})?(-(\d{8})?)?", dates) and re.fullmatch(rf"({TIME})?(-({TIME})?)?", times)):
+        raise ValueError(f"not a range of dates and one of times: {dates!r}, {times!r}")
+    ends = lambda text: text.split("-", 1) if "-" in text else (text, text)
+    full = lambda text: text.replace(".", "").ljust(12, "0")
+    (d0, d1), (t0, t1) = ends(dates.strip()), ends(times.strip())
+    at = F.concat(F.trim(date), F.rpad(F.replace(F.trim(time), F.lit(".")), 12, "0"))
+    inside = F.lit(True)
+    if d0:
+        inside &= at >= d0 + full(t0)
+    if d1:
+        inside &= at <= d1 + (full(t1) if t1 else "235959999999")
+    return F.when(at.isNotNull(), inside)

@@ -96,3 +96,20 @@ def prior_wanted(abstract: Column, relative: Column) -> Column:
 def priors(studies: DataFrame, by: list[str], order: list[str], key: str, back: int = 0) -> DataFrame:
     """studies with `prior`: the key of the study that lies back + 1 before it in the order of its patient."""
     return studies.withColumn("prior", F.lag(key, back + 1).over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def resolved_path(root: str, parts: Column) -> Column:
+    """The path below root of a file id in parts, which backslashes may divide further; null if nothing is left, or a part isn't a plain name."""
+    names = F.filter(F.transform(F.flatten(F.transform(parts, lambda p: F.split(p, r"\\"))), lambda p: F.trim(p)), lambda p: p != "")
+    plain = F.forall(names, lambda p: ~p.isin(".", "..") & ~p.rlike(r"[/:\x00-\x1F]"))
+    return F.when((F.size(names) > 0) & plain, F.concat_ws("/", F.lit(root.rstrip("/")), names))
+
+
+def added(records: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """records and the new ones, which take the place of those of the same key."""
+    return records.join(new.select(*key), key, "left_anti").unionByName(new)
+
+
+def removed(records: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """records without those of the keys given."""
+    return records.join(gone.select(*key), key, "left_anti")

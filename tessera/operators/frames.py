@@ -74,3 +74,10 @@ def calibrated(points: DataFrame, regions: DataFrame, by: list[str], id_: str) -
     py = F.col("vy") + (F.col("y") - F.col("y0") - F.col("ry")) * F.col("dy")
     first = points.join(regions, by).where(inside).groupBy(*by, id_).agg(F.min(F.struct("region", px.alias("px"), py.alias("py"))).alias("_f"))
     return points.join(first, [*by, id_], "left").select(*points.columns, F.col("_f.region").alias("region"), F.col("_f.px").alias("px"), F.col("_f.py").alias("py"))
+
+
+def with_shared(frames: DataFrame, shared: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """frames, each column taken from what all frames of an object share (by, columns) where the frame itself has none."""
+    common = shared.select(*by, *(F.col(c).alias(f"_{c}") for c in columns))
+    filled = {c: F.coalesce(c, f"_{c}") for c in columns}
+    return frames.join(common, by, "left").withColumns(filled).select(*frames.columns)

@@ -147,3 +147,8 @@ def contours(mask: DataFrame) -> DataFrame:
     corners = edges.join(came, ["seg", "id"]).where("heading <> _came").select("seg", "id", "x", "y").join(left, ["seg", "id"])
     order = Window.partitionBy("seg", "contour").orderBy(F.desc("left"))
     return corners.withColumn("place", F.row_number().over(order)).select("seg", "contour", "place", "x", "y")
+
+
+def label_map(mask: DataFrame) -> DataFrame:
+    """(y, x, label, n): each pixel's least segment and the number of segments that hold it; more than one can't be told by one label."""
+    return mask.select(*PIXEL).distinct().groupBy("y", "x").agg(F.min("seg").alias("label"), F.count("*").alias("n"))

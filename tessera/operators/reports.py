@@ -68,3 +68,21 @@ def definition(elements: DataFrame, entries: DataFrame) -> DataFrame:
     known = elements.withColumn("_key", F.when(data, key)).withColumn("_creator", F.trim("creator")).join(whole, "tag", "left").join(own, ["_creator", "_key"], "left")
     best = F.when(F.col("_own.place") < F.col("_whole.place"), F.col("_own")).otherwise(F.coalesce("_whole", "_own"))
     return known.withColumn("_d", best).select(*elements.columns, F.col("_d.vr").alias("vr"), F.col("_d.keyword").alias("keyword"))
+
+
+def template_findings(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc, item, concept, finding, n) of the containers that a template's rules don't hold for.
+
+    rules are rows (container, concept, value_type, least, most): what may lie directly below a container of a concept, and
+    how often (most null: any number). Findings: missing, too many, wrong type, unexpected (a concept without a rule).
+    """
+    ruled = rules.select(F.col("container").alias("concept")).distinct()
+    holders = items.where("value_type = 'CONTAINER'").join(ruled, "concept", "left_semi").select("doc", "item", F.col("concept").alias("container"))
+    below = items.where("parent IS NOT NULL").select("doc", F.col("parent").alias("item"), "concept", F.col("value_type").alias("_type"))
+    given = holders.join(below, ["doc", "item"]).groupBy("doc", "item", "container", "concept", "_type").agg(F.count("*").alias("_n"))
+    met = given.join(rules, ["container", "concept"], "left")
+    counted = met.where("_type = value_type").select("doc", "item", "concept", F.col("_n").alias("n"), "most").where("n > most").select("doc", "item", "concept", F.lit("too many").alias("finding"), "n")
+    other = met.where("value_type IS NULL OR _type <> value_type").groupBy("doc", "item", "concept", F.when(F.col("value_type").isNull(), "unexpected").otherwise("wrong type").alias("finding")).agg(F.sum("_n").alias("n"))
+    needed = holders.join(rules.where("least > 0"), "container").join(given.select("doc", "item", "concept", F.col("_type").alias("value_type"), "_n"), ["doc", "item", "concept", "value_type"], "left")
+    missing = needed.withColumn("n", F.coalesce("_n", F.lit(0))).where("n < least").select("doc", "item", "concept", F.lit("missing").alias("finding"), "n")
+    return missing.unionByName(counted).unionByName(other)

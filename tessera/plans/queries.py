@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import colors, measures, tags
-from tessera.functions.scalars import display_byte, exact_window_unit, is_uid, looked_up, name_display, normal_uid, person_name, remapped_uid, rescaled, sigmoid_window_unit, values_of, windowed
-from tessera.functions.temporal import date_display, precision, shifted_text, time_display, time_window, window
+from tessera.functions.scalars import display_byte, exact_window_unit, is_uid, looked_up, name_display, normal_uid, padded, person_name, remapped_uid, rescaled, sigmoid_window_unit, values_of, window_coordinate, windowed
+from tessera.functions.temporal import combined_between, date_display, precision, shifted_text, time_display, time_window, window
 from tessera.operators import catalog, frames, geometry, graph, masks, reports, stats, workflow
 from tessera.operators.match import WORKFLOW, Key, Search, matches, one_per_level, with_item
 from tessera.sources import tagged_json
@@ -755,3 +755,99 @@ def regions_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def waveform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("event_id") % 128 / 32.0
     return table(spark, sf_dir, "events").select("event_id", stats.sample_index(at, F.lit(16.0), F.col("user_id") % 4 / 8.0, F.lit(60)).alias("sample"))
+
+
+def _element(vr: str, *values) -> Column:
+    return F.struct(F.lit(vr).alias("vr"), F.array(*values).alias("Value"))
+
+
+@query("""SELECT c_custkey, unnest(['00100020', '00400275', '00400275[0].00400007', '00400275[0].00400008', '00400275[0].00400008[0].00080100', '00400275[1].00400007']) AS path, unnest([c_name, NULL, c_mktsegment, NULL, CAST(c_nationkey AS VARCHAR), 'b']) AS value FROM customer""")
+def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.struct(_element("LO", F.col("c_mktsegment")).alias("00400007"), _element("SQ", F.struct(_element("SH", F.col("c_nationkey").cast("string")).alias("00080100"))).alias("00400008"))
+    none = F.lit(None).cast(spark.createDataFrame([(1,)], "x int").select(_element("SQ", F.struct(_element("SH", F.lit("")).alias("00080100")))).schema[0].dataType)
+    sequence = _element("SQ", inner, F.struct(_element("LO", F.lit("b")).alias("00400007"), none.alias("00400008")))
+    json = F.to_json(F.struct(_element("LO", F.col("c_name")).alias("00100020"), sequence.alias("00400275")))
+    rows = tagged_json.walked(table(spark, sf_dir, "customer").select("c_custkey", json.alias("json")), "c_custkey", "json")
+    return rows.select("c_custkey", "path", F.when(F.col("vr") != "SQ", tagged_json.text(F.col("values"), F.col("vr"))).alias("value"))
+
+
+@query("SELECT o_orderkey, 'N' || o_custkey AS patient, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS clerk, o_orderpriority AS priority, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS kept FROM orders")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    rows = lambda tag, vr, value, where="true": orders.where(where).select("o_orderkey", F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), F.array(value).alias("values"))
+    old = rows("00100020", "LO", F.concat(F.lit("N"), F.col("o_custkey").cast("string"))).union(rows("00080090", "PN", F.lit(""))).union(rows("00400301", "CS", F.lit("OLD")))
+    new = rows("00400301", "CS", F.col("o_orderpriority")).union(rows("00080090", "LO", F.col("o_orderstatus"), "o_orderkey % 2 = 0"))
+    return tagged_json.records(tagged_json.put(old, new, "o_orderkey"), "o_orderkey", {"patient": "00100020", "clerk": "00080090", "priority": "00400301"})
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id ELSE NULL END AS whole, CASE WHEN event_id % 3 < 2 THEN round(value, 2) END AS number FROM events")
+def json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    whole = F.array(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.when(k == 1, ".5").when(k == 2, "x").otherwise(" ")))
+    number = F.array(F.concat(F.round("value", 2).cast("string"), F.when(k == 2, "?").otherwise(" ")), F.lit("1e3"))
+    return table(spark, sf_dir, "events").select("event_id", tagged_json.integers(whole)[0].alias("whole"), tagged_json.decimals(number)[0].alias("number"))
+
+
+@query("""SELECT o_orderkey, 'failed' AS outcome, 'F' || o_orderkey AS instance, '272' AS reason FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'warning' ELSE 'stored' END, 'S' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '45056' END FROM orders""")
+def store_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    uid = lambda p: _element("UI", F.concat(F.lit(p), k.cast("string"))).alias("00081155")
+    warned = F.when(k % 2 == 0, _element("US", F.lit(45056))).alias("00081196")
+    failed = F.when(k % 3 == 0, _element("SQ", F.struct(uid("F"), _element("US", F.lit(272)).alias("00081197"))))
+    json = F.to_json(F.struct(_element("SQ", F.struct(uid("S"), warned)).alias("00081199"), failed.alias("00081198")))
+    return tagged_json.store_result(tagged_json.elements(table(spark, sf_dir, "orders").select("o_orderkey", json.alias("json")), "o_orderkey", "json"), "o_orderkey")
+
+
+@query("SELECT o_orderkey, 'PatientName=' || replace(replace(url_encode(c_name || '*'), '%2A', '*'), '%20', '+') || CASE WHEN o_orderkey % 2 = 0 THEN '&StudyDate=' || strftime(o_orderdate, '%Y%m%d') || '-' ELSE '' END || '&limit=10' AS params FROM orders JOIN customer ON o_custkey = c_custkey")
+def search_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"))).otherwise(" ")
+    return studies(spark, sf_dir).select("o_orderkey", tagged_json.query_string({"limit": F.lit("10"), "PatientName": F.concat("c_name", F.lit("*")), "StudyDate": date, "Modality": F.lit(None).cast("string")}).alias("params"))
+
+
+@query("""WITH t AS (SELECT event_id, ts, strftime(ts, '%Y%m%d') AS d, strftime(ts, '%H%M') AS t FROM events), r AS (SELECT strftime(min(ts) + INTERVAL 1 DAY, '%Y%m%d') AS a, strftime(min(ts) + INTERVAL 3 DAY, '%Y%m%d') AS b FROM events)
+SELECT event_id, d || t >= a || '0930' AND d || t <= b || '1500' AS closed, d || t <= b || '2359' AS upper_open FROM t, r""")
+def worklist_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    a, b = events.agg(*(F.date_format(F.min("ts") + F.expr(f"INTERVAL {n} DAY"), "yyyyMMdd") for n in (1, 3))).first()
+    d, t = F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HHmm")
+    return events.select("event_id", combined_between(d, t, f"{a or ''}-{b or ''}", "0930-15").alias("closed"), combined_between(d, t, f"-{b or ''}", "").alias("upper_open"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '/media/IMAGES/A/' || c_custkey WHEN 1 THEN '/media/A/' || c_custkey END AS path FROM customer")
+def directory_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    parts = F.when(k == 0, F.array(F.lit("IMAGES\\A "), name)).when(k == 1, F.array(F.lit("A"), F.lit(" "), name)).when(k == 2, F.array(F.lit(".."), name)).otherwise(F.array(F.lit(" "), F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", catalog.resolved_path("/media/", parts).alias("path"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 > 1 UNION ALL SELECT o_orderkey, 'NEW' FROM orders WHERE o_orderkey % 5 = 0")
+def directory_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    new = rows.where("o_orderkey % 5 = 0").withColumn("status", F.lit("NEW"))
+    return catalog.removed(catalog.added(rows, new, ["o_orderkey"]), rows.where("o_orderkey % 5 = 1"), ["o_orderkey"])
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, (SELECT min(o_totalprice) FROM orders WHERE o_custkey = user_id)) AS value, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM events")
+def frames_with_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("kind"))
+    shared = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_totalprice").alias("value"), F.lit(None).cast("string").alias("kind"))
+    return frames.with_shared(rows, shared, ["user_id"], ["value", "kind"]).drop("user_id")
+
+
+@query(f"WITH {A}, {B} SELECT y, x, min(seg) AS label, count(*) AS n FROM a GROUP BY y, x")
+def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.label_map(_masks(spark, sf_dir)[0])
+
+
+@query("""WITH i AS (SELECT event_id - event_id % 4 AS item, event_id % 4 AS kind, value FROM events WHERE event_id % 8 > 3), h AS (SELECT event_id AS item FROM events WHERE event_id % 8 = 4)
+SELECT h.item // 100 AS doc, h.item, '112039' AS concept, 'wrong type' AS finding, 1 AS n FROM h JOIN i ON i.item = h.item AND kind = 1 UNION ALL SELECT h.item // 100, h.item, '112040', 'unexpected', 1 FROM h JOIN i ON i.item = h.item AND kind = 2 UNION ALL
+SELECT h.item // 100, h.item, '410668003', 'missing', 1 FROM h UNION ALL SELECT h.item // 100, h.item, '112039', 'missing', 0 FROM h""")
+def template_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("125007", "112039", "CODE", 1, 1), ("125007", "410668003", "NUM", 2, None)], "container string, concept string, value_type string, least int, most int")
+    return reports.template_findings(content_items(spark, sf_dir), rules)
+
+
+@query("SELECT event_id, event_type || CASE WHEN length(event_type) % 2 = 1 THEN ' ' ELSE '' END AS even, CASE WHEN event_id % 4 = 0 THEN greatest(0, least(1, value)) ELSE greatest(0, least(1, (value - 20) / 80)) END AS coordinate FROM events")
+def padded_and_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(80.0)
+    return table(spark, sf_dir, "events").select("event_id", padded(F.col("event_type")).alias("even"), window_coordinate(F.col("value"), F.lit(60.0), width).alias("coordinate"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import checkpointed
+
 #: Value representations whose values are JSON numbers (fixed values); decimal and integer strings stay strings.
 NUMBERS = ("FD", "FL", "OV", "SL", "SS", "SV", "UL", "US", "UV")
 #: Those whose values are JSON objects.
@@ -58,3 +60,60 @@ def documents(rows: DataFrame, key: str) -> DataFrame:
     unique = kept.groupBy(key, "tag").agg(F.min("one").alias("one"))
     sorted_ = F.array_sort(F.collect_list(F.struct("tag", "one")))
     return unique.groupBy(key).agg(F.concat(F.lit("{"), F.array_join(F.transform(sorted_, lambda e: e["one"]), ","), F.lit("}")).alias("json"))
+
+
+def walked(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, tag, vr, values) of all elements, also those in items of sequences at any depth; path is 00400275[0].00400007 (items from 0).
+
+    Each round opens the sequences of one depth, for all documents at once.
+    """
+    level = checkpointed(elements(docs, key, json).withColumn("path", F.col("tag")))
+    found = level
+    while True:
+        opened = level.where("vr = 'SQ'").select(key, "path", F.posexplode("values").alias("i", "json"))
+        inner = elements(opened.withColumn("_at", F.struct(key, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("].")).alias("path"))), "_at", "json")
+        level = checkpointed(inner.select(F.col(f"_at.{key}").alias(key), "tag", "vr", "values", "uri", "binary", F.concat("_at.path", "tag").alias("path")))
+        if level.isEmpty():
+            return found.select(key, "path", "tag", "vr", "values")
+        found = found.unionByName(level)
+
+
+def integers(values: Column) -> Column:
+    """The values as whole numbers; null if one isn't."""
+    each = F.transform(values, lambda v: F.trim(v).try_cast("long"))
+    return F.when(~F.exists(each, F.isnull) & ~F.exists(values, lambda v: ~F.trim(v).rlike(r"^[+-]?\d+$")), each)
+
+
+def decimals(values: Column) -> Column:
+    """The values as doubles; null if one isn't a number."""
+    each = F.transform(values, lambda v: F.trim(v).try_cast("double"))
+    return F.when(~F.exists(each, F.isnull), each)
+
+
+def records(rows: DataFrame, key: str, tags: dict[str, str]) -> DataFrame:
+    """One row for each document: the first text of each tag, under the name given, and `kept`, the elements it is taken from that hold a value."""
+    named = F.col("tag").isin(*tags.values())
+    of = lambda tag: F.max(F.when(F.col("tag") == tag, text(F.col("values"), F.col("vr"))))
+    return rows.groupBy(key).agg(*(of(t).alias(n) for n, t in tags.items()), F.count(F.when(named & text(F.col("values"), F.col("vr")).isNotNull(), 1)).alias("kept"))
+
+
+def put(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """rows with the elements of `new` in place of those of the same document and tag."""
+    return rows.join(new.select(key, "tag"), [key, "tag"], "left_anti").unionByName(new)
+
+
+def store_result(rows: DataFrame, key: str) -> DataFrame:
+    """(key, outcome, instance, reason) of the answers to a store: instances that are stored, stored with a warning, or failed."""
+    # fixed values: the sequences, and in their items the instance and the reasons
+    listed, failed, instance, warned, reason = "00081199", "00081198", "00081155", "00081196", "00081197"
+    each = items(rows, key, listed).withColumn("_failed", F.lit(False)).union(items(rows, key, failed).withColumn("_failed", F.lit(True)))
+    of = lambda tag: F.max(F.when(F.col("tag") == tag, text(F.col("values"), F.col("vr"))))
+    one = each.groupBy(key, "_failed", "item").agg(of(instance).alias("instance"), of(warned).alias("_warned"), of(reason).alias("_reason"))
+    outcome = F.when(F.col("_failed"), "failed").when(F.col("_warned").isNotNull(), "warning").otherwise("stored")
+    return one.select(key, outcome.alias("outcome"), "instance", F.when(F.col("_failed"), F.col("_reason")).otherwise(F.col("_warned")).alias("reason"))
+
+
+def query_string(values: dict[str, Column]) -> Column:
+    """The search parameters name=value that aren't empty, by name, joined by & and encoded."""
+    one = lambda n, v: F.when(F.trim(v) != "", F.concat(F.lit(n + "="), F.url_encode(F.trim(v))))
+    return F.concat_ws("&", *(one(n, v) for n, v in sorted(values.items())))
