@@ -81,3 +81,19 @@ def with_shared(frames: DataFrame, shared: DataFrame, by: list[str], columns: li
     common = shared.select(*by, *(F.col(c).alias(f"_{c}") for c in columns))
     filled = {c: F.coalesce(c, f"_{c}") for c in columns}
     return frames.join(common, by, "left").withColumns(filled).select(*frames.columns)
+
+
+def region_lengths(points: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, shape, region, length) of lines of points (by, shape, place, x, y), in centimetres, for those of two points and more.
+
+    regions (by, region, corners x0, y0, x1, y1, steps dx, dy, units ux, uy) must hold all points of a line. The first that
+    does gives the steps; region and length are null where none does, or several do by different steps.
+    """
+    key = [*by, "shape"]
+    w = Window.partitionBy(*key).orderBy("place")
+    steps = points.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).withColumn("_px", F.lag("x").over(w)).withColumn("_py", F.lag("y").over(w)).where("_n > 1")
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")) & (F.col("ux") == "cm") & (F.col("uy") == "cm")
+    long = F.sqrt(F.pow((F.col("x") - F.col("_px")) * F.col("dx"), 2) + F.pow((F.col("y") - F.col("_py")) * F.col("dy"), 2))
+    held = steps.join(regions, by).where(inside).groupBy(*key, "region", "dx", "dy").agg(F.count("*").alias("_in"), F.first("_n").alias("_n"), F.sum(long).alias("length")).where("_in = _n")
+    one = held.groupBy(*key).agg(F.min(F.struct("region", "length")).alias("_r"), (F.min(F.struct("dx", "dy")) == F.max(F.struct("dx", "dy"))).alias("_same")).where("_same")
+    return steps.select(*key).distinct().join(one, key, "left").select(*key, F.col("_r.region").alias("region"), F.col("_r.length").alias("length"))

@@ -6,7 +6,7 @@ and parent is the item above, null at the top.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,33 @@ def template_findings(items: DataFrame, rules: DataFrame) -> DataFrame:
     needed = holders.join(rules.where("least > 0"), "container").join(given.select("doc", "item", "concept", F.col("_type").alias("value_type"), "_n"), ["doc", "item", "concept", "value_type"], "left")
     missing = needed.withColumn("n", F.coalesce("_n", F.lit(0))).where("n < least").select("doc", "item", "concept", F.lit("missing").alias("finding"), "n")
     return missing.unionByName(counted).unionByName(other)
+
+
+def measurement_items(rows: DataFrame, group: str, identifier: str, uid: str) -> DataFrame:
+    """The content items of measurements (doc, group, identifier, uid, concept, number, unit), as `measurements` reads them: each group a container of what it tracks and its numbers.
+
+    A document's items are numbered in one task, as they make one report.
+    """
+    none = F.lit(None).cast("string")
+    of = lambda place, kind, concept, text, number=F.lit(None).cast("double"), unit=none: (F.lit(place).alias("_place"), F.lit(kind).alias("value_type"), concept.alias("concept"), text.alias("text"), number.alias("number"), unit.alias("unit"))
+    groups = rows.groupBy("doc", "group").agg(F.min("identifier").alias("identifier"), F.min("uid").alias("uid"))
+    heads = (groups.select("doc", "group", *of(*h)) for h in ((0, "CONTAINER", F.lit(group), none), (1, "TEXT", F.lit(identifier), F.col("identifier")), (2, "UIDREF", F.lit(uid), F.col("uid"))))
+    items = rows.select("doc", "group", *of(3, "NUM", F.col("concept"), none, F.col("number"), F.col("unit")))
+    for head in heads:
+        items = items.unionByName(head.where("_place = 0 OR text IS NOT NULL"))
+    numbered = items.withColumn("item", F.row_number().over(Window.partitionBy("doc").orderBy("group", "_place", "concept", "number", "unit")))
+    top = F.min("item").over(Window.partitionBy("doc", "group"))
+    return numbered.withColumn("parent", F.when(F.col("_place") > 0, top)).select("doc", "item", "parent", "value_type", "concept", "text", "number", "unit", none.alias("ref"))
+
+
+def contour_points(text: Column) -> Column:
+    """The points (x, y, z) of contour data, numbers parted by backslashes; null unless they are numbers, three to a point."""
+    parts = F.transform(F.split(text, r"\\"), lambda v: F.trim(v).try_cast("double"))
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 3).cast("int") - 1), lambda i: F.struct(*(F.get(parts, i * 3 + k).alias(n) for k, n in enumerate("xyz"))))
+    return F.when((F.size(parts) % 3 == 0) & ~F.exists(parts, F.isnull), points)
+
+
+def contour_text(points: Column) -> Column:
+    """Contour data of points, whole numbers without a fraction."""
+    one = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    return F.array_join(F.transform(points, lambda p: F.concat_ws("\\", one(p["x"]), one(p["y"]), one(p["z"]))), "\\")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -227,3 +227,32 @@ def masked_regions(pixels: DataFrame, regions: DataFrame, by: list[str], value:
     x, y = F.col("x"), F.col("y")
     inside = F.exists("_regions", lambda r: (x >= r["x"]) & (x < r["x"] + r["width"]) & (y >= r["y"]) & (y < r["y"] + r["height"]))
     return pixels.join(own, by, "left").withColumn(value, F.when(inside, F.lit(fill)).otherwise(F.col(value))).select(*pixels.columns)
+
+
+def required_findings(instances: DataFrame, elements: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, tag) of the elements that an instance (key, sop_class) must have and hasn't; a rule (sop_class, tag) without a class is for all."""
+    every = F.lit("*")
+    wanted = rules.select(F.coalesce("sop_class", every).alias("_class"), "tag").distinct()
+    each = instances.select(key, F.explode(F.array_distinct(F.array(F.coalesce("sop_class", every), every))).alias("_class"))
+    return each.join(wanted, "_class").select(key, "tag").distinct().join(elements.select(key, "tag"), [key, "tag"], "left_anti")
+
+
+def dictionary_findings(elements: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """(key, tag, code) of elements (key, tag, vr, n) that a dictionary (tag, vr, vm) is at odds with.
+
+    vr may name several, as in "US or SS"; UN is never wrong. vm is a number of values, a range, or open, as in 1-n or 2-2n
+    (at least two, and a multiple of two); no values are never wrong, nor are tags that the dictionary doesn't know.
+    """
+    known = elements.join(entries.select("tag", F.split("vr", " or ").alias("_vr"), "vm"), "tag")
+    part = lambda k: F.nullif(F.regexp_extract("vm", r"^(\d+)(?:-(?:(\d+)|(\d*)n))?$", k), F.lit("")).cast("int")
+    low, high, step = part(1), part(2), F.coalesce(part(3), F.lit(1))
+    most = F.when(F.col("vm").endswith("n"), F.lit(2**31 - 1)).otherwise(F.coalesce(high, low))
+    vr = F.when((F.col("vr") != "UN") & ~F.array_contains("_vr", F.col("vr")), "representation")
+    number = F.when((F.col("n") > 0) & ((F.col("n") < low) | (F.col("n") > most) | (F.col("n") % step != 0)), "multiplicity")
+    return known.select(key, "tag", F.explode(F.filter(F.array(vr, number), lambda c: c.isNotNull())).alias("code"))
+
+
+def first_findings(findings: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The first `most` findings of each key, and with each how many there are (n)."""
+    w = Window.partitionBy(key)
+    return findings.withColumn("n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(*order))).where(F.col("_k") <= most).drop("_k")

@@ -851,3 +851,52 @@ def template_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padded_and_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(80.0)
     return table(spark, sf_dir, "events").select("event_id", padded(F.col("event_type")).alias("even"), window_coordinate(F.col("value"), F.lit(60.0), width).alias("coordinate"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('F', 'a'), ('O', 'b'), (NULL, 'c')) AS t(c, tag)) SELECT o_orderkey, tag FROM (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders) JOIN r ON c IS NULL OR c = o_orderstatus WHERE NOT (tag = 'a' AND o_orderkey % 2 = 0) AND NOT (tag = 'c' AND o_orderkey % 5 > 0)""")
+def required_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    elements = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("a").alias("tag")).union(orders.where("o_orderkey % 5 > 0").select("o_orderkey", F.lit("c").alias("tag")))
+    rules = spark.createDataFrame([("F", "a"), ("O", "b"), (None, "c")], "sop_class string, tag string")
+    return workflow.required_findings(orders.select("o_orderkey", F.col("o_orderstatus").alias("sop_class")), elements, rules, "o_orderkey")
+
+
+@query("""WITH e AS (SELECT event_id, ['a', 'b', 'c', 'd', 'x'][event_id % 5 + 1] AS tag, ['US', 'SS', 'UN', 'LO'][user_id % 4 + 1] AS vr, event_id % 7 AS n FROM events),
+f AS (SELECT event_id, tag, 'representation' AS code FROM e WHERE vr <> 'UN' AND ((tag IN ('a', 'b') AND vr = 'LO') OR (tag IN ('c', 'd') AND vr <> 'LO')) UNION ALL SELECT event_id, tag, 'multiplicity' FROM e WHERE n > 0 AND ((tag = 'a' AND n <> 1) OR (tag = 'b' AND n < 2) OR (tag = 'c' AND n % 2 = 1) OR (tag = 'd' AND n > 3)))
+SELECT event_id, tag, code, 2 AS n FROM f WHERE event_id IN (SELECT event_id FROM f GROUP BY event_id HAVING count(*) = 2) AND code = 'multiplicity' UNION ALL SELECT event_id, tag, code, 1 FROM f WHERE event_id IN (SELECT event_id FROM f GROUP BY event_id HAVING count(*) = 1)""")
+def dictionary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first finding of each element by its code, and their number."""
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", of("abcdx", F.col("event_id") % 5).alias("tag"), of(("US", "SS", "UN", "LO"), F.col("user_id") % 4).alias("vr"), (F.col("event_id") % 7).alias("n"))
+    entries = spark.createDataFrame([("a", "US or SS", "1"), ("b", "US or SS", "2-n"), ("c", "LO", "2-2n"), ("d", "LO", "1-3")], "tag string, vr string, vm string")
+    return workflow.first_findings(workflow.dictionary_findings(rows, entries, "event_id"), "event_id", ["code"], 1)
+
+
+@query("SELECT user_id AS doc, 'T' || event_type AS identifier, CASE WHEN event_type <> 'click' THEN 'U' || event_type END AS uid, event_type || '!' AS concept, value AS number, 'mm' AS unit FROM events")
+def report_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements written as content items and read again."""
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), kind.alias("group"), F.concat(F.lit("T"), kind).alias("identifier"), F.when(kind != "click", F.concat(F.lit("U"), kind)).alias("uid"), F.concat(kind, F.lit("!")).alias("concept"), F.col("value").alias("number"), F.lit("mm").alias("unit"))
+    codes = ("125007", "112039", "112040")
+    return reports.measurements(reports.measurement_items(rows, *codes), *codes).drop("item")
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN event_id % 9 || '\' || event_id % 7 || '.5\-3' || CASE WHEN event_id % 4 = 1 THEN '\1\2\3' ELSE '' END END AS data, CASE WHEN event_id % 4 < 2 THEN 1 + event_id % 4 ELSE NULL END AS n FROM events""")
+def contour_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    text = F.concat((F.col("event_id") % 9).cast("string"), F.lit(" \\"), (F.col("event_id") % 7).cast("string"), F.lit(".5\\-3"), F.when(k == 1, "\\1.0\\2\\3").when(k == 2, "\\1").when(k == 3, "\\a\\b\\c").otherwise(""))
+    at = reports.contour_points(text)
+    return table(spark, sf_dir, "events").select("event_id", reports.contour_text(at).alias("data"), F.when(at.isNotNull(), F.size(at)).alias("n"))
+
+
+@query("""WITH p AS (SELECT event_id // 100 AS frame, event_id // 4 AS shape, event_id, event_id * 37 % 60 + event_id // 4 * 13 % 140 AS x, event_id * 11 % 50 + event_id // 4 * 7 % 150 AS y FROM events), r(region, x0, y0, x1, y1, dx, dy) AS (VALUES (1, 0, 0, 150, 150, 0.125, 0.25), (2, 50, 0, 200, 200, 0.125, 0.25), (3, 0, 100, 200, 200, 0.5, 0.25)),
+s AS (SELECT *, count(*) OVER (PARTITION BY shape) AS n, x - lag(x) OVER w AS mx, y - lag(y) OVER w AS my FROM p WINDOW w AS (PARTITION BY shape ORDER BY event_id)), h AS (SELECT frame, shape, region, dx, dy, sum(sqrt((mx * dx) ** 2 + (my * dy) ** 2)) AS length FROM s, r WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND n > 1 GROUP BY ALL HAVING count(*) = max(n)),
+o AS (SELECT shape, min(region) AS region, arg_min(length, region) AS length FROM h GROUP BY shape HAVING count(DISTINCT dx) = 1) SELECT frame, shape, region, round(length, 6) AS length FROM (SELECT DISTINCT frame, shape FROM s WHERE n > 1) LEFT JOIN o USING (shape)""")
+def region_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    shape = F.floor(k / 4)
+    rows = table(spark, sf_dir, "events").select(F.floor(k / 100).alias("frame"), shape.alias("shape"), k.alias("place"), (k * 37 % 60 + shape * 13 % 140).alias("x"), (k * 11 % 50 + shape * 7 % 150).alias("y"))
+    names = ("region", "x0", "y0", "x1", "y1", "dx", "dy", "ux", "uy")
+    each = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in ((1, 0, 0, 150, 150, 0.125, 0.25, "cm", "cm"), (2, 50, 0, 200, 200, 0.125, 0.25, "cm", "cm"), (3, 0, 100, 200, 200, 0.5, 0.25, "cm", "cm"), (4, 0, 0, 200, 200, 1.0, 1.0, "s", "cm"))))
+    regions = rows.select("frame").distinct().select("frame", F.explode(each).alias("r")).select("frame", "r.*")
+    return frames.region_lengths(rows, regions, ["frame"]).withColumn("length", F.round("length", 6))
