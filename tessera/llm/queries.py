@@ -80,7 +80,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op7_sharding, op8_revisits, op9_quality, op10_token_counts)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import groups
+
+    return groups(read(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digest, scan, with_planted_runs
+
+    return digest(scan(read(spark, sf_dir, "documents"), words_of=with_planted_runs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_mixing, op3_secrets, op4_decontamination, op5_toxicity, op6_near_dedup, op7_sharding, op8_revisits, op9_quality, op10_token_counts, op11_lexical, op12_simhash, op13_runs)}
 
 SQL: dict[str, str] = {
     "op2_mixing": r"""
@@ -108,6 +126,16 @@ c AS (SELECT id, ts, etag, date, html, isfull, CASE WHEN scheme = '' THEN u ELSE
 a AS (SELECT *, last_value(CASE WHEN isfull THEN id END IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM c),
 j AS (SELECT a.id, a.url, a.response_id, a.etag, a.date, o.etag AS old, o.html, CASE WHEN o.id IS NULL THEN 'missing' WHEN a.etag IS NULL OR regexp_replace(a.etag, '^W/', '') = o.etag THEN 'resolved' ELSE 'changed' END AS state FROM a LEFT JOIN c AS o ON a.response_id = o.id WHERE NOT a.isfull)
 SELECT id AS record_id, url, response_id, state, CASE WHEN state = 'resolved' THEN coalesce(etag, old) END AS etag, CASE WHEN state = 'resolved' THEN date END AS date, CASE WHEN state = 'resolved' THEN 'text/html' END AS content_type, CAST(NULL AS VARCHAR) AS content_length, CASE WHEN state = 'resolved' THEN md5(html) END AS body_md5 FROM j""",
+    "op11_lexical": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0),
+i AS (SELECT k, item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY term), g),
+m AS (SELECT r, doc_id, 100 - 75 + ((75 * CAST(len(w) AS BIGINT) * nd) // nl) AS m FROM d, g WHERE len(w) > 0),
+c AS (SELECT k, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op4_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
