@@ -5,13 +5,14 @@ A revisit (304) has no body. Its full response is the latest one of the same can
 these must be equal; if neither can be compared the revisit is taken as it is. The result has the response's headers,
 with those of the revisit that a 304 may update in their place.
 
-One URL may have a third of all records. Time is cut into equal spans; the latest response is found within (URL, span),
-and where a span has none before a revisit, from a summary that has one row for each URL and span (at most `spans` for a
-URL). So no task sorts a whole URL.
+One URL may have a third of all records. Records are dealt out in order of (URL, time, id), in spans of about as many
+each, so one with a far-off time moves no bounds; the latest response is found within (URL, span), and where a span has
+none before a revisit, from a summary that has one row for each URL and span. So no task sorts a whole URL.
 
 Nulls: records without an id, URL or time match nothing, and a revisit of that kind is kept as unresolved; null headers
 count as none. Header names are compared in lower case. Repeated records: a repeated revisit gives a row each; of repeated
-responses one is used. Empty tables give empty results.
+responses one is used. An id may stand at several URLs or times: records are told apart by id, URL and time together. Other
+columns, whatever their names, are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Headers that a 304 response updates (RFC 9110, 15.4.5), in lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only trace where a visitor comes from.
@@ -49,29 +52,29 @@ def _opaque(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def latest_earlier(records: DataFrame, spans: int = 256) -> DataFrame:
-    """(id, response) of the revisits (columns id, url, ts as a number, full boolean) that have an earlier full response."""
-    ends = records.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // spans))
-    each = records.where("id IS NOT NULL AND url IS NOT NULL AND ts IS NOT NULL").withColumn("span", F.floor((F.col("ts") - F.lit(low)) / F.lit(width)))
-    before = Window.partitionBy("url", "span").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    response = F.when(F.col("full"), F.col("id"))
-    near = each.withColumn("response", F.last(response, ignorenulls=True).over(before)).where("NOT full").select("id", "url", "span", "response")
-    ends_ = each.groupBy("url", "span").agg(F.max(F.when(F.col("full"), F.struct("ts", "id"))).alias("last"))
-    carried = ends_.withColumn("carried", F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)))
-    return near.join(carried.select("url", "span", F.col("carried.id").alias("carried")), ["url", "span"], "left").select("id", F.coalesce("response", "carried").alias("response")).where("response IS NOT NULL")
+def latest_earlier(records: DataFrame) -> DataFrame:
+    """(id, url, ts, response, response_ts) of the revisits (columns id, url, ts, full boolean) that have an earlier full response, each once."""
+    each = records.where("id IS NOT NULL AND url IS NOT NULL AND ts IS NOT NULL").select("id", "url", "ts", "full").distinct()
+    dealt = written(each.repartitionByRange("url", "ts", "id").withColumn("span", F.spark_partition_id()), "dealt")
+    before = Window.partitionBy("url", "span").orderBy("ts", "id", "full").rowsBetween(Window.unboundedPreceding, -1)
+    response = F.when(F.col("full"), F.struct("ts", "id"))
+    near = dealt.withColumn("r", F.last(response, ignorenulls=True).over(before)).where("NOT full")
+    ends = dealt.groupBy("url", "span").agg(F.max(response).alias("last"))
+    carried = ends.select("url", "span", F.last("last", ignorenulls=True).over(Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    found = near.join(carried, ["url", "span"], "left").withColumn("r", F.coalesce("r", "carried")).where("r IS NOT NULL")
+    return found.select("id", "url", "ts", F.col("r.id").alias("response"), F.col("r.ts").alias("response_ts"))
 
 
-def resolve(records: DataFrame, spans: int = 256) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """One row for each revisit of records (id, url, ts long, status int, headers map<string,string>, body): id, url (canonical), response, state, headers, body.
 
     Full responses are those of status 200, revisits those of 304; others are left out. state is resolved, changed (the
     validators differ) or missing (no earlier response); headers and body are null unless resolved.
     """
     all_ = records.where("status IN (200, 304)").select("id", canonical(F.col("url")).alias("url"), "ts", (F.col("status") == 200).alias("full"), _lower(F.col("headers")).alias("headers"), "body")
-    found = latest_earlier(all_.select("id", "url", "ts", "full"), spans).dropDuplicates(["id"])
-    full = all_.where("full").select(F.col("id").alias("response"), F.col("headers").alias("old"), F.col("body").alias("text")).dropDuplicates(["response"])
-    pairs = all_.where("NOT full").select("id", "url", "headers").join(found, "id", "left").join(full, "response", "left")
+    found = latest_earlier(all_)
+    full = all_.where("full").select("url", F.col("id").alias("response"), F.col("ts").alias("response_ts"), F.col("headers").alias("old"), F.col("body").alias("text")).dropDuplicates(["url", "response", "response_ts"])
+    pairs = all_.where("NOT full").select("id", "url", "ts", "headers").join(found, ["id", "url", "ts"], "left").join(full, ["url", "response", "response_ts"], "left")
     tag, old_tag, date, old_date = F.col("headers")["etag"], F.col("old")["etag"], F.col("headers")["last-modified"], F.col("old")["last-modified"]
     same = F.when(tag.isNotNull() & old_tag.isNotNull(), _opaque(tag) == _opaque(old_tag)).when(date.isNotNull() & old_date.isNotNull(), date == old_date).otherwise(True)
     state = F.when(F.col("old").isNull(), "missing").when(same, "resolved").otherwise("changed")

@@ -6,15 +6,16 @@ size (each `fanout` times the one below), merges runs of at least `fanout` shard
 of up to the target size, and repeats until no tier has as many. A manifest is written beside its name and renamed to
 it, which fails if another writer was there first; readers see the old version or the new one, never a part of one.
 Files of no manifest are left by failed writers, and like those of old versions they go with `expire`, which spares the
-last versions and folders that are still young, as another writer may be filling them. An append that meets another
-writer's version is committed again on top of it. `shard` owns its table, so it expires old versions after each merge,
+last versions and folders that are still young, as another writer may be filling them. An append or a merge that meets
+another writer's version is committed again on top of it; a merge whose shards that version has already replaced is dropped. `shard` owns its table, so it expires old versions after each merge,
 and the disk holds little more than a merge's input and output.
 
 Only facts about shards (path, bytes, rows) come to the driver; rows are merged by Spark without a shuffle, each run by
 one task, whose input is at most the target size.
 
 Nulls, empty and very long texts, and any columns are kept as they are; where a column has the name of one that `rows`
-adds, the added one gets an underscore. Shards of equal size keep their order. An empty arrival adds no shard; a table without shards has its schema and no
+adds, the added one gets an underscore. An append with other columns widens the table: its columns are those of all
+appends, by name without regard to case, and null where a shard has none. A column of another type is refused. Shards of equal size keep their order. An empty arrival adds no shard; a table without shards has its schema and no
 rows. Repeated rows are kept.
 """
 
@@ -45,6 +46,17 @@ def _name() -> Column:
     return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
+def widened(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both, the old ones first; ValueError if one would change its type. Any may hold nulls."""
+    held = {f.name.lower(): f for f in (old.fields if old else [])}
+    plain = lambda f: T.StructType([T.StructField("c", f.dataType)]).simpleString()
+    for f in new.fields:
+        known = held.setdefault(f.name.lower(), f)
+        if plain(known) != plain(f):
+            raise ValueError(f"column {f.name} is {known.dataType.simpleString()} in the table, {f.dataType.simpleString()} in the append")
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in held.values()])
+
+
 class ShardTable:
     """A table of shards in a folder of a file system that driver and executors share."""
 
@@ -97,17 +109,26 @@ class ShardTable:
         return sorted(({"path": f"{folder}/{r['name'].rpartition('/')[2]}", "name": r["name"], "bytes": r["bytes"], "rows": r["count"]} for r in files), key=lambda s: s["path"])
 
     def append(self, rows: DataFrame) -> dict:
-        """Add rows as small shards, one of each write task."""
+        """Add rows as small shards, one of each write task; ValueError if a column has another type than in the table."""
+        self._with(self.manifest(), rows.schema)
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         new = self._shards(folder, rows.schema)
         while True:
             before = self.manifest()
             try:
-                return self.commit(before, rows.schema.json(), before["shards"] + new)
+                schema = self._with(before, rows.schema)
+            except ValueError:  # another writer has given the column its type meanwhile
+                remove(self.spark, folder)
+                raise
+            try:
+                return self.commit(before, schema.json(), before["shards"] + new)
             except FileExistsError:  # another writer was first: on top of its version
                 continue
 
+    def _with(self, manifest: dict, schema: T.StructType) -> T.StructType:
+        return widened(T.StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else None, schema)
+
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)))
 
@@ -140,7 +161,16 @@ class ShardTable:
             merged = reduce(DataFrame.union, (self.spark.read.schema(schema).parquet(*(s["path"] for s in run)).coalesce(1) for run in runs))
             merged.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
             old = {s["path"] for run in runs for s in run}
-            now = self.commit(now, now["schema"], [s for s in now["shards"] if s["path"] not in old] + self._shards(folder, schema))
+            made = self._shards(folder, schema)
+            while True:
+                try:
+                    now = self.commit(now, now["schema"], [s for s in now["shards"] if s["path"] not in old] + made)
+                    break
+                except FileExistsError:  # on top of the other writer's version, unless that has no more of these shards
+                    now = self.manifest()
+                    if not old <= {s["path"] for s in now["shards"]}:
+                        remove(self.spark, folder)
+                        break
             if expire:
                 self.expire(1, 0)
         return now

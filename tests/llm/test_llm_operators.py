@@ -375,3 +375,60 @@ def test_samples_are_bounded_by_rows(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(3)], "doc_id long, toxic int")
     rows = labelled_sample(docs, labels, "toxic", 10).collect()
     assert len(rows) == len({r["doc_id"] for r in rows}) > 0
+
+
+def test_an_append_with_other_columns_widens_the_table(spark):
+    table = sharding.ShardTable(spark, new_path(spark, "table"), target=1 << 20, fanout=2, smallest=1 << 10)
+    wide = spark.createDataFrame([(1, "a", 7), (2, None, None)], "doc_id long, text string, extra int")
+    table.append(wide)
+    table.append(spark.createDataFrame([("b", 3)], "TEXT string, doc_id long"))
+    table.append(spark.createDataFrame([(4, 0.5)], "doc_id long, more double"))
+    want = plain([(1, "a", 7, None), (2, None, None, None), (3, "b", None, None), (4, None, None, 0.5)])
+    columns = ["doc_id", "text", "extra", "more"]
+    assert plain(map(tuple, table.rows().select(columns).collect())) == want
+    table.compact(expire=True)
+    assert plain(map(tuple, table.rows().select(columns).collect())) == want and len(table.manifest()["shards"]) < 5
+    before = table.version()
+    with pytest.raises(ValueError, match="extra"):
+        table.append(spark.createDataFrame([(5, "x")], "doc_id long, extra string"))
+    assert table.version() == before and plain(map(tuple, table.rows().select(columns).collect())) == want
+
+
+def test_a_merge_that_meets_another_writer(spark, monkeypatch):
+    table, other = (sharding.ShardTable(spark, path, target=1 << 20, fanout=2, smallest=1 << 10) for path in [new_path(spark, "table")] * 2)
+    rows = spark.range(20).select(F.col("id").alias("doc_id"))
+    for _ in range(2):
+        table.append(rows.coalesce(1))
+    commit, met = table.commit, []
+
+    def late(*args):  # another writer appends, and then merges the same shards, just before
+        if len(met) < 2:
+            met.append(other.append(rows.coalesce(1)) if not met else other.compact())
+        return commit(*args)
+
+    monkeypatch.setattr(table, "commit", late)
+    table.compact()
+    assert len(met) == 2 and Counter(r["doc_id"] for r in table.rows().collect()) == Counter({k: 3 for k in range(20)})
+    assert not table.runs(table.manifest()["shards"])
+
+
+def test_revisits_of_repeated_ids_at_other_urls(spark):
+    rows = [
+        (1, "http://a.example/x", 10, 200, {"etag": "1"}, "x"), (1, "http://a.example/y", 10, 200, {"etag": "2"}, "y"),
+        (2, "http://a.example/x", 20, 304, {"etag": "1"}, None), (2, "http://a.example/y", 20, 304, {"etag": "2"}, None), (2, "http://a.example/y", 20, 304, {"etag": "2"}, None), (2, "http://a.example/y", 5, 304, None, None),
+    ]
+    rows = [(*r, "u", 1, "o") for r in rows]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, status int, headers map<string,string>, body string, response string, span int, old string")
+    found = revisits.resolve(df)
+    assert Counter((r["id"], r["url"], r["response"], r["state"], r["body"]) for r in found.collect()) == {(2, "http://a.example/x", 1, "resolved", "x"): 1, (2, "http://a.example/y", 1, "resolved", "y"): 2, (2, "http://a.example/y", None, "missing", None): 1}
+
+
+def test_latest_earlier_over_many_ranges(spark):
+    r = random.Random(4)
+    rows = [(k, f"u{min(r.randrange(6), 2)}", r.choice([r.randrange(400), r.randrange(400), 10**15]), r.random() < 0.1) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, full boolean")
+    want = {}
+    for id_, url, ts, full in rows:
+        if not full and (best := max(((t, i) for i, u, t, f in rows if f and u == url and (t, i) < (ts, id_)), default=None)):
+            want[id_] = best
+    assert {r["id"]: (r["response_ts"], r["response"]) for r in revisits.latest_earlier(df).collect()} == want
