@@ -39,16 +39,24 @@ def key_window(vr: str, text: str) -> tuple | None:
         first = datetime.strptime(whole + "00000101000000"[len(whole) :], "%Y%m%d%H%M%S")
     except ValueError:
         return None
-    if grain == "year":
-        end = first.replace(year=first.year + 1) if first.year < 9999 else datetime.max
-    elif grain == "month":
-        end = (first + timedelta(days=31)).replace(day=1)
+    micro = timedelta(microseconds=1)
+    if grain in ("year", "month"):
+        months = first.year * 12 + first.month - 1 + (12 if grain == "year" else 1)
+        last = datetime(months // 12, months % 12 + 1, 1) - micro if months < 120_000 else datetime.max
     else:
-        end = first + timedelta(**{f"{grain}s": 1})
+        last = first + (timedelta(**{f"{grain}s": 1}) - micro)
     first = first.replace(microsecond=int(part.ljust(6, "0")))
-    last = first if part else end - timedelta(microseconds=1)
+    last = first if part else last
     shift = timedelta(hours=int(offset[2]), minutes=int(offset[3])) * (1 if offset[1] == "-" else -1) if offset else timedelta()
-    return first + shift, last + shift
+    return moved(first, shift), moved(last, shift)
+
+
+def moved(at: datetime, by: timedelta) -> datetime:
+    """at, moved, but no further than Python's first and last instant."""
+    try:
+        return at + by
+    except OverflowError:
+        return datetime.max if by > timedelta() else datetime.min
 
 
 def _digits(text: Column) -> Column:

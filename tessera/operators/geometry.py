@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import checkpointed
+
 
 def position_along(origin: dict[str, Column], row: dict[str, Column], column: dict[str, Column]) -> Column:
     """Position of a slice along its normal, the cross product of its directions."""
@@ -68,20 +70,41 @@ def stack_order(frames: DataFrame, by: list[str], stack: str, in_stack: str, z:
 def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, tolerance: float | None = None) -> DataFrame:
     """left with `found` and `apart`: the value of right nearest in `at` within the group, the lesser value where two are as near.
 
-    Both sides pass one sort of their group: the last value before and the first after each row of left are its only candidates.
+    Null where left has no offset or its group has none in right. The different offsets of all groups are dealt out in
+    order, in ranges of about as many each, so a group may lie in any number of ranges and no task sorts one whole. Within a
+    range one pass each way finds the last mark before and the first after an offset; a summary of one row for each group and
+    range carries marks into ranges that have none.
     """
-    both = left.select(*by, F.col(at).alias("_at"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row")).unionByName(
-        right.where(F.col(at).isNotNull()).groupBy(*by, F.col(at).alias("_at")).agg(F.min(value).alias("_v")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*by).orderBy("_at")
-    mark = F.when(F.col("_row").isNull(), F.struct("_at", "_v"))
-    before, after = F.last(mark, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(mark, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_b", before).withColumn("_a", after).where("_row IS NOT NULL")
+    none = F.lit(None).cast(right.schema[value].dataType)
+    own = left.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"), F.lit(False).alias("_mark"), none.alias("_v"))
+    marks = right.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at"), F.lit(True).alias("_mark"), F.col(value).alias("_v"))
+    offsets = own.union(marks).groupBy(*by, "_at").agg(F.max("_mark").alias("_mark"), F.min("_v").alias("_v"))
+    dealt = checkpointed(offsets.repartitionByRange(*by, "_at").withColumn("_range", F.spark_partition_id()))
+
+    mark = F.when(F.col("_mark"), F.struct("_at", "_v"))
+    w = Window.partitionBy("_range", *by)
+    last = lambda order: F.last(mark, ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy(*by, "_range").agg(F.min(mark).alias("_first"), F.max(mark).alias("_last"))
+    ranges = Window.partitionBy(*by)
+    before = F.last("_last", ignorenulls=True).over(ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_first", ignorenulls=True).over(ranges.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate([*by, "_range"])), before.alias("_before"), after.alias("_after"))
+    each = dealt.withColumn("_b", last(F.col("_at"))).withColumn("_a", last(F.desc("_at")))
+    each = each.join(carried, _same([*by, "_range"], "_c")).withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_after"))
     below, above = F.col("_at") - F.col("_b._at"), F.col("_a._at") - F.col("_at")
     first = F.col("_b").isNotNull() & (F.col("_a").isNull() | (below < above) | ((below == above) & (F.col("_b._v") <= F.col("_a._v"))))
-    apart, value_ = F.when(first, below).otherwise(above), F.when(first, F.col("_b._v")).otherwise(F.col("_a._v"))
+    apart, found = F.when(first, below).otherwise(above), F.when(first, F.col("_b._v")).otherwise(F.col("_a._v"))
     near = F.lit(True) if tolerance is None else apart <= tolerance
-    return found.select("_row.*", F.when(near, value_).alias("found"), F.when(near, apart).alias("apart"))
+    answers = each.select(*(F.col(c).alias(f"_o{k}") for k, c in enumerate([*by, "_at"])), F.when(near, found).alias("found"), F.when(near, apart).alias("apart"))
+    return left.join(answers, _same([*by, at], "_o"), "left").select(*left.columns, "found", "apart")
+
+
+def _same(columns: list[str], prefix: str) -> Column:
+    """Do the columns equal those named by prefix and place, nulls among themselves included?"""
+    out = F.lit(True)
+    for k, c in enumerate(columns):
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
 
 
 def sampled(points: DataFrame, voxels: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -91,7 +114,7 @@ def sampled(points: DataFrame, voxels: DataFrame, by: list[str], value: str) ->
     """
     low = {c: F.floor(c).cast("long") for c in "xyz"}
     corners = F.array(*(F.struct(*((low[c] + d).alias(f"_{c}") for c, d in zip("xyz", ds, strict=True)), _product(*(F.col(c) - low[c] if d else 1 - (F.col(c) - low[c]) for c, d in zip("xyz", ds, strict=True))).alias("_w")) for ds in ((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1))))
-    asked = points.withColumn("_id", F.monotonically_increasing_id())
+    asked = checkpointed(points.withColumn("_id", F.monotonically_increasing_id()))  # kept, so that both uses see the same numbers
     each = asked.select("_id", *by, F.explode(corners).alias("c")).select("_id", *by, "c.*").where("_w > 0")
     there = voxels.select(*by, *(F.col(c).cast("long").alias(f"_{c}") for c in "xyz"), F.col(value).cast("double").alias("_v"))
     got = each.join(there, [*by, "_x", "_y", "_z"], "left").groupBy("_id").agg(F.when(F.count("_v") == F.count("*"), F.sum(F.col("_v") * F.col("_w"))).alias("sample"))

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.temporal import key_window, time_window, window
+from tessera.functions.temporal import key_window, moved, time_window, window
 
 #: Value representations in which * and ? are wildcards (fixed values).
 WILDCARD = ("AE", "CS", "LO", "LT", "PN", "SH", "ST", "UC", "UR", "UT")
@@ -67,7 +67,7 @@ WORKLIST = Profile(ignore_case=("PN",), needs_key=True)
 def glob(pattern: str, ignore_case: bool = False) -> str:
     """A regular expression that matches all of a text as the wildcard pattern does."""
     parts = "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and not c.isspace() and c.isascii() else c for c in pattern)
-    return f"^(?s{'i' if ignore_case else ''}){parts}\\z"
+    return f"^(?s{'iu' if ignore_case else ''}){parts}\\z"  # u: letters beyond ASCII have cases too
 
 
 def _trimmed(vr: str, value: str) -> str:
@@ -107,8 +107,12 @@ def _temporal(candidate: Column, vr: str, value: str, kind: str) -> Column:
         of = lambda v: F.lit(v.date()) if kind == "date" else F.lit(v).cast(kind)
         day = lambda v: v.replace(hour=0, minute=0, second=0, microsecond=0)
         start = first and (day(first) if vr == "DA" else first)
-        end = last and (day(last) + timedelta(days=1) if vr == "DA" or kind == "date" else last + timedelta(microseconds=1))
-        inside = [*([candidate >= of(start)] if first is not None else []), *([candidate < of(end)] if last is not None else [])]
+        end = last and (moved(day(last), timedelta(days=1)) if vr == "DA" or kind == "date" else moved(last, timedelta(microseconds=1)))
+        if end == datetime.max:  # the last day or instant there is bounds nothing
+            end = None
+        inside = [*([candidate >= of(start)] if first is not None else []), *([candidate < of(end)] if end is not None else [])]
+        if not inside:
+            return candidate.isNotNull()
     return reduce(lambda a, b: a & b, inside)
 
 

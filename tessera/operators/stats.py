@@ -43,9 +43,15 @@ def _medians(rows: DataFrame, by: list[str], value: str, ends: DataFrame, blocks
 
 
 def volume(voxels: DataFrame, by: list[str], value: str, area: Column, thickness: Column) -> DataFrame:
-    """Count, extremes, mean, population variance, area and volume of the finite voxels of a segment."""
-    v = F.col(value)
-    return voxels.where(finite(v)).groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.sum(area).alias("area_mm2"), F.sum(area * thickness).alias("volume_mm3"))
+    """Count, extremes, mean, population variance, area and volume of the voxels of a segment that have a value, each by the area and thickness of its own slice.
+
+    NaN and infinities are values: they count, and NaN makes mean and variance NaN, but is no extreme. A segment of NaN
+    alone has the extremes infinity and minus infinity.
+    """
+    v, inf = F.col(value).cast("double"), F.lit(float("inf"))
+    number = F.when(~F.isnan(v), v)
+    rows = voxels.where(v.isNotNull())
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.min(number), inf).alias("low"), F.coalesce(F.max(number), -inf).alias("high"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.sum(area).alias("area_mm2"), F.sum(area * thickness).alias("volume_mm3"))
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:

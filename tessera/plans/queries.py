@@ -469,6 +469,27 @@ def volume_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("seg", "n", "low", "high", F.round("area_mm2", 6).alias("area_mm2"), F.round("volume_mm3", 6).alias("volume_mm3"))
 
 
+@query("SELECT event_type AS seg, count(*) AS n, min(value) FILTER (event_id % 7 <> 0) AS low, max(value) FILTER (event_id % 7 <> 0) AS high, CAST('nan' AS DOUBLE) AS mean, round(sum(0.25 * (1 + user_id % 3)), 6) AS area_mm2, round(sum(0.25 * (1 + user_id % 3) * (1.5 + user_id % 4)), 6) AS volume_mm3 FROM (SELECT event_id, event_type, CAST(user_id AS DOUBLE) AS user_id, value FROM events WHERE value IS NOT NULL) GROUP BY event_type")
+def volume_by_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh value is NaN; slices (user_id) have areas and thicknesses of their own."""
+    z = F.col("user_id").cast("double")
+    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").select(F.col("event_type").alias("seg"), "user_id", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    s = stats.volume(rows, ["seg"], "value", F.lit(0.25) * (1 + z % 3), F.lit(1.5) + z % 4)
+    return s.select("seg", "n", "low", "high", "mean", F.round("area_mm2", 6).alias("area_mm2"), F.round("volume_mm3", 6).alias("volume_mm3"))
+
+
+@query("SELECT c_custkey, name FROM (SELECT c_custkey, ['Éric^', 'éric^', 'Eric^'][1 + c_custkey % 3] || c_mktsegment AS name FROM customer) WHERE upper(name) LIKE 'ÉRIC%B_I%' OR upper(name) = upper('éric^machinery')")
+def match_names_beyond_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("Éric^", "éric^", "Eric^"))), (1 + F.col("c_custkey") % 3).cast("int")), F.col("c_mktsegment"))
+    return matches(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), [Key("name", "PN", ("éric*b?i*", "ÉRIC^MACHINERY"))])[0]
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= '1996-06-30'")
+def match_open_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day of the calendar is a usual way to say that a range has no end."""
+    return matches(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [Key("o_orderdate", "DA", ("19960630-99991231",))])[0].select("o_orderkey")
+
+
 @query("SELECT tag, requirement, CASE WHEN tag = '00100010' THEN 'empty' WHEN tag = '00100020' THEN CASE requirement WHEN 1 THEN 'dummy' WHEN 2 THEN 'empty' ELSE 'remove' END WHEN tag = '00110001' THEN 'remove' ELSE 'keep' END AS action, count(*) AS n FROM (SELECT ['00100010', '00100020', '00110001', '00080060'][1 + event_id % 4] AS tag, CAST(1 + user_id % 3 AS INT) AS requirement FROM events) GROUP BY ALL")
 def deid_action_requirement(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array(*map(F.lit, ("00100010", "00100020", "00110001", "00080060")))

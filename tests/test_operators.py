@@ -192,3 +192,48 @@ def test_store_changes(spark):
     assert [r["id"] for r in workflow.purged(rows, F.lit(5)).collect()] == ["b", "c", "d"]
     elements = spark.createDataFrame([(1, "00100040", "CS", "m"), (1, "00080020", "DA", "2024"), (1, "00100010", "LO", "x" * 65), (1, "00200013", "IS", " 7 "), (1, "00080018", "UI", "")], "id int, tag string, vr string, value string")
     assert {(r["tag"], r["code"]) for r in workflow.vr_findings(elements, "id").collect()} == {("00100040", "format"), ("00080020", "format"), ("00100010", "length")}
+
+
+def test_nearest_over_many_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    left = [(r.choice("gh") if r.random() < 0.95 else None, k, None if r.random() < 0.05 else r.randrange(300)) for k in range(500)]
+    right = [(r.choice("ghi") if r.random() < 0.95 else None, None if r.random() < 0.05 else r.randrange(300), r.randrange(1000)) for _ in range(60)] + [("g", 10**9, 1)]
+
+    def want(g, at, tolerance):
+        best = min(((abs(t - at), v) for h, t, v in right if h == g and t is not None), default=(None, None)) if at is not None else (None, None)
+        return best if best[0] is None or tolerance is None or best[0] <= tolerance else (None, None)
+
+    df, other = spark.createDataFrame(left, "g string, id int, t long"), spark.createDataFrame(right, "g string, t long, v long")
+    for tolerance in (None, 5):
+        found = {x["id"]: (x["apart"], x["found"]) for x in geometry.nearest(df, other, ["g"], "t", "v", tolerance).collect()}
+        assert found == {k: want(g, at, tolerance) for g, k, at in left}
+    assert geometry.nearest(df, other.limit(0), ["g"], "t", "v").where("found IS NOT NULL OR apart IS NOT NULL").count() == 0
+    assert geometry.nearest(df.limit(0), other, ["g"], "t", "v").count() == 0
+
+
+def test_names_fold_beyond_ascii(spark):
+    rows = spark.createDataFrame([("Éric^X",), ("éric^Y",), ("Eric^Z",), (None,)], "n string")
+    of = lambda *v: {r["n"] for r in matches(rows, [Key("n", "PN", v)])[0].collect()}
+    assert of("éric*") == of("ÉR?C^*") == {"Éric^X", "éric^Y"} and of("éric^x") == {"Éric^X"}
+
+
+def test_dates_at_the_end_of_time(spark):
+    rows = spark.createDataFrame([("2024-05-06",), ("9999-12-31",), (None,)], "d string").select(F.col("d").cast("date").alias("d"), F.translate("d", "-", "").alias("t"), F.col("d").cast("timestamp").alias("s"))
+    of = lambda column, vr, v: {r["t"] for r in matches(rows, [Key(column, vr, (v,))])[0].collect()}
+    for column in "dts":
+        assert of(column, "DA", "20240506-99991231") == {"20240506", "99991231"} == of(column, "DA", "-99991231")
+        assert of(column, "DA", "99991231") == of(column, "DA", "999912") == of(column, "DA", "9999") == {"99991231"}
+        assert of(column, "DT", "20240507-99991231235959.999999") == {"99991231"}
+    assert key_window("DT", "9999")[1] == dt.datetime.max == key_window("DT", "99991231235959-0500")[1]
+    assert key_window("DT", "00010101+0500")[0] == dt.datetime.min
+
+
+def test_volumes_keep_what_is_no_number(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([("a", 1.0, 0.5, 2.0), ("a", nan, 0.25, 4.0), ("a", 3.0, 0.5, 2.0), ("a", None, 9.0, 9.0), ("b", nan, 1.0, 1.0), ("c", inf, 1.0, 1.0), ("c", 1.0, 1.0, 3.0)], "seg string, v double, area double, thick double")
+    found = {r["seg"]: r for r in stats.volume(rows, ["seg"], "v", F.col("area"), F.col("thick")).collect()}
+    a, b, c = found["a"], found["b"], found["c"]
+    assert (a["n"], a["low"], a["high"], a["area_mm2"], a["volume_mm3"]) == (3, 1.0, 3.0, 1.25, 3.0) and a["mean"] != a["mean"]
+    assert (b["n"], b["low"], b["high"]) == (1, inf, -inf) and (c["n"], c["high"], c["mean"], c["volume_mm3"]) == (2, inf, inf, 4.0)

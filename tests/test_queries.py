@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import __spark_entry__  # noqa: F401  all modules of queries
 from tessera.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
