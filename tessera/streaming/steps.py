@@ -1,6 +1,6 @@
 """Streams of workflow steps: state changes under a transaction, and waits for answers.
 
-`change_states` keeps one small state for each step, so it grows with the steps that are open and is dealt by step.
+`change_states` keeps one small state for each step that is open, or finished less than `keep` ago, dealt by step.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: From which states a step may come to a state (fixed values).
+#: States that end a step, and from which states a step may come to a state (fixed values).
+FINAL = ("COMPLETED", "CANCELED")
 BEFORE = {"IN PROGRESS": ("SCHEDULED",), "COMPLETED": ("IN PROGRESS",), "CANCELED": ("IN PROGRESS",)}
 
 
@@ -33,14 +34,18 @@ def _change(state: str, owner: str, wanted: str, transaction: str | None) -> tup
     return state, owner, "already so" if state == wanted else "final"
 
 
-def change_states(requests: DataFrame) -> DataFrame:
+def change_states(requests: DataFrame, keep: int | None = None) -> DataFrame:
     """For each request of the stream (step string, request long, wanted string, transaction string): step, request, state, result.
 
     A step is SCHEDULED until a first change. Within a batch requests are taken in the order of `request`; a null
-    transaction changes nothing. Requests without a step are left out.
+    transaction changes nothing. Requests without a step are left out. The state of a finished step goes `keep` milliseconds
+    (of processing time) after its last request, and such a step is then SCHEDULED again; without `keep` it stays.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state, owner = held.get if held.exists else ("SCHEDULED", "")
         rows = pd.concat(list(batches)).sort_values("request", kind="stable")
         out = []
@@ -49,10 +54,12 @@ def change_states(requests: DataFrame) -> DataFrame:
             state, owner, result = _change(state, owner, wanted, transaction)
             out.append((key[0], r.request, state, result))
         held.update((state, owner))
+        if keep is not None and state in FINAL:
+            held.setTimeoutDuration(keep)
         yield pd.DataFrame(out, columns=["step", "request", "state", "result"])
 
     rows = requests.where(F.col("step").isNotNull()).select("step", "request", "wanted", "transaction")
-    return rows.groupBy("step").applyInPandasWithState(run, "step string, request long, state string, result string", "state string, owner string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("step").applyInPandasWithState(run, "step string, request long, state string, result string", "state string, owner string", "append", GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def awaited(requests: DataFrame, answers: DataFrame, timeout: str, late: str = "0 seconds") -> DataFrame:

@@ -59,6 +59,22 @@ def test_change_states(spark, tmp_path):
     }
 
 
+def test_finished_states_expire(spark, tmp_path):
+    import time
+
+    schema = "step string, request long, wanted string, transaction string"
+    batches = [[("a", 1, "IN PROGRESS", "t"), ("b", 1, "IN PROGRESS", "t")], [("a", 2, "COMPLETED", "t")], [("b", 2, "IN PROGRESS", "t")], [("a", 3, "IN PROGRESS", "u"), ("b", 3, "COMPLETED", "t")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    at = str(tmp_path / "at")
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        steps.change_states(stream, 1000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+        time.sleep(1.5 if k == 1 else 0)
+    found = {(r.step, r.request): r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {("a", 1): "changed", ("b", 1): "changed", ("a", 2): "changed", ("b", 2): "already in progress", ("a", 3): "changed", ("b", 3): "changed"}
+
+
 def test_awaited(spark, tmp_path):
     asked = [("x", "2024-01-01 00:00:00"), ("y", "2024-01-01 00:00:10"), ("z", "2024-01-01 09:00:00")]
     told = [("x", "2024-01-01 00:00:30"), ("y", "2024-01-01 00:05:00"), ("z", "2024-01-01 09:00:01")]
