@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.checkpoints import shared_dir
+from tessera.functions import charsets
 from tessera.operators import relations
 from tessera.sources import scan
 
@@ -85,3 +86,21 @@ def documents_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan.scan(spark, path, profile=("core", "patient"), selectors=(scan.Selector("step", "00400007", ("00400275",)),), lines=True, suffixes=(".txt",), max_errors=1 << 40)
     step = F.get(F.col("selected")["step"], F.lit(0))
     return rows.select("instance_uid", "patient_name", F.col("number_of_frames").alias("frames"), F.when(F.col("error").isNull(), F.size("missing")).alias("missing"), F.array_join("invalid", ",").alias("invalid"), F.concat(step["path"], F.lit("="), F.get(step["values"], F.lit(0))).alias("step"), "error")
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'plain ' || user_id WHEN 1 THEN chr(CAST(192 + user_id % 60 AS INT)) || 'x' WHEN 2 THEN chr(CAST(1040 + user_id % 60 AS INT)) || '^a' WHEN 3 THEN 'A=' || chr(CAST(12449 + user_id % 80 AS INT)) || '='
+WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN chr(CAST(192 + user_id % 60 AS INT)) END WHEN 6 THEN chr(CAST(65377 + user_id % 60 AS INT)) || '¥' END AS text, CASE event_id % 8 WHEN 4 THEN CASE WHEN user_id % 2 = 1 THEN 'bytes' END WHEN 5 THEN 'unreturned' WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'escape' ELSE 'declaration' END END AS finding,
+CAST(CASE event_id % 8 WHEN 4 THEN CASE WHEN user_id % 2 = 1 THEN 1 END WHEN 5 THEN 8 WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END END AS INT) AS place FROM events""")
+def texts_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in eight declared character sets, some of them in wrong bytes."""
+    kind, user = F.col("event_id") % 8, F.col("user_id")
+    byte = lambda low, n: F.lpad(F.hex(low + user % n), 2, "0")
+    of = [F.hex(F.encode(F.concat(F.lit("plain "), user.cast("string")), "UTF-8")), F.concat(byte(0xC0, 60), F.lit("78")), F.concat(byte(0xB0, 60), F.lit("5E61")), F.concat(F.lit("413D1B244225"), byte(0x21, 80), F.lit("1B28423D")),
+          F.when(user % 2 == 0, F.concat(F.lit("C3"), byte(0x80, 60))).otherwise("41FF"), F.lit("411B24422524255C"), F.concat(byte(0xA1, 60), F.lit("5C")), F.when(user % 2 == 0, "411B2D46").otherwise("41")]
+    codes = ["", "ISO_IR 100", "ISO 2022 IR 144\\ISO 2022 IR 87", "\\ISO 2022 IR 87", "ISO_IR 192", "\\ISO 2022 IR 87", "ISO_IR 13"]
+    data, code = of[7], F.when(user % 2 == 0, "\\ISO 2022 IR 87").otherwise("ISO_IR 999")
+    for k in range(6, -1, -1):
+        data, code = F.when(kind == k, of[k]).otherwise(data), F.when(kind == k, codes[k]).otherwise(code)
+    vr = F.when(kind.isin(2, 3), "PN").when(kind == 6, "LT").otherwise("LO")
+    found = table(spark, sf_dir, "events").withColumn("d", charsets.decoded(F.unhex(data), code, vr))
+    return found.select("event_id", "d.text", "d.finding", F.col("d.offset").alias("place"))
