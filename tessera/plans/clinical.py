@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import shared_dir
 from tessera.functions import charsets
-from tessera.operators import relations
-from tessera.sources import scan
+from tessera.operators import protocols, registration, relations
+from tessera.sources import native_xml, scan, tagged_json
 
 from .queries import query, table
 
@@ -104,3 +104,64 @@ def texts_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     vr = F.when(kind.isin(2, 3), "PN").when(kind == 6, "LT").otherwise("LO")
     found = table(spark, sf_dir, "events").withColumn("d", charsets.decoded(F.unhex(data), code, vr))
     return found.select("event_id", "d.text", "d.finding", F.col("d.offset").alias("place"))
+
+
+_CORNERS = ", ".join(f"({a}, {b}, {c})" for c in (0, 1) for b in (0, 1) for a in (0, 1))
+
+
+@query(f"""WITH p AS (SELECT event_id, user_id % 3 AS reg, event_id % 11 * 0.8 AS x, event_id % 7 * 0.5 AS y, event_id % 9 * 0.125 AS z FROM (SELECT CAST(event_id AS DOUBLE) AS event_id, user_id FROM events)),
+v AS (SELECT user_id % 3 AS reg, event_id % 5 AS i, event_id // 5 % 4 AS j, event_id // 20 % 3 AS k, max(value) / 97 AS d FROM events WHERE NOT (event_id % 5 = 2 AND event_id // 5 % 4 = 2) AND user_id % 3 < 2 GROUP BY ALL),
+c AS (SELECT *, x / 2 AS a, y / 1 AS b, z / 0.5 AS c, reg = 2 OR x / 2 BETWEEN -1e-9 AND 4 + 1e-9 AND y BETWEEN -1e-9 AND 3 + 1e-9 AND z / 0.5 BETWEEN -1e-9 AND 2 + 1e-9 AS inside FROM p),
+w AS (SELECT event_id, reg, CAST(least(floor(least(a, 4)) + da, 4) AS BIGINT) AS i, CAST(least(floor(least(b, 3)) + db, 3) AS BIGINT) AS j, CAST(least(floor(least(c, 2)) + dc, 2) AS BIGINT) AS k, CASE da WHEN 1 THEN a - floor(a) ELSE 1 - (a - floor(a)) END * CASE db WHEN 1 THEN b - floor(b) ELSE 1 - (b - floor(b)) END * CASE dc WHEN 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END AS w FROM c, (VALUES {_CORNERS}) AS s(da, db, dc) WHERE reg < 2 AND inside),
+m AS (SELECT event_id, count(*) = count(d) AS whole, sum(w * d) AS d FROM w LEFT JOIN v USING (reg, i, j, k) WHERE w <> 0 GROUP BY event_id),
+e AS (SELECT c.*, coalesce(d, 0) AS d, CASE WHEN NOT inside THEN 'outside' WHEN reg < 2 AND NOT coalesce(whole, false) THEN 'undefined' END AS error FROM c LEFT JOIN m USING (event_id))
+SELECT CAST(event_id AS BIGINT) AS event_id, round(CASE WHEN error IS NULL THEN 2 * (y + 1 + d) END, 6) AS source_x, round(CASE WHEN error IS NULL THEN 3 - (x + (reg + 1) * z - d) END, 6) AS source_y, round(CASE WHEN error IS NULL THEN z + d * 0.5 END, 6) AS source_z, error FROM e""")
+def points_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of three registrations, two of them with a field of 5 x 4 x 3 cells of which some are missing."""
+    k, array = F.col("event_id"), lambda *v: F.array(*(x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in v))
+    events = table(spark, sf_dir, "events").withColumn("reg", F.col("user_id") % 3)
+    points = events.select("event_id", "reg", (k % 11 * 0.8).alias("x"), (k % 7 * 0.5).alias("y"), (k % 9 * 0.125).alias("z"))
+    grid = lambda *v: F.when(F.col("reg") < 2, array(*v))
+    registrations = events.select("reg").distinct().select(
+        "reg", array(0, 1, 0, 1, 1, 0, (F.col("reg") + 1).cast("double"), 0, 0, 0, 1, 0, 0, 0, 0, 1).alias("pre"), array(2, 0, 0, 0, 0, -1, 0, 3, 0, 0, 1, 0, 0, 0, 0, 1).alias("post"),
+        grid(0, 0, 0).alias("origin"), grid(1, 0, 0).alias("row"), grid(0, 1, 0).alias("col"), grid(0, 0, 1).alias("normal"), grid(2, 1, 0.5).alias("spacing"), grid(5, 4, 3).alias("cells"),
+    )
+    i, j, n = k % 5, F.floor(k / 5) % 4, F.floor(k / 20) % 3
+    d = F.max("value") / 97
+    vectors = events.where(~((i == 2) & (j == 2)) & (F.col("reg") < 2)).groupBy("reg", i.alias("i"), j.alias("j"), n.alias("k")).agg(d.alias("dx"), (-d).alias("dy"), (d * 0.5).alias("dz"))
+    found = registration.to_source(points, registrations, vectors)
+    return found.select("event_id", *(F.round(f"source.{c}", 6).alias(f"source_{c}") for c in "xyz"), "error")
+
+
+@query("""WITH i AS (SELECT o_orderkey AS image, o_orderstatus AS status, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority FROM orders),
+s AS (SELECT n_nationkey AS protocol, ['F', 'O', 'P'][1 + n_nationkey % 3] AS status, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + n_nationkey % 5] AS priority FROM nation)
+SELECT image, protocol, 1 AS number FROM i JOIN s ON i.status = s.status AND (i.priority IS NULL OR i.priority = s.priority) UNION ALL SELECT image, protocol, 2 FROM i JOIN s ON i.priority IS NULL OR i.priority = s.priority WHERE protocol < 3""")
+def image_sets_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image sets of one protocol for each nation, against all orders as images; the second sets need nothing to be there."""
+    orders, of = table(spark, sf_dir, "orders"), lambda v, n: F.element_at(F.array(*map(F.lit, v)), (F.col("n_nationkey") % n + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    elements = orders.select(F.col("o_orderkey").alias("image"), F.lit("00080060").alias("tag"), none.alias("path"), F.array("o_orderstatus").alias("values")).union(
+        orders.where("o_orderkey % 5 > 0").select("o_orderkey", F.lit("00081030"), F.array(F.lit("00400275")), F.array(F.lit("other"), F.concat(F.lit(" "), "o_orderpriority"))))
+    nation = table(spark, sf_dir, "nation").withColumn("p", of(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), 5)).withColumn("s", of("FOP", 3))
+    rule = lambda number, tag, path, usage, n, value: F.struct(F.lit(number).alias("number"), F.lit(tag).alias("tag"), path.alias("path"), F.lit(usage).alias("usage"), F.lit(n).alias("value_number"), F.array(F.lit("X"), value).alias("values"))
+    status, priority = rule(1, "00080060", none, "NO_MATCH", 1, F.col("s")), [rule(n, "00081030", F.array(F.lit("00400275")), "MATCH", 2, F.col("p")) for n in (1, 2)]
+    selectors = nation.select(F.col("n_nationkey").alias("protocol"), F.explode(F.when(F.col("n_nationkey") < 3, F.array(status, *priority)).otherwise(F.array(status, priority[0]))).alias("r")).select("protocol", "r.*")
+    return protocols.image_sets(elements, selectors)
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 13 > 0)
+SELECT c_custkey, '00100010' AS tag, 'PN' AS vr, c_name || '^' || replace(c_mktsegment, 'A', '&') AS text FROM c UNION ALL SELECT c_custkey, '00280010', 'US', CAST(c_nationkey AS VARCHAR) FROM c UNION ALL SELECT c_custkey, '00400275/00400007', 'LO', 'a<b ' || c_nationkey FROM c
+UNION ALL SELECT c_custkey, 'fault', '', 'xml' FROM customer WHERE c_custkey % 13 = 0""")
+def xml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as XML documents: names, numbers and an item's text; each thirteenth is cut off."""
+    escaped = F.replace(F.col("c_mktsegment"), F.lit("A"), F.lit("&amp;"))
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><NativeDicomModel xmlns="http://dicom.nema.org/PS3.19/models/NativeDICOM"><DicomAttribute tag="00100010" vr="PN" keyword="PatientName"><PersonName number="1"><Alphabetic><FamilyName>'), "c_name", F.lit("</FamilyName><GivenName>"), escaped,
+        F.lit('</GivenName></Alphabetic></PersonName></DicomAttribute><DicomAttribute tag="00280010" vr="US"><Value number="1">'), F.col("c_nationkey").cast("string"), F.lit('</Value></DicomAttribute><DicomAttribute tag="00400275" vr="SQ"><Item number="1"><DicomAttribute tag="00400007" vr="LO"><Value number="1">a&lt;b '),
+        F.col("c_nationkey").cast("string"), F.when(F.col("c_custkey") % 13 == 0, "</Value>").otherwise("</Value></DicomAttribute></Item></DicomAttribute></NativeDicomModel>"),
+    )
+    docs = table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml"))
+    rows = native_xml.elements(docs, "c_custkey", "xml")
+    text = tagged_json.text(F.col("values"), F.col("vr")).alias("text")
+    inner = tagged_json.items(rows, "c_custkey", "00400275").select("c_custkey", F.concat(F.lit("00400275/"), "tag").alias("tag"), "vr", text)
+    return rows.where("vr <> 'SQ'").select("c_custkey", "tag", "vr", text).union(inner).union(native_xml.faults(docs, "c_custkey", "xml").select("c_custkey", F.lit("fault"), F.lit(""), "fault"))
