@@ -1,34 +1,44 @@
 """Benchmark decontamination by a positional inverted index of the training texts.
 
-The index holds postings of test terms: for a pair of terms, the document, the position of the first term and the words
-within `radius` of it. Which pairs are indexed is found from the test items: of each window (10 consecutive words of an
-item, or the whole of a shorter one), the two terms that are rarest in the training texts. The index is cut by document,
-so the lists of the two terms are intersected where the document is read; the joined postings then have their other
-words compared at the offsets of the window (`phrase_matches`) or in any order near by (`proximity_matches`).
-
-What the tasks that read the documents know of the items is two bit tables of fixed size, whatever the number of items;
-words or pairs that share a bit with a wanted one are dropped by the later exact join. A pair found in very many
-documents makes many postings, which the join splits by document if they are too many for a task.
-
-Nulls: a null text has no words. Items without words have no windows. A null item_id counts among the hits but not among
+1. The index holds the postings of all tokens of the training texts, whatever the benchmark: documents are laid end to
+   end, with a gap of one place between them, in windows of about `TOKENS` tokens, and for each window and term there are
+   lists of up to `LIST` places. A document lies in one window, however long it is. Lists of where documents begin stand
+   beside them. The index is written once and answers any benchmark.
+2. Test items are cut into phrases: each 10 consecutive words, or the whole of a shorter item. They are dealt into blocks of about
+   `BLOCK` phrases by a hash, so what a task is sent of them is bounded; nearly all benchmarks are one block.
+3. Of the index only lists of a block's terms are taken, and dealt out by window. A phrase that lacks one of its terms in a
+   window isn't there. Of the others, the list of the rarest term in that window, less its offset in the phrase, is
+   intersected with the lists of the other terms, less theirs, from the rarest on: what is left are the starts of
+   exact occurrences (`phrase_matches`). `proximity_matches` asks how many different terms of a phrase stand within a radius
+   of one of them, in any order, and looks only near places of those terms of which one must be there, the rarest.
+
+A frequent term has lists in every window, and no task has more of it than its windows. Terms are told apart by 64-bit
+hashes of their words, so a phrase of one word is wrong once in 10**19 pairs, and longer ones far less often.
+
+Nulls: a null text has no words. Items without words have no phrases. A null item_id counts among the hits but not among
 items. Each input row, repeated or not, gives one row; ids may be null. Empty tables: no rows, or rows without hits.
-Other columns are ignored.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_rows, row_ids, written
-from .words import hash_word, hashed, normal
+from .words import hashed, normal
 
 WINDOW = 10
-TERM_BITS, PAIR_BITS = 20, 23
+TOKENS, DOCUMENTS, LIST, BLOCK = 1 << 20, 1 << 14, 4096, 1 << 16
+#: (phrase, start) pairs that are intersected at once.
+PAIRS = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,160 +46,263 @@ def words_of(text: str | None) -> list[bytes]:
     return normal(text).split()
 
 
-def _signed(h: int) -> int:
-    return h - 2**64 if h >= 2**63 else h
-
-
-def _pair(a: bytes, b: bytes) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(a + b" " + b))
-
-
-def _bit_table(spark, hashes: DataFrame, bits: int):
-    """Broadcast a table of 2**bits flags; `hashes` has one long column. At most 2**bits numbers come to the driver, as an array."""
-    table = np.zeros(1 << bits, bool)
-    places = hashes.select(F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1).cast("int").alias("place")).distinct().toArrow()
-    table[places["place"].to_numpy()] = True
-    return spark.sparkContext.broadcast(np.packbits(table))
-
-
-def _unpacked(table) -> np.ndarray:
-    return np.unpackbits(table.value).astype(bool)
+def _lists(terms: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms of the lists, their ends in the places, the places in order of term), lists cut at `LIST` places."""
+    order = np.argsort(terms, kind="stable")
+    terms, places = terms[order], places[order]
+    first = np.flatnonzero(np.diff(terms, prepend=terms[:1] + np.uint64(1))) if len(terms) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(terms)))
+    inner = np.arange(len(terms)) - np.repeat(first, sizes)
+    starts = np.flatnonzero(inner % LIST == 0)
+    return terms[starts], np.append(starts, len(terms)), places
+
+
+def _index(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True)
+
+        numbers = row_ids()
+
+        def done(keys: list, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            number, lengths = next(numbers), np.array([len(w) for w in words], np.int32)
+            begins = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int32)
+            for low in range(0, len(keys), LIST):
+                part = slice(low, low + LIST)
+                one = [[number], [None], [begins[part]], [keys[part]], [lengths[part]], [low]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, schema, strict=True)], schema=schema)
+            places = np.arange(lengths.sum(), dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            terms, ends, places = _lists(np.concatenate(words), places)
+            for low in range(0, len(terms), 5000):
+                high = min(low + 5000, len(terms))
+                held = pa.ListArray.from_arrays(pa.array((ends[low : high + 1] - ends[low]).astype(np.int32)), pa.array(places[ends[low] : ends[high]]))
+                n = high - low
+                columns = [pa.array(np.full(n, number)), pa.array(terms[low:high].view(np.int64)), held, pa.nulls(n, schema.field(3).type), pa.nulls(n, schema.field(4).type), pa.nulls(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        keys: list = []
+        words: list[np.ndarray] = []
+        size = 0
+        for (k, _), _, _, _, own in hashed(rows()):
+            if words and size + len(own) > TOKENS or len(words) >= DOCUMENTS:
+                yield from done(keys, words)
+                keys, words, size = [], [], 0
+            keys.append(k)
+            words.append(own)
+            size += len(own)
+        if words:
+            yield from done(keys, words)
 
+    return run
 
-def _item_terms(rows: Iterator[tuple]) -> Iterator[tuple]:
-    ids = row_ids()
-    for item_id, text in rows:
-        row = next(ids)
-        for at, word in enumerate(words_of(text)):
-            yield row, item_id, at, word.decode(), _signed(hash_word(word))
 
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(window, term, places, keys, lengths, slot), written: lists of a term's places in a window; and, where term is null, of the places where documents begin, their keys and numbers of words, from the document `slot` of the window on."""
+    own = docs.schema[key].dataType
+    schema = T.StructType([T.StructField("window", T.LongType()), T.StructField("term", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(own)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("slot", T.IntegerType())])
+    return written(docs.select(F.col(key), F.col(text)).mapInArrow(_index(to_arrow_schema(schema)), schema), "index")
 
-def _counts(table):
-    """Counts of the wanted terms' hashes; they only say which terms are rare."""
 
+def _phrases(window: int):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        bits, kept, size = _unpacked(table), [], 0
-        mask = np.uint64(len(bits) - 1)
-
-        def summed() -> Iterator[tuple]:
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]).view(np.int64), return_counts=True)
-            yield from zip(found.tolist(), n.tolist(), strict=True)
-
-        for *_, hashes in hashed(rows):
-            kept.append(hashes[bits[hashes & mask]])
-            size += len(kept[-1])
-            if size > 2_000_000:
-                yield from summed()
-                kept, size = [], 0
-        yield from summed()
+        for number, ((id_, _), _, _, _, words) in zip(row_ids(), hashed(rows), strict=False):
+            if len(words):
+                n = min(window, len(words))
+                cut = np.lib.stride_tricks.sliding_window_view(words, n)
+                for terms in np.unique(cut, axis=0).view(np.int64).tolist():
+                    yield number, id_, terms
 
     return run
 
 
-def _anchors(window: int):
+def test_phrases(items: DataFrame, window: int = WINDOW, item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, id, terms), written: the different phrases of each item, as hashes of their words."""
+    kind = items.schema[item_key].dataType.simpleString()
+    return written(map_rows(items.select(F.col(item_key), F.col(text)), f"item long, id {kind}, terms array<long>", _phrases(window), 2000), "phrases")
+
+
+test_phrases.__test__ = False  # no test, for pytest
+
+
+class _Phrases:
+    """The different phrases of a block: places of their terms in the sorted terms (-1 beyond the end), lengths, and the items of each."""
+
+    def __init__(self, terms: np.ndarray, places: np.ndarray, lengths: np.ndarray, items: list[np.ndarray]):
+        self.terms, self.places, self.lengths, self.items = terms, places, lengths, items
+
+
+def _block(rows: pa.Table) -> _Phrases:
+    held = rows["terms"].combine_chunks()
+    values, offsets = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
+    terms, place = np.unique(values, return_inverse=True)
+    lengths = np.diff(offsets)
+    matrix = np.full((len(lengths), int(lengths.max(initial=1))), -1, np.int32)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    matrix[row, np.arange(len(values)) - np.repeat(offsets[:-1], lengths)] = place
+    distinct, of = np.unique(matrix, axis=0, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    items = np.split(rows["item"].to_numpy()[order], np.flatnonzero(np.diff(of[order])) + 1)
+    return _Phrases(terms, distinct, (distinct >= 0).sum(axis=1), [np.unique(i) for i in items])
+
+
+class _Places:
+    """The lists of one window: which of the block's terms stand at each place (-1: none of them), and each term's places."""
+
+    def __init__(self, phrases: _Phrases, rows: list[tuple]):
+        lists, begins, self.lengths = [], [], []
+        for _, term, places, lengths, slot in rows:
+            (begins if term is None else lists).append((slot, places, lengths) if term is None else (term, places))
+        begins.sort(key=lambda b: b[0])
+        self.begins = np.array([p for _, own, _ in begins for p in own], np.int64)
+        self.lengths = np.array([n for _, _, own in begins for n in own], np.int64)
+        names = np.array([t for t, _ in lists], np.int64).view(np.uint64)
+        sizes = np.array([len(p) for _, p in lists], np.int64)
+        term = np.repeat(np.searchsorted(phrases.terms, names), sizes)
+        place = np.array([p for _, own in lists for p in own], np.int64)
+        self.at = np.full(int(self.begins[-1] + self.lengths[-1]) + 1 if len(self.begins) else 1, -1, np.int32)
+        self.at[place] = term
+        order = np.argsort(term, kind="stable")
+        self.place, self.count = place[order], np.bincount(term, minlength=len(phrases.terms))
+        self.first = np.cumsum(self.count) - self.count
+
+    def slots(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, places, "right") - 1
+
+
+def _starts(phrases: _Phrases, here: _Places) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrase, start) of all exact occurrences in a window, in batches."""
+    far = np.iinfo(np.int64).max
+    counts = np.where(phrases.places >= 0, here.count[phrases.places], far)
+    alive = np.flatnonzero((counts > 0).all(axis=1))
+    order = np.argsort(counts[alive], axis=1, kind="stable")  # the offsets of each phrase, its rarest term first
+    rarest = phrases.places[alive, order[:, 0]]
+    todo = here.count[rarest]
+    ends = np.cumsum(todo)
+    low = 0
+    while low < len(alive):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        n = todo[low:high]
+        own = np.repeat(np.arange(low, high), n)
+        start = here.place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(here.first[rarest[low:high]], n)] - order[own, 0]
+        kept = start >= 0
+        own, start = own[kept], start[kept]
+        for k in range(1, order.shape[1]):
+            offset = order[own, k]
+            wanted = phrases.places[alive[own], offset]
+            at = np.minimum(start + offset, len(here.at) - 1)
+            kept = (wanted < 0) | (start + offset < len(here.at)) & (here.at[at] == wanted)
+            own, start = own[kept], start[kept]
+        yield alive[own], start
+        low = high
+
+
+def _windows(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    held: list[tuple] = []
+    for row in rows:
+        if held and held[0][0] != row[0]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def _exact(block):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for item_id, terms in rows:
-            terms = sorted(terms, key=lambda t: t["at"])
-            words, freq = [t["term"].encode() for t in terms], [t["n"] or 0 for t in terms]
-            length, found = min(window, len(words)), {}
-            for start in range(len(words) - length + 1):
-                # the rarest words of the window; of the same, the first ones, so that neighbouring windows share them
-                order = sorted(range(start, start + length), key=lambda i: (freq[i], words[i], i))
-                first = order[0]
-                second = next((i for i in order if words[i] != words[first]), first)
-                found.setdefault((first, words[second]), []).append(start)
-            for (first, second), starts in found.items():
-                # the windows all hold the first term, so the words from the first one's start to the last one's end are few
-                low, high = starts[0], starts[-1] + length
-                yield _pair(words[first], second), _signed(hash_word(words[first])), item_id, b" ".join(words[low:high]).decode(), first - low, length, [s - low for s in starts]
+        phrases = block.value
+        for window in _windows(rows):
+            here = _Places(phrases, window)
+            found = list(_starts(phrases, here))
+            phrase, start = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            slot = here.slots(start)
+            order = np.argsort(slot, kind="stable")
+            phrase, start, slot = phrase[order], start[order], slot[order]
+            edges = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot)).tolist()
+            for low, high in zip(edges, edges[1:], strict=False):
+                own = int(slot[low])
+                lengths, begin = phrases.lengths[phrase[low:high]], start[low:high] - here.begins[own]
+                cover = np.zeros(int(here.lengths[own]) + 1, np.int64)
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + lengths, -1)
+                items = np.unique(np.concatenate([phrases.items[p] for p in np.unique(phrase[low:high]).tolist()]))
+                yield window[0][0], own, np.flatnonzero(np.cumsum(cover[:-1])).tolist(), items.tolist()
 
     return run
 
 
-def test_anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """For each item and each pair of rarest terms: the pair, the words of the windows that have it, the place of the first term and the windows' starts among these."""
-    spark = docs.sparkSession
-    kind = items.schema[item_key].dataType.simpleString()
-    terms = written(map_rows(items.select(item_key, text), f"row long, item {kind}, at int, term string, h long", _item_terms), "terms")
-    table = _bit_table(spark, terms.select("h"), TERM_BITS)
-    seen = map_rows(docs.select(text), "h long, n long", _counts(table)).groupBy("h").agg(F.sum("n").alias("n"))
-    by_item = terms.join(seen, "h", "left").groupBy("row").agg(F.max("item").alias("item"), F.collect_list(F.struct("at", "term", "n")).alias("terms"))
-    return written(map_rows(by_item.select("item", "terms"), f"pair long, h long, item {kind}, words string, first int, length int, starts array<int>", _anchors(window)), "anchors")
-
-
-def _postings(terms, pairs, radius: int):
+def _near(block, share: float, radius: int):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        bits, pair_bits, ids = _unpacked(terms), _unpacked(pairs), row_ids()
-        mask, pair_mask = np.uint64(len(bits) - 1), len(pair_bits) - 1
-        for (doc_id, _), buffer, starts, ends, hashes in hashed(rows):
-            found = []
-            for at in np.flatnonzero(bits[hashes & mask]).tolist():
-                low, high = max(0, at - radius), min(len(starts), at + radius + 1)
-                near = buffer[starts[low] : ends[high - 1]].split()
-                hits = [p for p in {_pair(near[at - low], w) for w in near} if pair_bits[p & pair_mask]]
-                if hits:
-                    context = b" ".join(near).decode()
-                    found += [(p, at, at - low, context) for p in hits]
-            yield next(ids), doc_id, len(starts), found
+        phrases = block.value
+        for window in _windows(rows):
+            here = _Places(phrases, window)
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for k in range(len(phrases.lengths)):
+                own = np.unique(phrases.places[k, : phrases.lengths[k]])
+                need = int(np.ceil(share * len(own) - 1e-9))
+                if (here.count[own] > 0).sum() < need:
+                    continue
+                # one of the rarest must be near wherever enough of the terms are
+                rare = own[np.argsort(here.count[own], kind="stable")][: len(own) - need + 1]
+                around = np.concatenate([here.place[here.first[t] : here.first[t] + here.count[t]] for t in rare.tolist()])
+                around = np.unique(around[:, None] + np.arange(-radius, radius + 1))
+                around = around[(around >= 0) & (around < len(here.at))]
+                around = around[np.isin(here.at[around], own)]
+                slot = here.slots(around)
+                near = around[:, None] + np.arange(-radius, radius + 1)
+                inside = (near >= here.begins[slot][:, None]) & (near < (here.begins + here.lengths)[slot][:, None])
+                there = np.where(inside, here.at[np.clip(near, 0, len(here.at) - 1)], -1)
+                n = (there[:, :, None] == own[None, None, :]).any(axis=1).sum(axis=1)
+                for i in np.flatnonzero(n >= need).tolist():
+                    for item in phrases.items[k].tolist():
+                        one = (int(n[i]), -int(around[i] - here.begins[slot[i]]))
+                        best[(int(slot[i]), item)] = max(one, best.get((int(slot[i]), item), one))
+            for (slot, item), (n, at) in best.items():
+                yield window[0][0], slot, item, -at, n
 
     return run
 
 
-def build_index(docs: DataFrame, anchors: DataFrame, radius: int = WINDOW - 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the index: for each row of docs its number, key, n_words and postings (pair, at, left, context)."""
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    terms, pairs = _bit_table(spark, anchors.select("h"), TERM_BITS), _bit_table(spark, anchors.select("pair"), PAIR_BITS)
-    rows = map_rows(
-        docs.select(F.col(key).alias("key"), text), f"row long, key {kind}, n_words long, postings array<struct<pair:long,at:int,left:int,context:string>>", _postings(terms, pairs, radius), 500
-    )
-    return written(rows, "index")
-
-
-def _phrases(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for row, at, left, context, item, words, first, length, starts in rows:
-        words, near, hit = words.split(" "), context.split(" "), set()
-        for start in starts:
-            low = left + start - first  # of the window, in the context
-            if low >= 0 and near[low : low + length] == words[start : start + length]:
-                hit.update(range(at + start - first, at + start - first + length))
-        if hit:
-            yield row, item, sorted(hit)
+def _searched(index: DataFrame, phrases: DataFrame, schema: str, search, block: int) -> DataFrame:
+    """What search finds of each block of phrases, all blocks together."""
+    spark = index.sparkSession
+    blocks = max(1, -(-phrases.count() // block))
+    parts = []
+    for b in range(blocks):
+        own = phrases.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        table = own.select("item", "terms").toArrow()
+        if not table.num_rows:
+            continue
+        wanted = F.broadcast(own.select(F.explode("terms").alias("term")).distinct())  # of a block
+        used = index.select("window", "term", "places", "lengths", "slot")
+        lists = used.join(wanted, "term", "left_semi").unionByName(used.where("term IS NULL")).select(used.columns)
+        dealt = lists.repartition("window").sortWithinPartitions("window")
+        parts.append(map_rows(dealt, schema, search(spark.sparkContext.broadcast(_block(table)))))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _pairs_of(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    return (
-        index.select("row", F.explode("postings").alias("p")).select("row", F.col("p.pair").alias("pair"), F.col("p.at").alias("at"), F.col("p.left").alias("left"), F.col("p.context").alias("context"))
-        .join(anchors, "pair").select("row", "at", "left", "context", "item", "words", "first", "length", "starts")
-    )
+def phrase_matches(index: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(window, slot, hits, items): of each document with an occurrence of a phrase, the positions of the words inside occurrences and the numbers of the items; once for each block that has any."""
+    return _searched(index, phrases, "window long, slot int, hits array<int>, items array<long>", _exact, block)
 
 
-def phrase_matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(row, item, hits): positions of the document's words inside occurrences of the item's windows, once for each posting that has any."""
-    return map_rows(_pairs_of(index, anchors), f"row long, item {anchors.schema['item'].dataType.simpleString()}, hits array<int>", _phrases)
+def proximity_matches(index: DataFrame, phrases: DataFrame, share: float = 0.8, radius: int = WINDOW - 1, block: int = BLOCK) -> DataFrame:
+    """(window, slot, item, at, n_terms): documents and items where at least `share` of a phrase's different terms stand within the radius of one of them, in any order: the most there are, and the first place with as many."""
+    return _searched(index, phrases, "window long, slot int, item long, at int, n_terms int", lambda b: _near(b, share, radius), block)
 
 
-def proximity_matches(index: DataFrame, anchors: DataFrame, share: float = 0.8) -> DataFrame:
-    """(row, item, at, n_terms): places where at least `share` of a window's distinct terms stand within the index's radius, in any order."""
-
-    def near(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for row, at, _, context, item, words, _, length, starts in rows:
-            words, there = words.split(" "), set(context.split(" "))
-            most = max((len(w & there) for w in (set(words[s : s + length]) for s in starts) if len(w & there) >= share * len(w)), default=0)
-            if most:
-                yield row, item, at, most
-
-    return map_rows(_pairs_of(index, anchors), f"row long, item {anchors.schema['item'].dataType.simpleString()}, at int, n_terms int", near)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: key, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
-    anchors = test_anchors(docs, items, window, item_key, text)
-    index = build_index(docs, anchors, window - 1, key, text)
-    hits = phrase_matches(index, anchors).groupBy("row").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
-    )
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items_ = F.coalesce("items", F.array().cast("array<string>"))
-    return index.select("row", F.col("key").alias(key), "n_words").join(hits, "row", "left").select(
-        key, "n_words", n_hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (n_hit > 0).alias("contaminated")
+    index, phrases = build_index(docs, key, text), test_phrases(items, window, item_key, text)
+    found = written(phrase_matches(index, phrases, block), "hits")
+    n_hit = found.groupBy("window", "slot").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
+    ids = phrases.select(F.col("item").alias("number"), F.col("id").cast("string").alias("id")).distinct()
+    named = found.select("window", "slot", F.explode("items").alias("number")).join(ids, "number").groupBy("window", "slot").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    hits = n_hit.join(named, ["window", "slot"])
+    each = index.where("term IS NULL").select("window", F.col("slot").alias("_first"), F.posexplode(F.arrays_zip("keys", "lengths")).alias("_k", "d"))
+    each = each.select("window", (F.col("_first") + F.col("_k")).alias("slot"), F.col("d.keys").alias("_key"), F.col("d.lengths").cast("long").alias("n_words"))
+    n, items_ = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return each.join(hits, ["window", "slot"], "left").select(
+        F.col("_key").alias(key), "n_words", n.alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), (n > 0).alias("contaminated")
     )

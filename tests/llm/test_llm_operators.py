@@ -192,8 +192,67 @@ def test_decontamination_of_odd_tables(spark, odd):
     assert by == expected
     assert decontamination.contamination(odd.limit(0), items).collect() == []
     assert {r["n_hit"] for r in decontamination.contamination(odd, items.limit(0)).collect()} == {0}
-    index, anchors = (lambda a: (decontamination.build_index(odd, a), a))(decontamination.test_anchors(odd, items))
-    assert decontamination.proximity_matches(index, anchors).count() > 0
+    index, phrases = decontamination.build_index(odd), decontamination.test_phrases(items)
+    assert decontamination.proximity_matches(index, phrases).count() > 0
+
+
+def near_by(docs, items, share, radius, window=10):
+    """Brute force: (doc, item) -> (most terms of a phrase around one of them, first place with as many)."""
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        for i, t in items:
+            own = words(t)
+            for k in range(max(1, len(own) - window + 1)) if own else ():
+                phrase = set(own[k : k + window])
+                for at, word in enumerate(w):
+                    n = len(phrase & set(w[max(0, at - radius) : at + radius + 1])) if word in phrase else 0
+                    if n and n >= share * len(phrase):
+                        out[(d, i)] = max(out.get((d, i), (0, 0)), (n, -at))
+    return {k: (n, -at) for k, (n, at) in out.items()}
+
+
+@pytest.mark.parametrize("block", [2, 1 << 16])
+def test_phrases_and_near_terms_in_a_small_index(spark, monkeypatch, block):
+    r = random.Random(8)
+    docs = [(k, " ".join(r.choices("a b c d e f g ä".split(), k=r.randrange(60)))) for k in range(60)] + [(99, None), (98, "")]
+    items = [(k, " ".join(r.choices("a b c d e f g ä x".split(), k=k))) for k in (0, 1, 2, 3, 4, 5, 12)] + [(20, docs[7][1]), (21, docs[7][1]), (22, None)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    # windows of few tokens, and short lists, made in this process
+    for name, value in (("TOKENS", 50), ("DOCUMENTS", 5), ("LIST", 3)):
+        monkeypatch.setattr(decontamination, name, value)
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = decontamination.build_index(df.limit(0)).schema
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["doc_id", "text"])
+    table = pa.Table.from_batches(list(decontamination._index(to_arrow_schema(schema))(iter([batch]))))
+    assert max(map(len, table["places"].to_pylist())) <= 3 and len(set(table["window"].to_pylist())) > 10
+    index = spark.createDataFrame(table.to_pylist(), schema).repartition(7)
+    keys = {(t["window"], t["slot"] + k): (d, n) for t in table.to_pylist() if t["term"] is None for k, (d, n) in enumerate(zip(t["keys"], t["lengths"], strict=True))}
+    assert keys and sorted(keys.values()) == sorted((d, len(words(t))) for d, t in docs)
+    phrases = decontamination.test_phrases(it)
+    ids = {x["item"]: x["id"] for x in phrases.collect()}
+    hits, named = defaultdict(set), defaultdict(set)
+    for x in decontamination.phrase_matches(index, phrases, block).collect():
+        hits[keys[(x["window"], x["slot"])][0]] |= set(x["hits"])
+        named[keys[(x["window"], x["slot"])][0]] |= {ids[i] for i in x["items"]}
+    want, of = defaultdict(set), defaultdict(set)
+    for d, text in docs:
+        w = words(text)
+        for i, t in items:
+            own = words(t)
+            for k in range(max(1, len(own) - 9)) if own else ():
+                g = own[k : k + 10]
+                for at in range(len(w) - len(g) + 1):
+                    if w[at : at + len(g)] == g:
+                        want[d] |= set(range(at, at + len(g)))
+                        of[d].add(i)
+    assert hits == want and named == of
+    for share, radius in ((0.8, 9), (0.5, 3), (1.0, 12)):
+        found = {(keys[(x["window"], x["slot"])][0], ids[x["item"]]): (x["n_terms"], x["at"]) for x in sorted(decontamination.proximity_matches(index, phrases, share, radius, block).collect(), key=lambda x: x["n_terms"])}
+        brute = near_by(docs, items, share, radius)
+        assert set(found) == set(brute) and all(found[k][0] == brute[k][0] for k in brute)
 
 
 @pytest.mark.parametrize(("query", "label", "least"), [(queries.op5_toxicity, "toxic", 0.9), (queries.op9_quality, "quality", 0.9)])
@@ -362,11 +421,11 @@ def test_nearest_of_several_lengths_and_blocks(spark, monkeypatch):
     assert hits >= 0.9 * 20 * 60
 
 
-def test_long_items_make_small_anchors(spark):
+def test_long_items_make_short_phrases(spark):
     words_ = [f"w{k % 50_021}" for k in range(100_000)]
     docs = spark.createDataFrame([(1, " ".join(words_[70_000:70_030])), (2, "w1 w3 w5")], "doc_id long, text string")
     items = spark.createDataFrame([(9, " ".join(words_))], "item_id long, text string")
-    assert decontamination.test_anchors(docs, items).agg(F.max(F.size(F.split("words", " ")))).first()[0] <= 19
+    assert decontamination.test_phrases(items).agg(F.max(F.size("terms")), F.count("*")).first() == (10, 50_021)
     assert {(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).collect()} == {(1, 30, 1), (2, 0, 0)}
 
 
