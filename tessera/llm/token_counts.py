@@ -129,7 +129,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         "row", F.col("e.n").alias("n"), F.col("e.word").alias("word"), *(F.when(F.col("e.word").startswith("\0"), F.col(c)).alias(c) for c in ("key", "n_bytes"))
     )
     joined = entries.join(words.where(~frequent).select("word", "pieces"), "word", "left")
+    pieces = F.when(F.col("pieces").isNotNull(), F.col("pieces")).when(F.col("n_bytes").isNotNull(), 1).otherwise(F.raise_error(F.lit("a word has no count")).cast("int"))
     return (
-        joined.groupBy("row").agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+        joined.groupBy("row").agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * pieces).alias("n_tokens"))
         .select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

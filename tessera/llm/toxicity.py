@@ -3,13 +3,17 @@
 1. Voters. A list of insults in common use and some patterns (one hit, several hits, hits by length of text, hidden
    spellings), and a lexicon of words and word beginnings found in the labelled rows of the training fold: those that
    stand in several toxic rows and nearly never in others. Each entry of the lexicon is a voter of its own.
-2. Label model. Voters fire or abstain; a row's own label is one more, noisy voter. Expectation-maximisation estimates how often each fires in
-   either class (its accuracy); the correlations of voters within the classes are measured with the posteriors, and a
-   voter counts the less the more of those correlated with it fire too. It starts from the rates in the training fold.
-3. A logistic regression over words and beginnings of words is fitted to the posteriors and then scores every text.
-
-All fitting is on at most `sample` labelled rows of the training fold (those of the smallest hashes of doc_id), of which
-only the numbers of their features come to the driver. Scores are of the text alone.
+2. Label model. Voters fire or abstain; a row's own label, where it has one, is one more voter, that may be wrong.
+   Expectation-maximisation estimates how often each fires in either class (its accuracy), and how often a label is toxic in
+   either class; the correlations of voters within the classes are measured with the posteriors, and a voter counts the less
+   the more of those correlated with it fire too. It starts from the rates in the labelled rows; from the second round
+   on rows without a label add their evidence.
+3. A logistic regression over words and beginnings of words is fitted to the posteriors of all these rows, and then scores
+   every text.
+
+All fitting is on at most `sample` labelled rows of the training fold and `unlabelled` rows of it that have no label (those of
+the smallest hashes of doc_id), of which only the numbers of their features come to the driver. Scores are of the text
+alone.
 
 Nulls: a null text counts as empty; such texts get a score as any other. Labels that are null, or of documents that are
 absent, are left out. Without labels the fixed list alone votes. Each input row gives one row.
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_rows
+from .common import labelled_sample, map_rows, train_fold
 
 #: Insults in common use.
 INSULTS = ("bastard", "clown", "coward", "cretin", "creep", "degenerate", "dimwit", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser", "maggot", "moron", "parasite", "pathetic", "pig", "retard", "rubbish", "scum", "scumbag", "stupid", "trash", "ugly", "vermin", "vile", "worthless")
@@ -36,8 +40,8 @@ FIXED = 5
 THRESHOLD = 0.7
 ENTRIES = 400
 CLASSIFIER = 4000
-#: Log-odds of a row's own label, one more voter of the label model: right in 19 of 20 rows.
-TRUST = 3.0
+#: What is taken for the labels before any is seen, as so many rows: right in 19 of 20. They are never believed to be better.
+TRUST, TRUST_ROWS = 0.95, 20.0
 
 
 def parts(word: str) -> tuple[str, ...]:
@@ -78,22 +82,29 @@ class LabelModel:
 
     def __init__(self, rates: np.ndarray, shared: np.ndarray, silent: np.ndarray, prior: float):
         self.rates, self.shared, self.silent, self.prior = rates, shared, silent, prior
+        self.labels = np.array([1 - TRUST, TRUST])  # how often a label is toxic in either class
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, gold: np.ndarray, rounds: int = 12) -> LabelModel:
-        """votes: rows x voters, 0 or 1; start: first guess of each row's probability; gold: log-odds that the row's own label adds."""
-        p, n, none = start.astype(float), len(votes), ~votes.any(axis=1)
+    def fit(cls, votes: np.ndarray, start: np.ndarray, labels: np.ndarray, rounds: int = 12) -> tuple[LabelModel, np.ndarray]:
+        """The model and each row's probability; votes: rows x voters, 0 or 1; start: first guess of the probability; labels: 1, 0, or -1 for none.
+
+        Rows without a label count from the second round on, if any row has one.
+        """
+        p, none, known = start.astype(float), ~votes.any(axis=1), labels >= 0
         shared = np.zeros((votes.shape[1],) * 2)
-        model = None
         for r in range(rounds):
-            mass = np.array([n - p.sum(), p.sum()])
-            rates = np.clip((np.stack([(1 - p) @ votes, p @ votes]) + 0.05) / (mass[:, None] + 1), 1e-6, 1 - 1e-6)
-            silent = np.clip((np.array([(1 - p) @ none, p @ none]) + 0.05) / (mass + 1), 1e-6, 1 - 1e-6)
-            model = cls(rates, shared, silent, float(np.clip(mass[1] / n, 1e-3, 1 - 1e-3)))
+            own = known.astype(float) if r == 0 and known.any() else np.ones(len(votes))
+            each = np.stack([(1 - p) * own, p * own])
+            mass = each.sum(axis=1)
+            rates = np.clip((each @ votes + 0.05) / (mass[:, None] + 1), 1e-6, 1 - 1e-6)
+            silent = np.clip((each @ none + 0.05) / (mass + 1), 1e-6, 1 - 1e-6)
+            told = (each @ (labels == 1) + TRUST_ROWS * np.array([1 - TRUST, TRUST])) / (each @ known + TRUST_ROWS)
+            model = cls(rates, shared, silent, float(np.clip(mass[1] / mass.sum(), 1e-3, 1 - 1e-3)))
+            model.labels = np.clip(told, 1 - TRUST, TRUST)
             if r % 4 == 0:
                 model.shared = shared = model.correlations(votes, p)
-            p = model.posterior(votes, gold)
-        return model
+            p = model.posterior(votes, labels)
+        return model, p
 
     def correlations(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
         """The positive correlations of each two voters within the classes, the larger of both."""
@@ -107,10 +118,11 @@ class LabelModel:
             total = np.maximum(total, rho)
         return total
 
-    def posterior(self, votes: np.ndarray, gold: np.ndarray | float = 0.0) -> np.ndarray:
-        """Voters that fire give evidence by their rates, each the less the more it is correlated with the others that fire; the silence of one says nothing, that of all is evidence by its own rate."""
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | int = -1) -> np.ndarray:
+        """Labels and voters that fire give evidence by their rates, each the less the more it is correlated with the others that fire; the silence of one says nothing, that of all is evidence by its own rate."""
         fired = (votes * np.log(self.rates[1] / self.rates[0]) / (1 + votes @ self.shared)).sum(axis=1)
         quiet = np.where(votes.any(axis=1), 0, np.log(self.silent[1] / self.silent[0]))
+        gold = np.where(labels == 1, np.log(self.labels[1] / self.labels[0]), np.where(labels == 0, np.log((1 - self.labels[1]) / (1 - self.labels[0])), 0))
         z = np.log(self.prior / (1 - self.prior)) + fired + quiet + gold
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -152,18 +164,27 @@ def _features(rows: Iterator[tuple]) -> Iterator[tuple]:
 def _counted(rows: Iterator[tuple]) -> Iterator[tuple]:
     toxic, clean = Counter(), Counter()
     for _, y, _, seen in rows:
-        (toxic if y else clean).update(seen)
+        if y >= 0:
+            (toxic if y else clean).update(seen)
         if len(toxic) + len(clean) > 500_000:
             yield from ((s, toxic[s], clean[s]) for s in toxic.keys() | clean.keys())
             toxic.clear(), clean.clear()
     yield from ((s, toxic[s], clean[s]) for s in toxic.keys() | clean.keys())
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 20_000, text: str = "text") -> Linear:
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, text: str = "text") -> DataFrame:
+    """(doc_id, text, y = -1) of at most `limit` documents of the training fold that have no label, those of the smallest hashes of doc_id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).select("doc_id").distinct()
+    picked = docs.where(F.col("doc_id").isNotNull() & train_fold()).select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("y", F.lit(-1))
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 20_000, text: str = "text", unlabelled: int = 2000) -> Linear:
     from .common import written
 
     spark = docs.sparkSession
-    rows = written(map_rows(labelled_sample(docs, labels, target, sample, text).select("doc_id", "text", "y"), "id string, y int, votes array<boolean>, seen array<string>", _features, 500), "votes")
+    picked = labelled_sample(docs, labels, target, sample, text).select("doc_id", "text", "y").unionByName(unlabelled_sample(docs, labels, target, unlabelled, text))
+    rows = written(map_rows(picked, "id string, y int, votes array<boolean>, seen array<string>", _features, 500), "votes")
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     counts = map_rows(rows, "part string, n1 long, n0 long", _counted).groupBy("part").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -193,11 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
         votes[i, :FIXED] = v
         votes[i, [FIXED + column[s] for s in seen if s in column]] = 1
     y = np.array([d[1] for d in data], float)
-    start = np.clip(y, 0.02, 0.98) if n1 and n0 else np.where(votes.any(axis=1), 0.9, 0.1)
+    if not (n1 and n0):  # labels of one class tell nothing
+        y = np.full(len(y), -1.0)
+    start = np.where(y < 0, np.where(votes.any(axis=1), 0.9, 0.1), np.clip(y, 0.02, 0.98))
     fires = votes.any(axis=0)
-    gold = np.where(y > 0, 1, -1) * TRUST if n1 and n0 else np.zeros(len(y))
-    model = LabelModel.fit(votes[:, fires], start, gold)
-    return fit_linear(names, [d[3] for d in data], model.posterior(votes[:, fires], gold))
+    _, p = LabelModel.fit(votes[:, fires], start, y)
+    return fit_linear(names, [d[3] for d in data], p)
 
 
 def fit_linear(names: list[str], rows: list[list[int]], p: np.ndarray, rounds: int = 500, rate: float = 0.5, decay: float = 2e-5) -> Linear:

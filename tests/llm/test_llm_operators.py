@@ -491,3 +491,50 @@ def test_latest_earlier_over_many_ranges(spark):
         if not full and (best := max(((t, i) for i, u, t, f in rows if f and u == url and (t, i) < (ts, id_)), default=None)):
             want[id_] = best
     assert {r["id"]: (r["response_ts"], r["response"]) for r in revisits.latest_earlier(df).collect()} == want
+
+
+def test_the_label_model_against_sums_over_rows():
+    r = np.random.default_rng(3)
+    truth = r.random(600) < 0.3
+    votes = np.stack([np.where(truth, r.random(600) < hit, r.random(600) < miss) for hit, miss in ((0.7, 0.02), (0.5, 0.05), (0.4, 0.1))], axis=1).astype(np.float32)
+    labels = np.where(r.random(600) < 0.5, np.where(truth, r.random(600) < 0.9, r.random(600) < 0.08).astype(int), -1)
+    start = np.where(labels < 0, 0.3, labels)
+    model, p = toxicity.LabelModel.fit(votes, start.astype(float), labels)
+    assert p[truth].mean() > p[~truth].mean() + 0.4 and 0.8 < model.labels[1] <= toxicity.TRUST and 1 - toxicity.TRUST <= model.labels[0] < 0.2
+    # the posterior of each row, summed voter by voter
+    for i in range(0, 600, 37):
+        z = np.log(model.prior / (1 - model.prior))
+        for j in range(3):
+            if votes[i, j]:
+                z += np.log(model.rates[1, j] / model.rates[0, j]) / (1 + sum(model.shared[k, j] for k in range(3) if votes[i, k]))
+        if not votes[i].any():
+            z += np.log(model.silent[1] / model.silent[0])
+        if labels[i] >= 0:
+            a, b = model.labels[1], model.labels[0]
+            z += np.log(a / b) if labels[i] else np.log((1 - a) / (1 - b))
+        assert abs(1 / (1 + np.exp(-z)) - p[i]) < 1e-5
+    # rows without a label change the rates, and alone still tell the classes apart
+    some, _ = toxicity.LabelModel.fit(votes[labels >= 0], start[labels >= 0].astype(float), labels[labels >= 0])
+    assert not np.allclose(some.rates, model.rates)
+    _, alone = toxicity.LabelModel.fit(votes, np.where(votes.any(axis=1), 0.9, 0.1), np.full(600, -1))
+    assert alone[truth].mean() > alone[~truth].mean() + 0.3
+
+
+def walked(trees, x):
+    """Each row down each tree, node by node."""
+    out = []
+    for row in x:
+        z = trees.base
+        for t in range(len(trees.feature)):
+            node = 0
+            while trees.left[t, node] != node:
+                node = trees.left[t, node] + (row[trees.feature[t, node]] > trees.threshold[t, node])
+            z += trees.value[t, node]
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_trees_against_a_walk_row_by_row(spark):
+    trees = quality.train(spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet"))
+    x = np.array([quality.statistics(t) for t in ["", "a", "One sentence, of words. Another one!", "x " * 5000, "naïve 東京 ☃\n\n- item\n"]], float)
+    assert np.allclose(trees.predict(x), walked(trees, x))
