@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import shared_dir
 from tessera.functions import charsets
-from tessera.operators import protocols, registration, relations
+from tessera.operators import protocols, registration, relations, templates
 from tessera.sources import native_xml, scan, tagged_json
 
 from .queries import query, table
@@ -165,3 +165,28 @@ def xml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = tagged_json.text(F.col("values"), F.col("vr")).alias("text")
     inner = tagged_json.items(rows, "c_custkey", "00400275").select("c_custkey", F.concat(F.lit("00400275/"), "tag").alias("tag"), "vr", text)
     return rows.where("vr <> 'SQ'").select("c_custkey", "tag", "vr", text).union(inner).union(native_xml.faults(docs, "c_custkey", "xml").select("c_custkey", F.lit("fault"), F.lit(""), "fault"))
+
+
+@query("""WITH e AS (SELECT event_id // 40 AS doc, event_id % 40 AS item, CASE WHEN event_id % 40 = 0 THEN NULL WHEN event_id % 8 = 1 THEN 0 ELSE 1 + 8 * ((event_id % 40 - 1) // 8) END AS parent, CASE WHEN event_id % 40 = 0 OR event_id % 8 = 1 THEN 'CONTAINER' ELSE ['NUM', 'TEXT', 'CODE'][1 + user_id % 3] END AS kind,
+CASE WHEN event_id % 8 = 1 THEN 'group' WHEN event_id % 40 = 0 THEN 'report' ELSE ['size', 'note', 'flag', 'unit', 'x'][1 + CAST(floor(value) AS INT) % 5] END AS concept, CASE WHEN value > 150 THEN 'odd' ELSE '' END AS text FROM events),
+l AS (SELECT *, CASE WHEN concept = 'size' AND kind = 'NUM' OR concept = 'note' AND kind = 'TEXT' OR concept = 'unit' AND kind = 'CODE' THEN 'g/' || concept END AS met FROM e WHERE parent > 0),
+g AS (SELECT doc, parent AS item, count(CASE WHEN met = 'g/size' THEN 1 END) AS sizes, count(CASE WHEN met = 'g/note' THEN 1 END) AS notes, count(CASE WHEN met = 'g/unit' THEN 1 END) AS units, bool_or(concept = 'flag') AS flagged FROM l GROUP BY ALL), d AS (SELECT doc, NOT bool_or(concept = 'x' AND text = 'odd') AS plain FROM e GROUP BY doc)
+SELECT doc, item, CASE WHEN concept IN ('size', 'note', 'unit') THEN 'g/' || concept END AS rule, CASE WHEN concept IN ('size', 'note', 'unit') THEN 'type' ELSE 'unknown' END AS finding FROM l WHERE met IS NULL
+UNION ALL SELECT doc, item, 'g/size', CASE WHEN sizes < 1 THEN 'missing' ELSE 'too many' END FROM g WHERE sizes < 1 OR sizes > 2 UNION ALL SELECT doc, item, 'g/note', CASE WHEN flagged THEN 'missing' ELSE 'not allowed' END FROM g WHERE flagged AND notes < 1 OR NOT flagged AND notes > 0
+UNION ALL SELECT doc, item, 'g/unit', CASE WHEN plain THEN 'too many' ELSE 'not allowed' END FROM g JOIN d USING (doc) WHERE NOT plain AND units > 0 OR units > 1""")
+def template_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of forty items in five groups, against a template that includes another, with conditions in a group and in the document."""
+    k = F.col("event_id")
+    pick = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    top, group = k % 40 == 0, k % 8 == 1
+    items = table(spark, sf_dir, "events").select(
+        F.floor(k / 40).alias("doc"), (k % 40).alias("item"), F.when(group & ~top, 0).when(~top, 1 + 8 * F.floor((k % 40 - 1) / 8)).alias("parent"), F.lit("CONTAINS").alias("relationship"), F.when(top | group, "CONTAINER").otherwise(pick(("NUM", "TEXT", "CODE"), F.col("user_id") % 3)).alias("value_type"),
+        F.when(group, "group").when(top, "report").otherwise(pick(("size", "note", "flag", "unit", "x"), F.floor("value") % 5)).alias("concept"), F.when(F.col("value") > 150, "odd").otherwise("").alias("text"),
+    )
+    rules = spark.createDataFrame(
+        [("T", "group", None, 1, "CONTAINS", "CONTAINER", "group", 5, 5, "M", None, None), ("T", "g", "group", 1, *[None] * 7, "G"), ("G", "size", None, 1, None, "NUM", "size", 1, 2, "M", None, None), ("G", "note", None, 2, None, "TEXT", "note", 1, None, "MC", "flagged", None), ("G", "unit", None, 3, None, "CODE", "unit", 0, 1, "UC", "plain", None)],
+        "template string, rule string, under string, place int, relationship string, value_type string, concept string, least int, most int, requirement string, condition string, include string",
+    )
+    conditions = spark.createDataFrame([("flagged", "container", "flag", None, False), ("plain", "document", "x", "odd", True)], "condition string, scope string, concept string, text string, absent boolean")
+    roots = items.where("item = 0").select("doc", "item", F.lit("T").alias("template"))
+    return templates.findings(items, rules, conditions, roots).select("doc", "item", "rule", "finding")
