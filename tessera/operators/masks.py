@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,76 @@ def component_sizes(mask: DataFrame, diagonal: bool = False) -> DataFrame:
     return components(mask, diagonal).groupBy("seg", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
+def _labelled(tile: tuple[int, int, int], moves: list[tuple[int, int, int]]):
+    """For each tile (its voxels' places `at`), the least place of each voxel's component within the tile."""
+    full = tuple(n + 2 for n in tile)
+
+    def one(at: list[int]) -> list[int]:
+        none = int(np.prod(tile))
+        label = np.full(full, none)
+        inner = tuple(slice(1, n + 1) for n in tile)
+        flat = np.full(none, none)
+        flat[at] = at
+        label[inner] = flat.reshape(tile)
+        there = label < none
+        while True:
+            new = label.copy()
+            for move in moves:
+                for sign in (1, -1):
+                    new[inner] = np.minimum(new[inner], label[tuple(slice(1 + sign * d, n + 1 + sign * d) for d, n in zip(move, tile, strict=True))])
+            new[~there] = none
+            old, own = label, new[inner].ravel()
+            # a label's own label is at least as good
+            own = np.where(own < none, np.append(own, none)[own], none)
+            new[inner] = own.reshape(tile)
+            label = new
+            if (label == old).all():
+                return own[at].tolist()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                piece = batch.slice(k, 64)
+                roots = pa.array([one(a) for a in piece.column(4).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, roots], names=["seg", "tz", "ty", "tx", "at", "root"])
+
+    return run
+
+
+def volume_components(mask: DataFrame, corners: bool = False, tile: tuple[int, int, int] = (16, 16, 16)) -> DataFrame:
+    """(seg, z, y, x, label) of the voxels (seg, z, y, x) of a volume, label being the number of their component, from 1, in order of its least voxel of all tiles' least ones.
+
+    Voxels touch by their faces, with `corners` also by edges and corners. Components are found within tiles first, each by
+    itself, and only those that touch across the borders of tiles are linked, so the rounds depend on tiles, not voxels.
+    """
+    sizes = dict(zip("zyx", tile, strict=True))
+    ahead = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0) and (corners or abs(z) + abs(y) + abs(x) == 1)]
+    long = {c: F.col(c).cast("long").alias(c) for c in "zyx"}
+    voxels = mask.select("seg", *long.values()).dropna(subset=list("zyx")).distinct()
+    own = {c: F.floor(F.col(c) / n).cast("long") for c, n in sizes.items()}
+    place = ((F.col("z") - own["z"] * sizes["z"]) * sizes["y"] + F.col("y") - own["y"] * sizes["y"]) * sizes["x"] + F.col("x") - own["x"] * sizes["x"]
+    tiles = voxels.groupBy("seg", *(own[c].alias(f"t{c}") for c in "zyx")).agg(F.collect_list(place.cast("int")).alias("at"))
+    kind = mask.schema["seg"].dataType.simpleString()
+    local = tiles.mapInArrow(_labelled(tile, ahead), f"seg {kind}, tz long, ty long, tx long, at array<int>, root array<int>")
+    each = local.select("seg", "tz", "ty", "tx", F.explode(F.arrays_zip("at", "root")).alias("p"))
+    of = lambda p: (F.col("tz") * sizes["z"] + F.floor(p / (sizes["y"] * sizes["x"])), F.col("ty") * sizes["y"] + F.floor(p / sizes["x"]) % sizes["y"], F.col("tx") * sizes["x"] + p % sizes["x"])
+    named = [v.cast("long").alias(c) for v, c in zip(of(F.col("p.at")), "zyx", strict=True)]
+    root = F.struct("seg", *(v.cast("long").alias(c) for v, c in zip(of(F.col("p.root")), "zyx", strict=True)))
+    rows = checkpointed(each.select("seg", *named, root.alias("root")))
+    # steps that leave the tile
+    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{c}") for c, d in zip("zyx", m, strict=True))) for m in ahead))
+    over = rows.withColumn("m", F.explode(steps))
+    leaves = F.lit(False)
+    for c, n in sizes.items():
+        leaves = leaves | (F.floor(F.col(c) / n) != F.floor((F.col(c) + F.col(f"m.d{c}")) / n))
+    met = over.where(leaves).select("seg", *((F.col(c) + F.col(f"m.d{c}")).alias(c) for c in "zyx"), F.col("root").alias("a"))
+    links = met.join(rows.select("seg", *"zyx", F.col("root").alias("b")), ["seg", *"zyx"]).select("a", "b").distinct()
+    labels = graph.components(links).select(F.col("node").alias("root"), F.col("label").alias("_best"))
+    best = rows.select("root").distinct().join(labels, "root", "left").select("root", F.coalesce("_best", "root").alias("best"))
+    numbers = best.select("best").distinct().withColumn("label", F.row_number().over(Window.partitionBy("best.seg").orderBy("best")))
+    return rows.join(best.join(numbers, "best").select("root", "label"), "root").select("seg", "z", "y", "x", "label")
+
+
 def flood(mask: DataFrame, seeds: DataFrame, diagonal: bool = False) -> DataFrame:
     """The runs of the components that hold a seed (seg, y, x)."""
     parts = components(mask, diagonal)

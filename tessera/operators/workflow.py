@@ -157,7 +157,7 @@ def recipients(steps: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """
     own = subscriptions.where("step IS NOT NULL")
     everywhere = subscriptions.where("step IS NULL AND active").select("recipient").distinct()
-    all_ = steps.select("step").distinct().join(F.broadcast(everywhere))  # subscribers to everything are few
+    all_ = steps.select("step").distinct().crossJoin(everywhere)  # as many rows as there are answers; Spark sends round the side that it knows to be small
     return own.where("active").join(steps.select("step").distinct(), "step").select("step", "recipient").union(all_.join(own.where("NOT active").select("step", "recipient"), ["step", "recipient"], "left_anti").select("step", "recipient")).distinct()
 
 

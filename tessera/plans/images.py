@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import growth, shapes
+from tessera.operators import masks as mask_operators
 
 from .queries import query, table
 
@@ -115,3 +116,15 @@ def outlines_simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda turn: F.rint(40 + (30 + F.col("value") / 20) * turn(k % 50 / 8.0)).cast("int")
     rings = table(spark, sf_dir, "events").select(F.floor(k / 50).alias("c"), k.alias("place"), of(F.cos).alias("x"), of(F.sin).alias("y"))
     return shapes.simplified(rings, ["c"], 2.05).select("c", "place", "x", "y")
+
+
+@query("""WITH RECURSIVE p AS (SELECT event_id AS k, event_id // 400 AS z, event_id // 20 % 20 AS y, event_id % 20 AS x FROM events WHERE value > 60),
+e AS (SELECT a.k AS a, b.k AS b FROM p AS a JOIN (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS s(dz, dy, dx) ON true JOIN p AS b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+r(k, l) USING KEY (k) AS (SELECT k, k AS l FROM p UNION (SELECT n.k, n.l FROM (SELECT e.b AS k, min(r.l) AS l FROM r JOIN e ON e.a = r.k GROUP BY e.b) AS n JOIN recurring.r AS u ON u.k = n.k WHERE n.l < u.l))
+SELECT min(k) AS first, max(k) AS last, count(*) AS voxels FROM r GROUP BY l""")
+def volume_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connected parts of a long volume of 20 x 20 columns: the voxels of large values."""
+    k, floor = F.col("event_id"), lambda c: F.floor(c).cast("long")
+    voxels = table(spark, sf_dir, "events").where("value > 60").select(F.lit("v").alias("seg"), floor(k / 400).alias("z"), (floor(k / 20) % 20).alias("y"), (k % 20).alias("x"))
+    at = F.col("z") * 400 + F.col("y") * 20 + F.col("x")
+    return mask_operators.volume_components(voxels).groupBy("label").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("voxels")).drop("label")

@@ -218,12 +218,12 @@ def spacing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image of 64 x 64 for each event type; several events may fall on a pixel."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("seg"), (F.col("user_id") % 64).cast("int").alias("y"), (F.col("event_id") % 64).cast("int").alias("x"), "value")
+    """An image of 16 columns and a row for each user, for each event type; several events may fall on a pixel."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("seg"), F.col("user_id").cast("int").alias("y"), (F.col("event_id") % 16).cast("int").alias("x"), "value")
 
 
-A = "a AS (SELECT DISTINCT event_type AS seg, CAST(user_id % 64 AS INT) AS y, CAST(event_id % 64 AS INT) AS x FROM events WHERE value BETWEEN 5 AND 60)"
-B = "b AS (SELECT DISTINCT event_type AS seg, CAST(user_id % 64 AS INT) AS y, CAST(event_id % 64 AS INT) AS x FROM events WHERE value BETWEEN 40 AND 120)"
+A = "a AS (SELECT DISTINCT event_type AS seg, CAST(user_id AS INT) AS y, CAST(event_id % 16 AS INT) AS x FROM events WHERE value BETWEEN 5 AND 60)"
+B = "b AS (SELECT DISTINCT event_type AS seg, CAST(user_id AS INT) AS y, CAST(event_id % 16 AS INT) AS x FROM events WHERE value BETWEEN 40 AND 120)"
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +245,7 @@ _mask("mask_union", masks.union, "SELECT * FROM a UNION SELECT * FROM b")
 _mask("mask_intersect", masks.intersect, "SELECT * FROM a INTERSECT SELECT * FROM b")
 _mask("mask_subtract", masks.subtract, "SELECT * FROM a EXCEPT SELECT * FROM b")
 _mask("mask_xor", masks.xor, "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a)")
-_mask("mask_dilate", lambda a, b: masks.dilate(a, 64, 64), f"SELECT DISTINCT * FROM ({AROUND}) WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63")
+_mask("mask_dilate", lambda a, b: masks.dilate(a, 1 << 30, 16), f"SELECT DISTINCT * FROM ({AROUND}) WHERE y >= 0 AND x BETWEEN 0 AND 15")
 _mask("mask_erode", lambda a, b: masks.erode(a), f"SELECT seg, y, x FROM ({AROUND}) GROUP BY ALL HAVING count(*) = 5")
 _mask("mask_runs", lambda a, b: masks.runs(a), "SELECT seg, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY seg, y ORDER BY x) AS i FROM a) GROUP BY seg, y, i")
 
@@ -444,23 +444,24 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.sampled(asked, cube, ["label"], "e").select("vec_id", F.round("sample", 5).alias("sample"))
 
 
-S = "a AS (SELECT DISTINCT event_type AS seg, CAST(user_id % 64 AS INT) AS y, CAST(event_id % 64 AS INT) AS x FROM events WHERE value BETWEEN 5 AND 12)"
+S = A
 
 
 @query(f"""WITH RECURSIVE {S}, g AS (SELECT seg, y, x, y * 64 + x AS k FROM a), r AS (SELECT seg, y, x, k FROM g UNION SELECT g.seg, g.y, g.x, r.k FROM r JOIN g ON g.seg = r.seg AND abs(g.y - r.y) + abs(g.x - r.x) = 1),
 l AS (SELECT seg, y, x, min(k) AS label FROM r GROUP BY ALL), n AS (SELECT seg, label, CAST(row_number() OVER (PARTITION BY seg ORDER BY label) AS INT) AS n FROM (SELECT DISTINCT seg, label FROM l))
 SELECT seg, n AS label, count(*) AS pixels, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM l JOIN n USING (seg, label) GROUP BY ALL""")
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.component_sizes(masks.threshold(pixels(spark, sf_dir), "value", 5, 12))
+    return masks.component_sizes(masks.threshold(pixels(spark, sf_dir), "value", 5, 60))
 
 
-@query("""WITH e AS (SELECT unnest(['a', 'b']) AS seg, unnest([3, 20]) AS t), q AS (SELECT seg, px, py, qx, qy FROM (SELECT seg, CAST(t AS DOUBLE) AS ax, 2.0 AS ay, t + 30.0 AS bx, 9.0 AS b_y, t + 5.0 AS cx, 41.0 AS cy FROM e), LATERAL (VALUES (ax, ay, bx, b_y), (bx, b_y, cx, cy), (cx, cy, ax, ay)) AS s(px, py, qx, qy))
+@query("""WITH e AS (SELECT event_id AS seg, event_id % 30 AS t, 5 + user_id % 40 AS h FROM events WHERE event_id % 25 = 0), q AS (SELECT seg, px, py, qx, qy FROM (SELECT seg, CAST(t AS DOUBLE) AS ax, 2.0 AS ay, t + 30.0 AS bx, 9.0 AS b_y, t + 5.0 AS cx, 2.0 + h AS cy FROM e), LATERAL (VALUES (ax, ay, bx, b_y), (bx, b_y, cx, cy), (cx, cy, ax, ay)) AS s(px, py, qx, qy))
 SELECT seg, y, x FROM (SELECT seg, CAST(y AS INT) AS y, CAST(x AS INT) AS x, count(*) % 2 = 1 AS inside FROM q, range(64) AS r(y), range(64) AS c(x) WHERE (py > y + 0.5) <> (qy > y + 0.5) AND x + 0.5 < px + (y + 0.5 - py) * (qx - px) / (qy - py) GROUP BY ALL) WHERE inside""")
 def mask_rasterized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
-    shapes = spark.createDataFrame([("a", 3), ("b", 20)], "seg string, t int")
-    t = F.col("t")
-    return masks.rasterized(shapes.select("seg", F.array(p(t, 2), p(t + 30, 9), p(t + 5, 41)).alias("points")), 64, 64)
+    """A triangle for each twenty-fifth event."""
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    shapes = table(spark, sf_dir, "events").where("event_id % 25 = 0")
+    t, h = F.col("event_id") % 30, 5 + F.col("user_id") % 40
+    return masks.rasterized(shapes.select(F.col("event_id").alias("seg"), F.array(p(t, F.lit(2)), p(t + 30, F.lit(9)), p(t + 5, 2 + h)).alias("points")), 64, 64)
 
 
 @query("SELECT event_type AS seg, count(*) AS n, min(value) AS low, max(value) AS high, CAST(round(count(*) * 0.4, 6) AS DOUBLE) AS area_mm2, CAST(round(count(*) * 1.2, 6) AS DOUBLE) AS volume_mm3 FROM events GROUP BY event_type")
@@ -688,7 +689,7 @@ w AS (SELECT seg, id AS start, id, next, 0 AS k FROM n UNION ALL SELECT w.seg, s
 l AS (SELECT seg, start FROM w GROUP BY ALL HAVING min(id) = start)
 SELECT seg, start AS contour, CAST(row_number() OVER (PARTITION BY seg, start ORDER BY k) AS INT) AS place, n.x, n.y FROM w JOIN l USING (seg, start) JOIN n USING (seg, id) JOIN (SELECT seg, next AS id, h AS came FROM n) USING (seg, id) WHERE n.h <> came""")
 def mask_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = masks.contours(masks.threshold(pixels(spark, sf_dir), "value", 5, 12))
+    found = masks.contours(masks.threshold(pixels(spark, sf_dir), "value", 5, 60))
     return found.select("seg", ((F.col("contour.y") * 64 + F.col("contour.x")) * 4 + F.col("contour.h")).alias("contour"), "place", "x", "y")
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import growth, shapes
+from tessera.operators import growth, masks, shapes
 
 AROUND = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) != (0, 0, 0)]
 
@@ -211,3 +211,31 @@ def test_simplified(spark, tolerance):
     for p in shapes.simplified(spark.createDataFrame(rows, "seg string, place int, x int, y int"), ["seg"], tolerance).orderBy("seg", "place").collect():
         found.setdefault(p.seg, []).append((p.x, p.y))
     assert found == {k: simple(ps, tolerance) for k, ps in outlines.items()}
+
+
+@pytest.mark.parametrize("corners", [False, True])
+def test_volume_components(spark, corners):
+    r = random.Random(4)
+    voxels = {(s, z, y, x) for s in "ab" for z in range(-3, 5) for y in range(7) for x in range(9) if r.random() < (0.25 if corners else 0.4)}
+    moves = [m for m in AROUND if corners or sum(map(abs, m)) == 1]
+    want, seen = set(), set()
+    for v in voxels:
+        if v in seen:
+            continue
+        part, todo = {v}, [v]
+        while todo:
+            s, *at = todo.pop()
+            for m in moves:
+                n = (s, *(a + b for a, b in zip(at, m, strict=True)))
+                if n in voxels and n not in part:
+                    part.add(n)
+                    todo.append(n)
+        seen |= part
+        want.add(frozenset(part))
+    df = spark.createDataFrame([*voxels, ("a", 0, None, 1), *list(voxels)[:5]], "seg string, z int, y int, x int")
+    found = {}
+    for v in masks.volume_components(df, corners, (2, 3, 4)).collect():
+        found.setdefault((v.seg, v.label), set()).add((v.seg, v.z, v.y, v.x))
+    assert {frozenset(p) for p in found.values()} == want
+    for s in "ab":
+        assert sorted(k for g, k in found if g == s) == list(range(1, sum(next(iter(p))[0] == s for p in want) + 1))
