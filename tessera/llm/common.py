@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,9 +20,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later reads don't need the executors that made it."""
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes within are removed at its end, but for those that it is told to keep."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in own:
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: later reads don't need the executors that made it. With `keep` it outlives the innermost `scratch`."""
     path = new_path(df.sparkSession, name)
+    for own in (_scratch[:-1] if keep else _scratch)[-1:]:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

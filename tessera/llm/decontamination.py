@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, row_ids, written
+from .common import map_rows, row_ids, scratch, written
 from .words import hashed, normal
 
 WINDOW = 10
@@ -293,8 +293,14 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, share: float = 0.8,
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item_key: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: key, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
-    index, phrases = build_index(docs, key, text), test_phrases(items, window, item_key, text)
+    """One row for each row of docs: key, n_words, n_hit, n_items, items (sorted as strings), contaminated. The index is removed at the end."""
+    with scratch(docs.sparkSession):
+        index, phrases = build_index(docs, key, text), test_phrases(items, window, item_key, text)
+        return written(_told(index, phrases, key, block), "contamination", keep=True)
+
+
+def _told(index: DataFrame, phrases: DataFrame, key: str, block: int) -> DataFrame:
+    """What the documents of the index hold of the phrases."""
     found = written(phrase_matches(index, phrases, block), "hits")
     n_hit = found.groupBy("window", "slot").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"))
     ids = phrases.select(F.col("item").alias("number"), F.col("id").cast("string").alias("id")).distinct()
