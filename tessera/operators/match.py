@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.temporal import key_window, moved, time_window, window
+from tessera.functions.temporal import combined_between, key_window, moved, time_window, window
 
 #: Value representations in which * and ? are wildcards (fixed values).
 WILDCARD = ("AE", "CS", "LO", "LT", "PN", "SH", "ST", "UC", "UR", "UT")
@@ -176,6 +176,26 @@ def with_item(parents: DataFrame, children: DataFrame, on: list[str], keys: list
     return parents.join(matches(children, keys, profile)[0].select(*on), on, "left_semi")
 
 
+def with_scheduled_step(parents: DataFrame, steps: DataFrame, on: list[str], keys: list[Key], date: str, time: str, dates: str = "", times: str = "") -> DataFrame:
+    """Parents with a scheduled step that matches all keys (by the worklist's profile) and starts within the dates and times.
+
+    date and time are texts (YYYYMMDD, HHMM and finer). Where both keys are ranges they are one, from the first date and
+    time to the last; otherwise each constrains by itself. An empty key matches everything, as no keys at all do. Keys of the
+    step are met by one and the same step, and filter the steps before any is joined.
+    """
+    alone = [Key(c, vr, (v,)) for c, vr, v in ((date, "DA", dates), (time, "TM", times)) if v.strip() and not ("-" in dates and "-" in times)]
+    both = [*keys, *alone]
+    constrains = any(k.items or any(_trimmed(k.vr, v) for v in k.values) for k in both)
+    found = matches(steps, both, WORKLIST)[0] if constrains else steps
+    if "-" in dates and "-" in times:
+        # malformed keys are errors before any row is read; the last time may be earlier in its day than the first
+        _range("DA", dates)
+        for end in filter(None, map(str.strip, times.split("-"))):
+            _range("TM", end)
+        found = found.where(combined_between(F.col(date), F.col(time), dates.strip(), times.strip()))
+    return parents.join(found.select(*on), on, "left_semi")
+
+
 def one_per_level(df: DataFrame, level: list[str], order: list[str]) -> DataFrame:
     """The first row, by order, of each entity of a level."""
     at = Window.partitionBy(*level).orderBy(*order)
