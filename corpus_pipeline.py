@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, near_dedup, sharding
 from tessera.llm import toxicity as toxic
-from tessera.llm.common import new_path, read, unused, written
+from tessera.llm.common import new_path, read, scratch, unused, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,10 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least (doc_id, row number) of each group of near-duplicates; a null doc_id comes last."""
     rows, row = numbered(docs, "numbered")
-    classes = near_dedup.groups(rows.select(row, "text"), row).join(rows.select(row, "doc_id"), row)
-    kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))["row"].alias(row)).select(row)
+    with scratch(spark):  # what the search for near-duplicates writes on its way
+        classes = near_dedup.groups(rows.select(row, "text"), row).join(rows.select(row, "doc_id"), row)
+        kept = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))["row"].alias(row)).select(row)
+        kept = written(kept, "kept", keep=True)
     return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
