@@ -7,16 +7,14 @@
    and hold a Poisson number of darts. Those below the document's weight and below a rank of about (k ln k + 2k) / weight
    are dealt to k coordinates, each of which keeps the dart of least rank (the rank limit is doubled while one is empty).
    Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
-3. Bands of 4 coordinates make buckets. Each text is first compared with the smallest text of its buckets. Then, level by
-   level, buckets that still hold texts of different groups are dealt with. Where at most a few texts (`REST`, twice as
-   many at each level) are outside the bucket's largest group, these are compared with all of the bucket; the bucket is cut into
-   chunks of about `CHUNK` texts for that, so no task gets a large one. A bucket with more of them is compared with one
-   more leader and split by the coordinates of further bands, at first in two ways, then in three: a pair of similarity
-   0.8 shares 8 buckets of the 20 at first, 7 after that, and then 3 * 0.8**4 = 1.2 times as many at each level, pairs of
-   0.75 and less ever fewer, so a large bucket
-   falls apart into those of true copies. As `REST` grows, in the end every bucket left is compared in full.
+3. Bands of 4 coordinates make buckets. Each text is first compared with the smallest text of its buckets. In buckets that
+   then still hold texts of different groups, however many, those outside the bucket's largest group are compared with all
+   of the bucket. Both sides are cut into parts of about `CHUNK` texts and each part of the one meets each of the other, so no
+   task gets a large bucket. A pair is compared in the first bucket that it shares.
    Before a comparison, which is exact (weighted Jaccard of all shingles), the signatures must agree in `AGREE` of the
-   80 coordinates. Work in each level is in proportion to the rows of its buckets, and no partner is capped.
+   80 coordinates. So whether two texts are linked depends on these two alone, not on the size of their bucket or table.
+   The work is in proportion to the rows of a bucket where these are one group, and to the texts outside the largest
+   group times all texts where they are not.
 4. Groups are the connected components of the links, found by large-star and small-star steps.
 
 Recall: with 20 bands of 4, a pair of similarity 0.8 shares no bucket once in 38,000 times, and agrees in fewer than
@@ -44,8 +42,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
-#: Coordinates that must agree before an exact comparison, texts outside the largest group of a bucket, texts of a chunk, parts of the first and each later split.
-AGREE, REST, CHUNK, PARTS = 50, 8, 256, (2, 3)
+#: Coordinates that must agree before an exact comparison, texts of a part of a bucket.
+AGREE, CHUNK = 50, 512
 FIRST = -4  # the first cell of ranks is (0, 2**FIRST], each next one ends at the next power of 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _cdf: dict[int, np.ndarray] = {}
@@ -246,31 +244,19 @@ def _attached(members: DataFrame, sets: DataFrame) -> DataFrame:
     return each.select("node", *more, F.explode("m").alias("m")).select("node", "m.*", *more)
 
 
-def _with_leaders(members: DataFrame, level: int) -> DataFrame:
-    """Pairs of each member with one text of its bucket that is in another group."""
-    first = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(level)).alias("h"), "node", "label")).alias("f")).select("bucket", F.col("f.node").alias("leader"), F.col("f.label").alias("of"))
-    return members.join(first, "bucket").where("label <> of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-
-
-def _split(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(bucket, band, node): each bucket in PARTS ways (the first or the later number), by the coordinates of one further band each."""
-    sig = lambda band, k: F.get("sig", band * ROWS + k)
-    band = lambda part: (F.col("band") + 1 + part + level) % BANDS
-    parts = F.array(*(F.struct(F.xxhash64("bucket", F.lit(p), *(sig(band(p), k) for k in range(ROWS))).alias("bucket"), band(p).alias("band")) for p in range(PARTS[level > 0])))
-    return _attached(members.select("bucket", "band", "node"), sets.select("node", "sig")).select("node", F.explode(parts).alias("x")).select("x.bucket", "x.band", "node")
-
-
-def _linked(chunk: pa.Table, similar: float) -> Iterator[tuple[int, int]]:
-    """Of each probe of a chunk, one similar text of each other group."""
-    column = lambda name: chunk[name].combine_chunks()
-    node, label, home = (column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "home"))
-    sig = column("sig").flatten().to_numpy().reshape(len(node), K)
+def _linked(cell: pa.Table, similar: float) -> Iterator[tuple[int, int]]:
+    """Of each probe of a cell, one similar text of each other group at home there."""
+    column = lambda name: cell[name].combine_chunks()
+    node, label, band, top, home, probe = (column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "band", "top", "home", "probe"))
+    sig = column("sig").flatten().to_numpy().reshape(len(node), BANDS, ROWS)
     offsets, e, w = column("e").offsets.to_numpy(), column("e").values.to_numpy().view(np.uint64), column("w").values.to_numpy()  # sorted as unsigned numbers
     total = np.add.reduceat(w, offsets[:-1])
-    for i in np.flatnonzero(column("probe").to_numpy(zero_copy_only=False)).tolist():
-        near = home & (label != label[i]) & (np.minimum(total, total[i]) >= similar * np.maximum(total, total[i]))
+    for i in np.flatnonzero(probe).tolist():
+        # two texts outside the largest group meet twice
+        near = home & (label != label[i]) & ((label == top) | (node > node[i])) & (np.minimum(total, total[i]) >= similar * np.maximum(total, total[i]))
         near = np.flatnonzero(near)
-        near = near[(sig[near] == sig[i]).sum(axis=1) >= AGREE]
+        same = sig[near] == sig[i]
+        near = near[(same.sum(axis=(1, 2)) >= AGREE) & (same.all(axis=2).argmax(axis=1) == band[i])]
         if not len(near):
             continue
         own, weight = e[offsets[i] : offsets[i + 1]], w[offsets[i] : offsets[i + 1]]
@@ -284,21 +270,27 @@ def _linked(chunk: pa.Table, similar: float) -> Iterator[tuple[int, int]]:
             yield min(node[i], node[k]), max(node[i], node[k])
 
 
-def _against_rest(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) between the texts outside the largest group of each bucket and all texts of the bucket.
+def _cells(members: DataFrame) -> DataFrame:
+    """members with h, p, home and probe: their texts are at home in part h of their bucket, those outside its largest group are also probes of part p, and each part h meets each part p."""
+    parts = lambda size: F.ceil(size / CHUNK)
+    m = members.withColumns({"hs": parts(F.col("n")), "ps": parts(F.col("rest")), "is_probe": F.col("label") != F.col("top")})
+    m = m.withColumns({"own_h": F.pmod(F.xxhash64("node"), F.col("hs")), "own_p": F.pmod(F.xxhash64("node", F.lit(1)), F.col("ps"))})
+    upto = lambda count: F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+    cell = lambda h, p, home, probe: F.struct(h.alias("h"), p.alias("p"), home.alias("home"), probe.alias("probe"))
+    at_home = F.transform(upto("ps"), lambda p: cell(F.col("own_h"), p, F.lit(True), F.col("is_probe") & (p == F.col("own_p"))))
+    away = F.transform(F.filter(upto("hs"), lambda h: F.col("is_probe") & (h != F.col("own_h"))), lambda h: cell(h, F.col("own_p"), F.lit(False), F.lit(True)))
+    return m.select(*members.columns, F.explode(F.concat(at_home, away)).alias("cell")).select(*members.columns, "cell.*")
+
 
-    A bucket is cut into chunks by a hash of the text; the few outside the largest group go to every chunk.
-    """
-    chunks, probe = F.ceil(F.col("n") / CHUNK), F.col("label") != F.col("top")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), chunks)).withColumn("probe", probe)
-    rows = rows.withColumn("chunk", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(F.array("own"))))
-    rows = _attached(rows.select("bucket", "chunk", "node", "label", "probe", (F.col("chunk") == F.col("own")).alias("home")), sets)
+def _against_rest(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between the texts outside the largest group of each bucket and all texts of the bucket."""
+    rows = _attached(_cells(members).select("bucket", "band", "h", "p", "node", "label", "top", "home", "probe"), sets)
 
-    def run(chunk: pa.Table) -> pa.Table:
-        found = list(_linked(chunk, similar))
+    def run(cell: pa.Table) -> pa.Table:
+        found = list(_linked(cell, similar))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return written(rows.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long"), "links")
+    return written(rows.groupBy("bucket", "h", "p").applyInArrow(run, "a long, b long"), "links")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -310,20 +302,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: fl
     all_ = signed.select("node", F.explode(buckets).alias("x")).select("x.bucket", "x.band", "node")
     shared = all_.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("bucket", "first")
     members = written(all_.join(shared, "bucket").distinct(), "members")
-    nodes = written(signed.join(members.select("node").distinct(), "node", "left_semi").select("node", "sig").dropDuplicates(["node"]), "nodes")
-    texts = map_rows(docs.where(F.col(text).isNotNull()).select(text), "node long, text string", _named, 500).join(nodes, "node").dropDuplicates(["node"])
+    ids = written(members.select("node").distinct(), "ids")
+    nodes = written(signed.join(ids, "node", "left_semi").select("node", "sig").dropDuplicates(["node"]), "nodes")
+    texts = map_rows(docs.where(F.col(text).isNotNull()).select(text), "node long, text string", _named, 500).join(ids, "node", "left_semi")  # other texts are not moved
+    texts = texts.join(nodes, "node").dropDuplicates(["node"])
     sets = written(map_rows(texts.select("node", "sig", "text"), "node long, sig array<int>, e array<long>, w array<int>", _sets, 500), "sets")
 
     pairs = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(links(pairs, sets, similar))
-    left, level = _mixed(members, labels), 0
-    while not left.isEmpty():
-        rest = REST << level
-        found, wide = _against_rest(left.where(F.col("rest") <= rest), sets, similar), left.where(F.col("rest") > rest)
-        if level:
-            found = found.union(links(_with_leaders(wide, level), sets, similar))
-        labels = _joined(labels, found)
-        left, level = _mixed(_split(wide, sets, level), labels), level + 1
+    labels = _joined(labels, _against_rest(_mixed(members, labels), sets, similar))
 
     rows = sketch.select("key", "node")
     names = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")).join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))

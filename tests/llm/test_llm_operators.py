@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, mixing, near_dedup, nearest, quality, queries, revisits, secrets, sharding, token_counts, toxicity
 from tessera.llm.common import labelled_sample, new_path
+from tessera.llm.words import hash_words, normal
 
 DIR, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -310,6 +311,53 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {x["doc_id"]: x["class_id"] for x in near_dedup.groups(docs).collect()} == brute_groups(rows)
 
 
+def test_near_duplicates_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    """Hundreds of pairs, most of them similar to each other alone, share the buckets of a common text: all links of all buckets are found."""
+    r = random.Random(11)
+    base, rows = [f"w{k}" for k in range(400)], []
+    for k in range(700):
+        places = [5 * p for p in r.sample(range(80), 10)]
+        for side in range(2):
+            own = list(base)
+            for at in places[:2]:
+                own[at] = f"p{k}x{at}"
+            for at in places[2 + 4 * side : 6 + 4 * side]:
+                own[at] = f"s{k}x{side}x{at}"
+            rows.append((2 * k + side, " ".join(own)))
+    sets = [near_dedup.shingles(hash_words(normal(text))[2])[0] for _, text in rows]  # no shingle comes twice
+    elements, of = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(rows), len(elements)), np.float32)
+    has[np.repeat(np.arange(len(rows)), [len(s) for s in sets]), of] = 1
+    shared = np.flatnonzero(has.sum(axis=0) > 1)
+    both = has[:, shared] @ has[:, shared].T
+    sig = (near_dedup.signatures([(s, np.ones(len(s), np.int64)) for s in sets]) >> np.uint64(32)).reshape(len(rows), near_dedup.BANDS, near_dedup.ROWS)
+    expected = np.arange(len(rows))
+    for i in range(len(rows)):
+        same = sig[:i] == sig[i]
+        similar = both[i, :i] / (len(sets[i]) + np.array([len(s) for s in sets[:i]]) - both[i, :i]) >= 0.8
+        for j in np.flatnonzero(same.all(axis=2).any(axis=1) & (same.sum(axis=(1, 2)) >= near_dedup.AGREE) & similar).tolist():
+            old, new = expected[i], expected[j]
+            expected[(expected == old) | (expected == new)] = min(old, new)
+    assert len(set(expected.tolist())) > 100
+    monkeypatch.setattr(near_dedup, "CHUNK", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["class_id"] for x in near_dedup.groups(docs).collect()}
+    assert [found[k] for k, _ in rows] == expected.tolist()
+
+
+def test_parts_of_large_buckets_meet_once(spark):
+    """Every text outside the largest group meets every text of its bucket, in rows that grow with the parts and not with the texts."""
+    n, rest = 3000, 1200
+    members = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") < rest, F.col("id")).otherwise(rest).alias("label"), F.lit(n).cast("long").alias("n"), F.lit(rest).cast("long").alias("top"), F.lit(rest).cast("long").alias("rest"))
+    cells = near_dedup._cells(members)
+    hs, ps = -(-n // near_dedup.CHUNK), -(-rest // near_dedup.CHUNK)
+    assert cells.count() == n * ps + rest * (hs - 1)
+    assert cells.groupBy("h", "p").count().agg(F.max("count")).first()[0] < 3 * near_dedup.CHUNK
+    probes, homes = (cells.where(c).select("h", "p", F.col("node").alias(c)) for c in ("probe", "home"))
+    pairs = probes.join(homes, ["h", "p"]).select("probe", "home")
+    assert pairs.count() == pairs.distinct().count() == n * rest
+
+
 def test_near_duplicates_give_classes_alone(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(300)) + f" end{i}") for i in range(30)]
     found = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
