@@ -68,3 +68,18 @@ def test_stages_of_odd_tables(spark):
             assert {r["text"] for r in before.collect()} <= {long, "some words here", "x"}
             assert counts["mix"] == counts["shards"] > 0
     assert counts["shards"] == 0
+
+
+def test_contamination_moves_no_texts_for_a_few_hits(spark, tmp_path):
+    """The rows that go are few, however long the table of all documents' hits is: the texts stay where they are."""
+    bad = " ".join(f"bad{k}" for k in range(20))
+    docs = spark.createDataFrame([(k, f"{bad} {k}" if k < 4 else f"some words {k}") for k in range(20_000)], "doc_id long, text string")
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3k")
+    try:
+        kept = p.contamination(spark, docs, str(tmp_path))
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() == 19_996
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
