@@ -44,6 +44,8 @@ K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
 #: Coordinates that must agree before an exact comparison, texts of a part of a bucket.
 AGREE, CHUNK = 50, 512
+#: Shingles and darts, roughly, of the texts whose signatures a task makes at once; a text of more has a block of its own or ends one.
+AT_ONCE = 80_000
 FIRST = -4  # the first cell of ranks is (0, 2**FIRST], each next one ends at the next power of 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _cdf: dict[int, np.ndarray] = {}
@@ -126,7 +128,7 @@ def _sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(key, node, signature in 32-bit numbers); a text met before in the same task has no signature again."""
     seen: set[int] = set()
     block: list[tuple] = []
-    size = 0
+    size = 0.0
 
     def done() -> Iterator[tuple]:
         if block:
@@ -144,11 +146,12 @@ def _sketch(rows: Iterator[tuple]) -> Iterator[tuple]:
             continue
         if len(seen) < 1_000_000:
             seen.add(node)
-        block.append((key, node, shingles(words)))
-        size += len(block[-1][2][0])
-        if size > 30_000:
+        e, w = shingles(words)
+        block.append((key, node, (e, w)))
+        size += len(e) + DARTS + w.sum() * 2.0**FIRST  # a text gets about DARTS darts, however short, and more where it repeats a shingle very often
+        if size > AT_ONCE:
             yield from done()
-            block, size = [], 0
+            block, size = [], 0.0
     yield from done()
 
 

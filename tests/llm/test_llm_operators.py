@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -345,6 +346,19 @@ def test_near_duplicates_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatc
     assert [found[k] for k, _ in rows] == expected.tolist()
 
 
+def test_signatures_of_many_small_sets_take_little_memory(monkeypatch):
+    """A text throws hundreds of darts however few shingles it has: blocks are bounded by these too, and signatures don't depend on blocks."""
+    rows = [(k, f"a{k} b{k}" if k % 100 else f"w{k} " * 5000) for k in range(3000)]
+    tracemalloc.start()
+    found = list(near_dedup._sketch(iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert [key for key, *_ in found] == list(range(3000)) and all(len(sig) == near_dedup.K for *_, sig in found)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 0)
+    assert list(near_dedup._sketch(iter(rows[:300]))) == found[:300]
+
+
 def test_parts_of_large_buckets_meet_once(spark):
     """Every text outside the largest group meets every text of its bucket, in rows that grow with the parts and not with the texts."""
     n, rest = 3000, 1200
