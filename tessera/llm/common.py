@@ -60,33 +60,45 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 5000) -> DataFrame:
-    """Run rows over each partition: it takes an iterator of tuples and gives tuples of the schema; batches of at most `flush` rows leave the worker."""
+def release() -> None:
+    """Give back what Arrow has freed but keeps: at the end of a task, as the worker that did it stays beside its executor."""
+    pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], flush: int = 5000) -> DataFrame:
+    """Run rows over each partition: it takes an iterator of Arrow batches and gives tuples of the schema; batches of at most `flush` rows leave the worker."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
 
-        def items() -> Iterator[tuple]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1000):  # python objects of 1,000 rows at a time
-                    yield from zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True)
-
         def pack(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
         out: list[tuple] = []
-        for row in rows(items()):
+        for row in rows(batches):
             out.append(row)
             if len(out) >= flush:
                 yield pack(out)
                 out = []
         if out:
             yield pack(out)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[tuple]], Iterable[tuple]], flush: int = 5000) -> DataFrame:
+    """map_batches for rows that takes an iterator of tuples."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):  # python objects of 1,000 rows at a time
+                yield from zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True)
+
+    return map_batches(df, schema, lambda batches: rows(items(batches)), flush)
+
+
 def row_ids() -> Iterator[int]:
     """Numbers for the rows of this task: the partition above 2**33, the row below. The same input split gives the same numbers when a task runs again."""
     context = TaskContext.get()

@@ -27,12 +27,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_rows, row_ids, scratch, written
+from .common import map_batches, map_rows, release, row_ids, scratch, written
 from .words import hashed, normal
 
 WINDOW = 10
@@ -50,10 +51,10 @@ def _lists(terms: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(terms of the lists, their ends in the places, the places in order of term), lists cut at `LIST` places."""
     order = np.argsort(terms, kind="stable")
     terms, places = terms[order], places[order]
-    first = np.flatnonzero(np.diff(terms, prepend=terms[:1] + np.uint64(1))) if len(terms) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(terms)))
-    inner = np.arange(len(terms)) - np.repeat(first, sizes)
-    starts = np.flatnonzero(inner % LIST == 0)
+    cuts = -(-sizes // LIST)
+    starts = np.repeat(first, cuts) + LIST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
     return terms[starts], np.append(starts, len(terms)), places
 
 
@@ -94,6 +95,7 @@ def _index(schema: pa.Schema):
             size += len(own)
         if words:
             yield from done(keys, words)
+        release()
 
     return run
 
@@ -150,21 +152,17 @@ def _block(rows: pa.Table) -> _Phrases:
 class _Places:
     """The lists of one window: which of the block's terms stand at each place (-1: none of them), and each term's places."""
 
-    def __init__(self, phrases: _Phrases, rows: list[tuple]):
-        lists, begins, self.lengths = [], [], []
-        for _, term, places, lengths, slot in rows:
-            (begins if term is None else lists).append((slot, places, lengths) if term is None else (term, places))
-        begins.sort(key=lambda b: b[0])
-        self.begins = np.array([p for _, own, _ in begins for p in own], np.int64)
-        self.lengths = np.array([n for _, _, own in begins for n in own], np.int64)
-        names = np.array([t for t, _ in lists], np.int64).view(np.uint64)
-        sizes = np.array([len(p) for _, p in lists], np.int64)
-        term = np.repeat(np.searchsorted(phrases.terms, names), sizes)
-        place = np.array([p for _, own in lists for p in own], np.int64)
+    def __init__(self, phrases: _Phrases, rows: pa.Table):
+        flat = lambda t, name: pc.list_flatten(t[name]).to_numpy()  # noqa: E731  no Python object for each of a million places
+        begins = rows.filter(pc.is_null(rows["term"])).sort_by("slot")
+        self.begins, self.lengths = flat(begins, "places").astype(np.int64), flat(begins, "lengths").astype(np.int64)
+        lists = rows.filter(pc.is_valid(rows["term"]))
+        sizes = pc.list_value_length(lists["places"]).to_numpy()
+        term = np.repeat(np.searchsorted(phrases.terms, lists["term"].to_numpy().view(np.uint64)).astype(np.int32), sizes)
+        place = flat(lists, "places")
         self.at = np.full(int(self.begins[-1] + self.lengths[-1]) + 1 if len(self.begins) else 1, -1, np.int32)
         self.at[place] = term
-        order = np.argsort(term, kind="stable")
-        self.place, self.count = place[order], np.bincount(term, minlength=len(phrases.terms))
+        self.place, self.count = place[np.argsort(term, kind="stable")], np.bincount(term, minlength=len(phrases.terms))
         self.first = np.cumsum(self.count) - self.count
 
     def slots(self, places: np.ndarray) -> np.ndarray:
@@ -198,22 +196,28 @@ def _starts(phrases: _Phrases, here: _Places) -> Iterator[tuple[np.ndarray, np.n
         low = high
 
 
-def _windows(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    held: list[tuple] = []
-    for row in rows:
-        if held and held[0][0] != row[0]:
-            yield held
-            held = []
-        held.append(row)
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Each window and its rows, of batches in order of window."""
+    number, held = None, []
+    for b in batches:
+        windows = b["window"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(windows)) + 1).tolist(), len(windows)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low < high:
+                if held and windows[low] != number:
+                    yield number, pa.Table.from_batches(held)
+                    held = []
+                number = int(windows[low])
+                held.append(b.slice(low, high - low))
     if held:
-        yield held
+        yield number, pa.Table.from_batches(held)
 
 
 def _exact(block):
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         phrases = block.value
-        for window in _windows(rows):
-            here = _Places(phrases, window)
+        for window, rows in _windows(batches):
+            here = _Places(phrases, rows)
             found = list(_starts(phrases, here))
             phrase, start = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             slot = here.slots(start)
@@ -227,16 +231,16 @@ def _exact(block):
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + lengths, -1)
                 items = np.unique(np.concatenate([phrases.items[p] for p in np.unique(phrase[low:high]).tolist()]))
-                yield window[0][0], own, np.flatnonzero(np.cumsum(cover[:-1])).tolist(), items.tolist()
+                yield window, own, np.flatnonzero(np.cumsum(cover[:-1])).tolist(), items.tolist()
 
     return run
 
 
 def _near(block, share: float, radius: int):
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         phrases = block.value
-        for window in _windows(rows):
-            here = _Places(phrases, window)
+        for window, rows in _windows(batches):
+            here = _Places(phrases, rows)
             best: dict[tuple[int, int], tuple[int, int]] = {}
             for k in range(len(phrases.lengths)):
                 own = np.unique(phrases.places[k, : phrases.lengths[k]])
@@ -259,7 +263,7 @@ def _near(block, share: float, radius: int):
                         one = (int(n[i]), -int(around[i] - here.begins[slot[i]]))
                         best[(int(slot[i]), item)] = max(one, best.get((int(slot[i]), item), one))
             for (slot, item), (n, at) in best.items():
-                yield window[0][0], slot, item, -at, n
+                yield window, slot, item, -at, n
 
     return run
 
@@ -278,7 +282,7 @@ def _searched(index: DataFrame, phrases: DataFrame, schema: str, search, block:
         used = index.select("window", "term", "places", "lengths", "slot")
         lists = used.join(wanted, "term", "left_semi").unionByName(used.where("term IS NULL")).select(used.columns)
         dealt = lists.repartition("window").sortWithinPartitions("window")
-        parts.append(map_rows(dealt, schema, search(spark.sparkContext.broadcast(_block(table)))))
+        parts.append(map_batches(dealt, schema, search(spark.sparkContext.broadcast(_block(table)))))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 

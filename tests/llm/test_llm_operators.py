@@ -257,6 +257,25 @@ def test_phrases_and_near_terms_in_a_small_index(spark, monkeypatch, block):
         assert set(found) == set(brute) and all(found[k][0] == brute[k][0] for k in brute)
 
 
+def test_the_search_of_a_full_window_takes_little_memory(spark, monkeypatch):
+    """A window of a million places is searched as arrays: no Python object for each place."""
+    n = 1_000_000
+    docs = spark.createDataFrame([(1, " ".join(f"w{k * k % 4099}" for k in range(n)))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(f"w{k}" for k in range(4099))), (7, " ".join(f"w{k * k % 4099}" for k in range(50, 62)))], "item_id long, text string")
+    index, phrases = decontamination.build_index(docs), decontamination.test_phrases(items)
+    ids, taken = {x["item"]: x["id"] for x in phrases.collect()}, []
+    monkeypatch.setattr(type(index), "mapInArrow", lambda self, run, schema: taken.append((self.toArrow(), run)) or self)
+    decontamination.phrase_matches(index, phrases)
+    ((table, run),) = taken
+    tracemalloc.start()
+    found = [x for b in run(iter(table.to_batches(max_chunksize=700))) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # squares repeat after 4099 words, and stand in reverse in the second half, where 12 of them do not occur as they are
+    assert [(x["slot"], {ids[i] for i in x["items"]}, x["hits"]) for x in found] == [(0, {7}, [k for k in range(n) if 50 <= k % 4099 < 62])]
+    assert peak < 70e6, peak
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [(queries.op5_toxicity, "toxic", 0.9), (queries.op9_quality, "quality", 0.9)])
 def test_classifiers_on_held_out_rows(spark, query, label, least):
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
